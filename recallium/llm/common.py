@@ -134,23 +134,30 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 def shingle_hashes(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of every run of ``width`` words within a text and the index of its text.
-
-    A text of 1 to ``width - 1`` words yields its whole sequence as one shingle.
-    """
+    """Hashes of every run of ``width`` words within a text, text by text, and the bounds of
+    each text's share. A text of 1 to ``width - 1`` words yields its whole sequence as one."""
     n = np.diff(words.bounds)
     count = np.where(n >= width, n - width + 1, np.minimum(n, 1))
-    owner = np.repeat(np.arange(len(n)), count)
-    if not len(owner):
-        return np.zeros(0, dtype=np.uint64), owner
-    first = words.bounds[:-1][owner] + np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    size = np.minimum(n[owner], width)
+    bounds = np.concatenate(([0], np.cumsum(count)))
+    h, total = words.hashes, len(words.hashes)
     with np.errstate(over="ignore"):
-        value = np.zeros(len(owner), dtype=np.uint64)
-        for k in range(width):
-            use = size > k
-            value[use] = mix64(value[use] * _BASE + words.hashes[first[use] + k])
-    return value, owner
+        rolled = np.zeros(total, dtype=np.uint64)
+        if total >= width:
+            v = h[: total - width + 1].copy()
+            for k in range(1, width):
+                v *= _BASE
+                v += h[k : total - width + 1 + k]
+            rolled[: total - width + 1] = mix64(v)
+        short = np.flatnonzero((n > 0) & (n < width))
+        for i in short.tolist():
+            v = np.uint64(n[i])
+            for x in h[words.bounds[i] : words.bounds[i + 1]]:
+                v = v * _BASE + x
+            rolled[words.bounds[i]] = mix64(np.array([v]))[0]
+    keep = np.ones(total, dtype=bool)
+    for k in range(1, width):  # the last width - 1 words of a text begin no shingle, but the first of a short one
+        keep[np.maximum(words.bounds[1:][n >= k] - k, words.bounds[:-1][n >= k] + (n[n >= k] < width))[n[n >= k] - k >= (n[n >= k] < width)]] = False
+    return rolled[keep], bounds
 
 
 def texts_of(column: pa.Array) -> list[bytes]:
