@@ -79,6 +79,7 @@ def splitmix(n: int, seed: int) -> np.ndarray:
         return mix64((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15))
 
 
+_LETTERS_AND_DIGITS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _LOWER_WORDS = bytes(c + 32 if 65 <= c <= 90 else 32 if c in b" \t\n\v\f\r" else c for c in range(256))
 _BYTE_VALUES = splitmix(256, 1)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -88,13 +89,14 @@ _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 class Words:
     """The hashed words of many texts at once.
 
-    Words are maximal runs of bytes outside ``\\x20 \\x09-\\x0D`` after A-Z are lower-cased.
+    Words are maximal runs of bytes outside ``\\x20 \\x09-\\x0D`` after A-Z are lower-cased;
+    with ``alphanumeric``, of ASCII letters, digits and bytes of other characters.
     ``hashes`` holds one 64-bit hash a word over all texts, ``bounds[i]:bounds[i+1]`` are those
     of text ``i``. Everything is computed on the concatenated bytes without a loop over words.
     """
 
-    def __init__(self, texts: list[bytes]):
-        joined = np.frombuffer(b" ".join([*texts, b""]).translate(_LOWER_WORDS), dtype=np.uint8)
+    def __init__(self, texts: list[bytes], alphanumeric: bool = False):
+        joined = np.frombuffer(b" ".join([*texts, b""]).translate(_LETTERS_AND_DIGITS if alphanumeric else _LOWER_WORDS), dtype=np.uint8)
         lengths = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
         ends_of_texts = np.cumsum(lengths)
         inside = np.zeros(len(joined) + 2, dtype=np.int8)

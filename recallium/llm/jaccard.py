@@ -1,15 +1,16 @@
 """Operator 3: n-gram Jaccard join by parity sketches.
 
-Every text is a set of shingles. A parity sketch has one bit for each hash value of a shingle
-and holds the parity of the shingles that fall on it, so the Hamming distance of two sketches is
-at most the symmetric difference of their sets. Sets with Jaccard similarity ``t`` differ in at
-most ``(|A| + |B|)(1 - t)/(1 + t)`` shingles.
-
-* Size bands. Band j takes sets of 8**j to 8**(j+1) - 1 shingles and has a sketch of blocks of
-  64 bits; its number follows the band. A set that may have partners in the next band is
-  sketched in that one too.
-* Pigeonhole join. If two sketches differ in at most d places, at most d of the blocks that
-  are not zero in one of them differ. Put the blocks in one order for all texts: the first
+Every text is a set of shingles. A parity sketch is an array of blocks of 64 bits; each shingle
+falls into one block, which is the XOR of its shingles' hashes. A shingle that only one of two
+sets has changes one block, so the number of blocks in which two sketches differ is at most the
+symmetric difference of the sets; with one bit for a shingle instead of a hash, so is their
+Hamming distance. Sets with Jaccard similarity ``t`` differ in at most
+``(|A| + |B|)(1 - t)/(1 + t)`` shingles.
+
+* Size bands. Band j takes sets of 8**j to 8**(j+1) - 1 shingles; the number of blocks follows
+  the band. A set that may have partners in the next band is sketched in that one too.
+* Pigeonhole join. If two sets differ in at most d shingles, at most d of the blocks that are
+  not zero in either of them differ. Put the blocks in one order for all texts: the first
   d + 1 non-zero blocks of either text then include one that both have among theirs. So each
   text sends its first d + 1 blocks, d for its largest possible partner, and texts are joined on
   equal (band, block, value). Blocks that many texts have come last in that order; a histogram
@@ -74,12 +75,11 @@ def blocks_of_band(band: int) -> int:
 
 def sketch_blocks(shingles: np.ndarray, band: int) -> np.ndarray:
     """One hash for each (block number, value) of the blocks of the parity sketch that aren't 0."""
-    block = (shingles >> np.uint64(6)) & np.uint64(blocks_of_band(band) - 1)
-    bit = np.uint64(1) << (shingles & np.uint64(63))
+    block = shingles & np.uint64(blocks_of_band(band) - 1)
     order = np.argsort(block, kind="stable")
-    block, bit = block[order], bit[order]
+    block = block[order]
     starts = np.concatenate(([0], np.flatnonzero(block[1:] != block[:-1]) + 1))
-    value = np.bitwise_xor.reduceat(bit, starts)
+    value = np.bitwise_xor.reduceat(mix64(shingles)[order], starts)
     block = block[starts][value != 0]
     with np.errstate(over="ignore"):
         return mix64(mix64((block << np.uint64(8)) + np.uint64(band)) + value[value != 0])
@@ -147,7 +147,8 @@ def _sent_blocks(docs: DataFrame, common: np.ndarray) -> DataFrame:
 
 def _groups(sent: DataFrame) -> DataFrame:
     """Of rows sorted by (key, salt, id): those of keys that several rows have or that are
-    spread over salts, each with the smallest id of its (key, salt) as ``first``."""
+    spread over salts, each with the smallest id of its (key, salt) as ``first``. Of groups of
+    one batch that have the same members, one is enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last group seen so far: (key, salt, first id, rows not yet given out)
@@ -165,8 +166,13 @@ def _groups(sent: DataFrame) -> DataFrame:
             first = ids[starts].copy()
             first[0] = first_of_run
             size = np.diff(np.concatenate((starts, [len(key)])))
+            with np.errstate(over="ignore"):
+                members = np.add.reduceat(mix64(ids.view(np.uint64)), starts)
+            fresh = np.zeros(len(starts), dtype=bool)
+            fresh[np.unique(members, return_index=True)[1]] = True
+            fresh[[0, -1]] = True  # these may go on in other batches
             # A row alone in its group is let go once the group has ended: the batch's last one waits.
-            take = (size > 1)[group] | (salt >= 0)
+            take = ((size > 1) & fresh)[group] | (salt >= 0)
             if goes_on:
                 take |= group == 0
             out = [key[take], ids[take], first[group][take], salt[take] >= 0]

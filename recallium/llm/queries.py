@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, langid
+from . import bpe, decontaminate, jaccard, langid, vptree, warc
 from .common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -60,5 +60,52 @@ FROM sizes s LEFT JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, s.n
 """
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_langid": op2_langid, "op3_jaccard": op3_jaccard}
-ORACLE: dict[str, str] = {"op3_jaccard": OP3_SQL}
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (document, benchmark item) that match."""
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all pages into archives and read these back."""
+    found = warc.read(warc.write(table(spark, sf_dir, "pages")))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+w AS (SELECT payload_digest, max(page_id) AS page FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest HAVING count(*) > 1)
+SELECT p.page_id, p.payload_bytes, p.payload_digest,
+       CASE WHEN w.page IS DISTINCT FROM p.page_id AND w.page IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN w.page IS DISTINCT FROM p.page_id THEN w.page END AS refers_to
+FROM p LEFT JOIN w ON w.payload_digest = p.payload_digest
+"""
+
+
+def op7_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows by inner product of every row whose id is divisible by 20; exact."""
+    return vptree.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20, factor=1.0).withColumnRenamed("id", "vec_id")
+
+
+OP7_SQL = """
+WITH lengths AS (SELECT len(embedding) AS n FROM embeddings WHERE embedding IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+e AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) = (SELECT n FROM lengths)
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), scored AS (
+  SELECT q.vec_id AS query_id, x.vec_id, list_reduce(list_transform(list_zip(q.v, x.v), lambda z: z[1] * z[2]), lambda s, t: s + t) AS score
+  FROM e q JOIN e x ON q.vec_id % 20 = 0 AND x.vec_id <> q.vec_id
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored)
+SELECT query_id, r::INTEGER AS rank, vec_id, score FROM ranked WHERE r <= 20
+"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
+    "op2_langid": op2_langid,
+    "op3_jaccard": op3_jaccard,
+    "op4_decontaminate": op4_decontaminate,
+    "op5_warc": op5_warc,
+    "op7_vptree": op7_vptree,
+}
+ORACLE: dict[str, str] = {"op3_jaccard": OP3_SQL, "op5_warc": OP5_SQL, "op7_vptree": OP7_SQL}
