@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, langid, vptree, warc
+from . import bpe, decontaminate, jaccard, langid, toxicity, vptree, warc
 from .common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -81,6 +81,13 @@ FROM p LEFT JOIN w ON w.payload_digest = p.payload_digest
 """
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learned from labels that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", langid.held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest rows by inner product of every row whose id is divisible by 20; exact."""
     return vptree.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20, factor=1.0).withColumnRenamed("id", "vec_id")
@@ -106,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_jaccard": op3_jaccard,
     "op4_decontaminate": op4_decontaminate,
     "op5_warc": op5_warc,
+    "op6_toxicity": op6_toxicity,
     "op7_vptree": op7_vptree,
 }
 ORACLE: dict[str, str] = {"op3_jaccard": OP3_SQL, "op5_warc": OP5_SQL, "op7_vptree": OP7_SQL}
