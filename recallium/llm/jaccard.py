@@ -20,9 +20,9 @@ Hamming distance. Sets with Jaccard similarity ``t`` differ in at most
   shingle sets.
 
 Groups that share a block may be large. No group is expanded into its pairs: first each text is
-only paired with the smallest id of its groups; what links is merged into components; then only
-those texts of a group that lie in different components are compared, by a join on the block in
-which Spark splits skewed keys. No link between texts of different components is lost.
+only paired with the smallest id of each of its groups; what links is merged into components;
+then only those texts of a group that lie in different components are compared, by a join on the
+block in which Spark splits skewed keys. No link between texts of different components is lost.
 
 Defined cases: null and empty texts have the empty set, no links and their own id as component;
 rows with equal ids are one vertex that has the links of all of them; rows whose id is null
@@ -47,6 +47,8 @@ WIDTH = 5
 PERCENT = 75
 #: Buckets of the histogram that orders blocks; it has this size whatever the input.
 BUCKETS = 1 << 16
+#: Buckets of ids that are sent to every task before texts are joined with wanted ids.
+ID_BUCKETS = 1 << 18
 #: Words of the folded sketch of the Hamming test.
 FOLDED = 8
 
@@ -98,24 +100,24 @@ def _narrow(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _sizes(docs: DataFrame) -> DataFrame:
-    """One pass over the texts: a row (id, n) for each, and the counts of blocks by bucket."""
+    """One pass over the texts: (id, n, folded sketch) of each, and the counts of blocks by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(BUCKETS, dtype=np.int64)
+        names = ["id", "n", "bucket", *_sketch_names()]
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingle_sets(texts_of(part.column("text")))
-                for s in sets:
-                    for band in bands(len(s)) if len(s) else ():
-                        seen += np.bincount((sketch_blocks(s, band) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS) if len(s) > 1 << 14 else 0
-                        if len(s) <= 1 << 14:
-                            np.add.at(seen, (sketch_blocks(s, band) % np.uint64(BUCKETS)).astype(np.int64), 1)
+                blocks = [sketch_blocks(s, band) for s in sets if len(s) for band in bands(len(s))]
+                if blocks:
+                    seen += np.bincount((np.concatenate(blocks) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+                sketches = np.array([folded_sketch(s) for s in sets], dtype=np.uint64).reshape(-1, FOLDED).view(np.int64)
                 n = pa.array([len(s) for s in sets], type=pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("id"), n, pa.nulls(len(sets), pa.int32())], names=["id", "n", "bucket"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), n, pa.nulls(len(sets), pa.int32()), *(pa.array(np.ascontiguousarray(sketches[:, k])) for k in range(FOLDED))], names=names)
         used = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(used), pa.int64()), pa.array(seen[used]), pa.array(used.astype(np.int32))], names=["id", "n", "bucket"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(used), pa.int64()), pa.array(seen[used]), pa.array(used.astype(np.int32)), *(pa.nulls(len(used), pa.int64()) for _ in range(FOLDED))], names=names)
 
-    return docs.mapInArrow(run, "id long, n long, bucket int")
+    return docs.mapInArrow(run, "id long, n long, bucket int, " + ", ".join(f"{s} long" for s in _sketch_names()))
 
 
 def _sent_blocks(docs: DataFrame, common: np.ndarray) -> DataFrame:
@@ -148,7 +150,7 @@ def _sent_blocks(docs: DataFrame, common: np.ndarray) -> DataFrame:
 def _groups(sent: DataFrame) -> DataFrame:
     """Of rows sorted by (key, salt, id): those of keys that several rows have or that are
     spread over salts, each with the smallest id of its (key, salt) as ``first``. Of groups of
-    one batch that have the same members, one is enough."""
+    one batch that have the same members, one is enough. ``wide`` is false for pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last group seen so far: (key, salt, first id, rows not yet given out)
@@ -175,29 +177,36 @@ def _groups(sent: DataFrame) -> DataFrame:
             take = ((size > 1) & fresh)[group] | (salt >= 0)
             if goes_on:
                 take |= group == 0
-            out = [key[take], ids[take], first[group][take], salt[take] >= 0]
+            wide = size > 2
+            wide[[0, -1]] = True  # for all that this batch can tell
+            out = [key[take], ids[take], first[group][take], salt[take] >= 0, wide[group][take]]
             if goes_on and held[3]:
-                out = [np.concatenate(([x], y)) for x, y in zip((held[0], held[2], held[2], False), out, strict=True)]
+                out = [np.concatenate(([x], y)) for x, y in zip((held[0], held[2], held[2], False, True), out, strict=True)]
             last = group[-1]
             held = (key[-1], salt[-1], first[last], bool(size[last] == 1 and salt[-1] < 0 and not (goes_on and last == 0)))
             if len(out[0]):
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.asarray(x, dtype=np.int64)) for x in out[:3]), pa.array(np.asarray(out[3], dtype=bool))], names=["key", "id", "first", "salted"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.asarray(x, dtype=np.int64)) for x in out[:3]), *(pa.array(np.asarray(x, dtype=bool)) for x in out[3:])], names=["key", "id", "first", "salted", "wide"])
+
+    return sent.mapInArrow(run, "key long, id long, first long, salted boolean, wide boolean")
 
-    return sent.mapInArrow(run, "key long, id long, first long, salted boolean")
 
+def _sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The shingle set, 8 bytes a shingle, of each text in the pairs.
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The shingle set (8 bytes a shingle) and folded sketch of each wanted text."""
+    Texts are joined with the ids wanted. Before that shuffle most others go: their ids' hash
+    falls in none of the buckets of the ids wanted, of which there are ``ID_BUCKETS`` at most.
+    """
+    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    bucket = F.pmod(F.xxhash64("id"), F.lit(ID_BUCKETS)).cast("int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingle_sets(texts_of(part.column("text")))
-                sketches = np.array([folded_sketch(s) for s in sets], dtype=np.uint64).reshape(-1, FOLDED).view(np.int64)
-                columns = [part.column("id"), pa.array([len(s) for s in sets], type=pa.int64()), pa.array([s.tobytes() for s in sets], type=pa.binary())]
-                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(np.ascontiguousarray(sketches[:, k])) for k in range(FOLDED))], names=["id", "n", "shingles", *_sketch_names()])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([s.tobytes() for s in sets], type=pa.binary())], names=["id", "shingles"])
 
-    return docs.join(wanted, "id", "left_semi").mapInArrow(run, "id long, n long, shingles binary, " + ", ".join(f"{s} long" for s in _sketch_names()))
+    likely = docs.withColumn("bucket", bucket).join(F.broadcast(wanted.select(bucket.alias("bucket")).distinct()), "bucket", "left_semi").select("id", "text")
+    return likely.join(wanted, "id", "left_semi").mapInArrow(run, "id long, shingles binary")
 
 
 def _sketch_names() -> list[str]:
@@ -250,20 +259,32 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def _open_pairs(groups: DataFrame, sets: DataFrame, found: DataFrame, only_first: bool, percent: int) -> DataFrame:
-    """Pairs that share a key, lie in different components and pass the tests on sizes and folded
-    sketches: with their group's smallest id only, or all."""
-    placed = groups.select("key", "id", "first").join(found, "id", "left").select("key", "id", "first", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    rest = materialize(placed.join(mixed, "key").join(sets.drop("shingles"), "id"), "rest")
-    a, b = (rest.where("id = first") if only_first else rest).alias("a"), rest.alias("b")
+def _close(percent: int):
+    """The condition that rows a and b pass the tests on sizes and folded sketches."""
     distance = F.lit(0)
     for s in _sketch_names():
         distance = distance + F.bit_count(F.col(f"a.{s}").bitwiseXOR(F.col(f"b.{s}")))
-    apart = F.col("a.component") != F.col("b.component") if only_first else F.col("a.component") < F.col("b.component")
-    close = (F.col("a.n") * 100 >= F.col("b.n") * percent) & (F.col("b.n") * 100 >= F.col("a.n") * percent) & (distance * (100 + percent) <= (F.col("a.n") + F.col("b.n")) * (100 - percent))
-    same = F.col("a.key") == F.col("b.key")
-    return a.join(b, same & apart & close).select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
+    n, m = F.col("a.n"), F.col("b.n")
+    return (n * 100 >= m * percent) & (m * 100 >= n * percent) & (distance * (100 + percent) <= (n + m) * (100 - percent))
+
+
+def _star_pairs(groups: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Of every group, the smallest id with each other; where a key is spread over salts, the
+    smallest of their smallest ids with each of these."""
+    firsts = groups.where("salted").select("key", "first").distinct()
+    firsts = firsts.join(firsts.groupBy("key").agg(F.min("first").alias("least")), "key")
+    stars = groups.select("first", "id").unionByName(firsts.select(F.col("least").alias("first"), F.col("first").alias("id"))).where("first <> id").distinct()
+    a, b = sketches.alias("a"), sketches.alias("b")
+    return stars.join(b, stars["id"] == F.col("b.id")).join(a, (stars["first"] == F.col("a.id")) & _close(percent)).select(F.col("first").alias("a"), stars["id"].alias("b"))
+
+
+def _open_pairs(groups: DataFrame, sketches: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """The pairs within groups that lie in different components, as far as they pass the tests."""
+    placed = groups.where("wide or salted").select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    rest = placed.join(mixed, "key").join(sketches, "id")
+    a, b = rest.alias("a"), rest.alias("b")
+    return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component")) & _close(percent)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
 def join(df: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -276,22 +297,15 @@ def join(df: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int
         counts[bucket] = n
     # Into salts of about as many rows as a bucket has on average: 1 for all but common blocks.
     common = np.clip(np.rint(counts / max(counts.mean(), 1000.0)), 1, 32_000).astype(np.int64)
-    sent = _sent_blocks(docs, common)
-    grouped = _groups(sent.repartition("key", "salt").sortWithinPartitions("key", "salt", "id"))
-    groups = materialize(grouped, "groups")
-    sets = materialize(_sets(docs, groups.select("id").distinct()), "sets")
-    # Where a key is spread over salts, their smallest ids meet.
-    firsts = groups.where("salted").select("key", "first").distinct()
-    firsts = firsts.join(firsts.groupBy("key").agg(F.min("first").alias("least")), "key")
-    stars = groups.select(F.col("first").alias("a"), F.col("id").alias("b")).unionByName(firsts.select(F.col("least").alias("a"), F.col("first").alias("b")))
-    pairs = stars.where("a <> b").groupBy("b").agg(F.min("a").alias("a"))
-    links = materialize(_verified(pairs, sets, percent), "links")
+    groups = materialize(_groups(_sent_blocks(docs, common).repartition("key", "salt").sortWithinPartitions("key", "salt", "id")), "groups")
+    sketches = sizes.where("bucket is null and id is not null and n > 0").drop("bucket")
+    pairs = materialize(_star_pairs(groups, sketches, percent), "pairs")
+    links = materialize(_verified(pairs, materialize(_sets(docs, pairs), "sets"), percent), "links")
     found = materialize(components(links), "components")
-    for only_first in (True, False):
-        more = materialize(_verified(_open_pairs(groups, sets, found, only_first, percent), sets, percent), "links")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            found = materialize(components(links), "components")
+    pairs = materialize(_open_pairs(groups, sketches, found, percent), "pairs")
+    if not pairs.isEmpty():
+        more = _verified(pairs, materialize(_sets(docs, pairs), "sets"), percent)
+        found = materialize(components(links.unionByName(more)), "components")
     return (
         sizes.where("bucket is null")
         .join(found, "id", "left")

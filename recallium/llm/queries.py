@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, langid, toxicity, vptree, warc
+from . import bpe, decontaminate, jaccard, langid, licenses, tokencount, toxicity, urlrank, vptree, warc
 from .common import table
 
 WORD_BPE = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,6 +108,34 @@ SELECT query_id, r::INTEGER AS rank, vec_id, score FROM ranked WHERE r <= 20
 """
 
 
+def op8_urlrank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page."""
+    return urlrank.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrase places and licence labels of every document."""
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    starts, base = F.transform("places", lambda p: p["start"]), F.transform("places", lambda p: p["label"])
+    listed = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
+    covers = F.transform("spans", lambda s: s["cover"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        listed(base).alias("base_labels"),
+        listed(F.concat(base, F.transform("spans", lambda s: s["label"]))).alias("labels"),
+        F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(F.array_max(covers), F.lit(0.0))).alias("score"),
+    )
+
+
+def op10_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pre-tokens and tokens of every document."""
+    return tokencount.counts(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_langid": op2_langid,
@@ -115,5 +144,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": op5_warc,
     "op6_toxicity": op6_toxicity,
     "op7_vptree": op7_vptree,
+    "op8_urlrank": op8_urlrank,
+    "op9_licenses": op9_licenses,
+    "op10_tokencount": op10_tokencount,
 }
-ORACLE: dict[str, str] = {"op3_jaccard": OP3_SQL, "op5_warc": OP5_SQL, "op7_vptree": OP7_SQL}
+ORACLE: dict[str, str] = {"op3_jaccard": OP3_SQL, "op5_warc": OP5_SQL, "op7_vptree": OP7_SQL, "op8_urlrank": urlrank.oracle()}
