@@ -46,7 +46,7 @@ WIDTH = 5
 #: Jaccard similarity in percent from which texts link.
 PERCENT = 75
 #: Buckets of the histogram that orders blocks; it has this size whatever the input.
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
 #: Buckets of ids that are sent to every task before texts are joined with wanted ids.
 ID_BUCKETS = 1 << 18
 #: Words of the folded sketch of the Hamming test.
@@ -120,12 +120,14 @@ def _sizes(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, bucket int, " + ", ".join(f"{s} long" for s in _sketch_names()))
 
 
-def _sent_blocks(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """The blocks that each text sends: (key, salt, id). ``common`` says by bucket into how many
-    salts its blocks are spread (salt -1: not spread), which is also its place in the order: rare
-    blocks come first."""
+def _sent_blocks(docs: DataFrame, counts: np.ndarray) -> DataFrame:
+    """The blocks that each text sends: (key, salt, id). ``counts`` says how many texts have blocks
+    of a bucket: blocks of rare buckets come first, and those of common ones are spread over as
+    many salts as ``salts_of`` says (salt -1: not spread)."""
+    shared = docs.sparkSession.sparkContext.broadcast((counts.astype(np.uint32), salts_of(counts).astype(np.uint16)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order, spread = shared.value
         for batch in batches:
             for part in slices(batch, "text"):
                 ids = part.column("id").to_pylist()
@@ -135,24 +137,31 @@ def _sent_blocks(docs: DataFrame, common: np.ndarray) -> DataFrame:
                         continue
                     for band in bands(len(s)):
                         blocks = sketch_blocks(s, band)
-                        place = common[(blocks % np.uint64(BUCKETS)).astype(np.int64)]
-                        sent = np.lexsort((blocks, place))[: most_different(len(s)) + 1]
+                        bucket = (blocks % np.uint64(BUCKETS)).astype(np.int64)
+                        sent = np.lexsort((blocks, order[bucket]))[: most_different(len(s)) + 1]
                         keys.append(blocks[sent])
                         owners.append(np.full(len(sent), i, dtype=np.int64))
-                        spread = (mix64(np.array([i], dtype=np.int64).view(np.uint64))[0] % place[sent].astype(np.uint64)).astype(np.int16)
-                        salts.append(np.where(place[sent] > 1, spread, np.int16(-1)).astype(np.int16))
+                        into = spread[bucket[sent]]
+                        own = (mix64(np.array([i], dtype=np.int64).view(np.uint64))[0] % into.astype(np.uint64)).astype(np.int16)
+                        salts.append(np.where(into > 1, own, np.int16(-1)).astype(np.int16))
                 if keys:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(salts)), pa.array(np.concatenate(owners))], names=["key", "salt", "id"])
 
     return docs.mapInArrow(run, "key long, salt short, id long")
 
 
+def salts_of(counts: np.ndarray) -> np.ndarray:
+    """Into how many salts the blocks of each bucket are spread: 1 for all but common ones."""
+    return np.clip(counts // (4 * int(counts.mean()) + 20_000), 1, 32_000)
+
+
 def _groups(sent: DataFrame) -> DataFrame:
     """Of rows sorted by (key, salt, id): those of keys that several rows have or that are
-    spread over salts, each with the smallest id of its (key, salt) as ``first``. Of groups of
-    one batch that have the same members, one is enough. ``wide`` is false for pairs."""
+    spread over salts, each with the smallest id of its (key, salt) as ``first``. Of a task's groups
+    that have the same members, one is enough. ``wide`` is false for pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # hashes of the groups' members; only spares work
         held = None  # the last group seen so far: (key, salt, first id, rows not yet given out)
         for batch in batches:
             key, salt, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
@@ -170,11 +179,15 @@ def _groups(sent: DataFrame) -> DataFrame:
             size = np.diff(np.concatenate((starts, [len(key)])))
             with np.errstate(over="ignore"):
                 members = np.add.reduceat(mix64(ids.view(np.uint64)), starts)
-            fresh = np.zeros(len(starts), dtype=bool)
-            fresh[np.unique(members, return_index=True)[1]] = True
-            fresh[[0, -1]] = True  # these may go on in other batches
+            fresh = size > 1
+            for g in np.flatnonzero(fresh[1:-1]) + 1:  # the first and last may go on in other batches
+                m = int(members[g])
+                fresh[g] = m not in seen
+                seen.add(m)
+            if len(seen) > 500_000:
+                seen.clear()
             # A row alone in its group is let go once the group has ended: the batch's last one waits.
-            take = ((size > 1) & fresh)[group] | (salt >= 0)
+            take = fresh[group] | (salt >= 0)
             if goes_on:
                 take |= group == 0
             wide = size > 2
@@ -295,9 +308,7 @@ def join(df: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int
     counts = np.zeros(BUCKETS, dtype=np.int64)
     for bucket, n in sizes.where("bucket is not null").groupBy("bucket").agg(F.sum("n")).collect():
         counts[bucket] = n
-    # Into salts of about as many rows as a bucket has on average: 1 for all but common blocks.
-    common = np.clip(np.rint(counts / max(counts.mean(), 1000.0)), 1, 32_000).astype(np.int64)
-    groups = materialize(_groups(_sent_blocks(docs, common).repartition("key", "salt").sortWithinPartitions("key", "salt", "id")), "groups")
+    groups = materialize(_groups(_sent_blocks(docs, counts).repartition("key", "salt").sortWithinPartitions("key", "salt", "id")), "groups")
     sketches = sizes.where("bucket is null and id is not null and n > 0").drop("bucket")
     pairs = materialize(_star_pairs(groups, sketches, percent), "pairs")
     links = materialize(_verified(pairs, materialize(_sets(docs, pairs), "sets"), percent), "links")
