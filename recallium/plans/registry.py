@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import relational
+from . import relational, textual
 
-MODULES = [relational]
+MODULES = [relational, textual]
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: s for m in MODULES for name, s in m.ORACLE.items()}

@@ -123,10 +123,10 @@ def new_contents(t: Tables) -> DataFrame:
     return t.documents.join(stored, "hash", "left_anti").groupBy("hash").agg(F.min("id").alias("id"))
 
 
-@query("upsert_documents", "docs", "SELECT d.id, coalesce(n.title, d.title) AS title, d.revision_count + CASE WHEN n.id IS NULL THEN 0 ELSE 1 END AS revision_count FROM docs d LEFT JOIN (SELECT id, upper(title) AS title FROM docs WHERE content_type = 'note') n ON n.id = d.id")
+@query("upsert_documents", "docs", "SELECT d.id, coalesce(n.title, d.title) AS title, d.revision_count + CASE WHEN n.id IS NULL THEN 0 ELSE 1 END AS revision_count FROM docs d LEFT JOIN (SELECT id, 'new ' || title AS title FROM docs WHERE content_type = 'note') n ON n.id = d.id")
 def upsert_documents(t: Tables) -> DataFrame:
     old = t.documents.select("id", "title", "revision_count")
-    new = t.documents.where("content_type = 'note'").select("id", F.upper("title").alias("title"), (F.col("revision_count") + 1).alias("revision_count"))
+    new = t.documents.where("content_type = 'note'").select("id", F.concat(F.lit("new "), "title").alias("title"), (F.col("revision_count") + 1).alias("revision_count"))
     return lifecycle.upsert(old, new, ["id"])
 
 
@@ -198,9 +198,9 @@ def prompt_dedupe(t: Tables) -> DataFrame:
 
 @query(
     "save_dedupe", "recall",
-    """WITH RECURSIVE ordered AS (SELECT id, event_type, doc_id, floor(epoch(surfaced_at))::BIGINT AS at, row_number() OVER (PARTITION BY event_type, doc_id ORDER BY floor(epoch(surfaced_at)), id) AS r FROM recall),
-    fold AS (SELECT id, event_type, doc_id, at, r, at AS start, id AS survivor FROM ordered WHERE r = 1
-      UNION ALL SELECT o.id, o.event_type, o.doc_id, o.at, o.r, CASE WHEN o.at - f.start >= 86400 THEN o.at ELSE f.start END, CASE WHEN o.at - f.start >= 86400 THEN o.id ELSE f.survivor END
+    """WITH RECURSIVE ordered AS (SELECT id, event_type, doc_id, floor(epoch(surfaced_at))::BIGINT AS secs, row_number() OVER (PARTITION BY event_type, doc_id ORDER BY floor(epoch(surfaced_at)), id) AS r FROM recall),
+    fold AS (SELECT id, event_type, doc_id, secs, r, secs AS since, id AS survivor FROM ordered WHERE r = 1
+      UNION ALL SELECT o.id, o.event_type, o.doc_id, o.secs, o.r, CASE WHEN o.secs - f.since >= 86400 THEN o.secs ELSE f.since END, CASE WHEN o.secs - f.since >= 86400 THEN o.id ELSE f.survivor END
       FROM fold f JOIN ordered o ON o.event_type = f.event_type AND o.doc_id = f.doc_id AND o.r = f.r + 1)
     SELECT id, survivor FROM fold""",
 )
@@ -387,5 +387,10 @@ def audit_retention(t: Tables) -> DataFrame:
 @query("theme_counts", "", r"WITH w AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark), g AS (SELECT array_to_string(list_slice(w, i, i + n - 1), ' ') AS gram, n FROM (SELECT w, unnest([2, 3]) AS n, w AS x FROM w), unnest(range(1, greatest(len(w) - n + 2, 1))) AS u(i)) SELECT gram, n, count(*) AS c FROM g GROUP BY gram, n HAVING count(*) >= 3 ORDER BY c DESC, n DESC, gram LIMIT 20")
 def theme_counts(t: Tables) -> DataFrame:
     w = t.raw("benchmark").select(T.tokens(F.col("text")).alias("w"))
-    grams = [w.where(F.size("w") >= n).select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i, n=n: F.concat_ws(" ", F.slice("w", i, n)))).alias("gram"), F.lit(n).alias("n")) for n in (2, 3)]
+
+    def grams_of(n: int) -> DataFrame:
+        each = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.concat_ws(" ", F.slice("w", i, n)))
+        return w.where(F.size("w") >= n).select(F.explode(each).alias("gram"), F.lit(n).alias("n"))
+
+    grams = [grams_of(2), grams_of(3)]
     return grams[0].unionByName(grams[1]).groupBy("gram", "n").agg(F.count("*").alias("c")).where("c >= 3").orderBy(F.desc("c"), F.desc("n"), "gram").limit(20)
