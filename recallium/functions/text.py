@@ -65,8 +65,9 @@ def word_set(text: Column) -> Column:
 def shingle_set(text: Column) -> Column:
     """Bigrams, and words of more than three characters."""
     t = tokens(text)
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(t, i, 2)))
-    return F.array_distinct(F.concat(F.when(F.size(t) > 1, pairs).otherwise(F.array().cast("array<string>")), F.filter(t, lambda w: F.length(w) > 3)))
+    n = F.greatest(F.size(t) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(t, F.lit(1), n), F.slice(t, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.array_distinct(F.concat(pairs, F.filter(t, lambda w: F.length(w) > 3)))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -1,12 +1,17 @@
 """Vector search in double precision: cosine, exact neighbours, graphs of similar documents.
 
-Neighbours of a stated set of queries are found by a join of the queries with all rows within
-blocks of rows; the partial best of each block is kept before the merge, so no task holds the
-candidates of a query from all blocks.
+Rows are packed into chunks of a bounded number of rows. A chunk of queries meets a chunk of rows
+once; a matrix product gives their similarities and only the best few of each query leave it, so
+no pair is ever a row and a hot group is only more chunks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,21 +30,53 @@ def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column |
     return F.when((F.size(a) != F.size(b)) | (n == 0), 0.0).otherwise(dot(a, b) / n)
 
 
-def knn(queries: DataFrame, rows: DataFrame, k: int, *, blocks: int = 32, same_block: str | None = None) -> DataFrame:
-    """(query_id, doc_id, similarity, rank) of each query's k most similar rows but itself.
+CHUNK_ROWS = 1024
+
+
+def _chunks(rows: DataFrame, block: str | None) -> DataFrame:
+    """(block, chunk, ids, data): vectors of unit length (zero vectors stay) as bytes.
+
+    A row's chunk follows a hash of its id and the number of rows of its block.
+    """
+    own = rows.select("doc_id", "v", (F.col(block).cast("string") if block else F.lit("")).alias("block")).where("v is not null")
+    n = own.groupBy("block").agg(F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias("chunks"))
+    dealt = own.join(n, "block").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")))
+
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("doc_id")
+        data = np.stack(pdf["v"].to_numpy()).astype(np.float64)
+        size = np.sqrt((data**2).sum(axis=1, keepdims=True))
+        data = np.divide(data, size, out=np.zeros_like(data), where=size > 0)
+        return pd.DataFrame({"block": [key[0]], "chunk": [key[1]], "ids": [pdf["doc_id"].to_numpy(dtype=np.int64).tobytes()], "data": [data.tobytes()]})
+
+    return dealt.groupBy("block", "chunk").applyInPandas(pack, "block string, chunk long, ids binary, data binary")
+
+
+def knn(queries: DataFrame, rows: DataFrame, k: int, *, same_block: str | None = None) -> DataFrame:
+    """(query_id, doc_id, similarity, rank) of each query's k most similar rows but itself, by
+    cosine rounded to 9 digits, ties to the smaller id.
 
     ``queries`` and ``rows`` have doc_id and v. With ``same_block``, a column of both, only rows
     of the query's own block are compared.
     """
-    q = queries.select(F.col("doc_id").alias("query_id"), F.col("v").alias("qv"), norm(F.col("v")).alias("qn"), *([F.col(same_block).alias("block")] if same_block else []))
-    r = rows.select("doc_id", "v", norm(F.col("v")).alias("n"), (F.col(same_block) if same_block else F.pmod(F.xxhash64("doc_id"), F.lit(blocks))).alias("block"))
-    if not same_block:
-        q = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    met = q.join(r, "block").where("query_id <> doc_id").select("query_id", "doc_id", "block", F.round(cosine(F.col("qv"), F.col("v"), F.col("qn"), F.col("n")), 12).alias("similarity"))
-    part = Window.partitionBy("query_id", "block").orderBy(F.desc("similarity"), "doc_id")
-    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "doc_id")
-    partial = met.withColumn("p", F.row_number().over(part)).where(F.col("p") <= k)
-    return partial.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "doc_id", "similarity", "rank")
+    q = _chunks(queries, same_block).select("block", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+    met = q.join(_chunks(rows, same_block), "block").select("q_ids", "q_data", "ids", "data")
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                own, ids = np.frombuffer(r["q_ids"], dtype=np.int64), np.frombuffer(r["ids"], dtype=np.int64)
+                x, y = np.frombuffer(r["q_data"]).reshape(len(own), -1), np.frombuffer(r["data"]).reshape(len(ids), -1)
+                near = np.round(x @ y.T, 9)
+                near[own[:, None] == ids[None, :]] = -np.inf
+                at = np.argsort(-near, axis=1, kind="stable")[:, :k]  # ids ascend, so ties keep their order
+                score = np.take_along_axis(near, at, axis=1)
+                keep = score.ravel() > -np.inf
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, at.shape[1])[keep]), pa.array(ids[at].ravel()[keep]), pa.array(score.ravel()[keep])], names=["query_id", "doc_id", "similarity"])
+
+    found = met.mapInArrow(best, "query_id long, doc_id long, similarity double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "doc_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def semantic_edges(rows: DataFrame, threshold: float, top: int, block: str) -> DataFrame:

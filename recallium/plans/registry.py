@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import relational, textual
+from . import relational, search, textual
 
-MODULES = [relational, textual]
+MODULES = [relational, textual, search]
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: s for m in MODULES for name, s in m.ORACLE.items()}
