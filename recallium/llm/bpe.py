@@ -35,6 +35,8 @@ from .common import slices
 _PLAIN = regex.compile(r"[\x00-\x1b\x20-\x84\x86-ɏ]*")
 #: Distinct pre-tokens kept between batches.
 CACHE_ENTRIES = 400_000
+#: Text whose pre-tokens are merged together.
+SLICE_BYTES = 8 << 20
 
 
 def byte_symbols() -> list[str]:
@@ -238,7 +240,7 @@ def encode(df: DataFrame, vocabulary_path: str, *, key: str = "doc_id", text: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(vocabulary_path)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 flat, at = encode_texts(voc, [t or "" for t in part.column("text").to_pylist()])
                 ids = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat))
                 tokens, at = flat.tolist(), at.tolist()

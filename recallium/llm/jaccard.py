@@ -16,8 +16,8 @@ Hamming distance. Sets with Jaccard similarity ``t`` differ in at most
   equal (band, block, value). Blocks that many texts have come last in that order; a histogram
   of fixed size over all texts gives it, and spreads the few blocks over salts that are common
   and yet sent.
-* Verification. Joined pairs face first the Hamming bound on a folded sketch, then the exact
-  shingle sets.
+* Verification. Joined pairs face first the Hamming bound, on a sketch folded to 512 bits and on
+  one of about as many bits as shingles, then the exact shingle sets.
 
 Groups that share a block may be large. No group is expanded into its pairs: first each text is
 only paired with the smallest id of each of its groups; what links is merged into components;
@@ -75,24 +75,48 @@ def blocks_of_band(band: int) -> int:
     return max(1 << 16, 8 ** (band + 2))
 
 
-def sketch_blocks(shingles: np.ndarray, band: int) -> np.ndarray:
-    """One hash for each (block number, value) of the blocks of the parity sketch that aren't 0."""
-    block = shingles & np.uint64(blocks_of_band(band) - 1)
-    order = np.argsort(block, kind="stable")
-    block = block[order]
+def sketch_blocks(shingles: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the blocks of the parity sketch of sorted shingles that aren't 0: one hash for (band,
+    block number, value), and the value."""
+    block = shingles >> np.uint64(65 - blocks_of_band(band).bit_length())
     starts = np.concatenate(([0], np.flatnonzero(block[1:] != block[:-1]) + 1))
-    value = np.bitwise_xor.reduceat(mix64(shingles)[order], starts)
-    block = block[starts][value != 0]
+    value = np.bitwise_xor.reduceat(mix64(shingles), starts)
+    block = block[starts]
+    if not value.all():
+        block, value = block[value != 0], value[value != 0]
     with np.errstate(over="ignore"):
-        return mix64(mix64((block << np.uint64(8)) + np.uint64(band)) + value[value != 0])
+        return mix64(value + block * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band)), value
 
 
-def folded_sketch(shingles: np.ndarray) -> np.ndarray:
-    """The parity sketch folded to ``FOLDED`` words: its Hamming distance is a lower bound too."""
-    out = np.zeros(FOLDED, dtype=np.uint64)
-    mixed = shingles >> np.uint64(40)
-    np.bitwise_xor.at(out, (mixed >> np.uint64(6)) % np.uint64(FOLDED), np.uint64(1) << (mixed & np.uint64(63)))
-    return out
+def sent_blocks(shingles: np.ndarray, band: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The blocks that a text sends in a band and their buckets: of the order by bucket counts and
+    hash, the first as many as it may differ from a partner in, and one."""
+    keys, values = sketch_blocks(shingles, band)
+    bucket = (values % np.uint64(BUCKETS)).astype(np.int64)
+    n = most_different(len(shingles)) + 1
+    if n < len(keys):
+        place = (np.minimum(counts[bucket], (1 << 24) - 1).astype(np.uint64) << np.uint64(40)) | (keys >> np.uint64(24))
+        first = np.argpartition(place, n - 1)[:n]
+        keys, bucket = keys[first], bucket[first]
+    return keys, bucket
+
+
+def bit_sketch(shingles: np.ndarray) -> np.ndarray:
+    """The parity sketch with one bit for a shingle: as many bits as shingles, up to a power of two,
+    512 at least; in bytes. Folded to fewer bits it is the sketch of that width."""
+    bits = max(64 * FOLDED, 1 << (len(shingles) - 1).bit_length() if len(shingles) else 0)
+    return np.packbits((np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little")
+
+
+def folded(sketch: np.ndarray, size: int) -> np.ndarray:
+    """A sketch folded to ``size`` bytes by XOR."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, size), axis=0)
+
+
+def distance(x: np.ndarray, y: np.ndarray) -> int:
+    """Hamming distance of two sketches, the longer one folded."""
+    size = min(len(x), len(y))
+    return int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum())
 
 
 def _narrow(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -100,24 +124,24 @@ def _narrow(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _sizes(docs: DataFrame) -> DataFrame:
-    """One pass over the texts: (id, n, folded sketch) of each, and the counts of blocks by bucket."""
+    """One pass over the texts: (id, n, sketch, the sketch folded to words) of each, and how many
+    texts have shingles of each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(BUCKETS, dtype=np.int64)
-        names = ["id", "n", "bucket", *_sketch_names()]
+        names = ["id", "n", "bucket", "sketch", *_sketch_names()]
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingle_sets(texts_of(part.column("text")))
-                blocks = [sketch_blocks(s, band) for s in sets if len(s) for band in bands(len(s))]
-                if blocks:
-                    seen += np.bincount((np.concatenate(blocks) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-                sketches = np.array([folded_sketch(s) for s in sets], dtype=np.uint64).reshape(-1, FOLDED).view(np.int64)
+                seen += np.bincount((mix64(np.concatenate(sets)) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+                sketches = [bit_sketch(s) for s in sets]
+                short = np.array([folded(s, 8 * FOLDED) for s in sketches]).view(np.int64)
                 n = pa.array([len(s) for s in sets], type=pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("id"), n, pa.nulls(len(sets), pa.int32()), *(pa.array(np.ascontiguousarray(sketches[:, k])) for k in range(FOLDED))], names=names)
+                yield pa.RecordBatch.from_arrays([part.column("id"), n, pa.nulls(len(sets), pa.int32()), pa.array([s.tobytes() for s in sketches], type=pa.binary()), *(pa.array(np.ascontiguousarray(short[:, k])) for k in range(FOLDED))], names=names)
         used = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(used), pa.int64()), pa.array(seen[used]), pa.array(used.astype(np.int32)), *(pa.nulls(len(used), pa.int64()) for _ in range(FOLDED))], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(used), pa.int64()), pa.array(seen[used]), pa.array(used.astype(np.int32)), pa.nulls(len(used), pa.binary()), *(pa.nulls(len(used), pa.int64()) for _ in range(FOLDED))], names=names)
 
-    return docs.mapInArrow(run, "id long, n long, bucket int, " + ", ".join(f"{s} long" for s in _sketch_names()))
+    return docs.mapInArrow(run, "id long, n long, bucket int, sketch binary, " + ", ".join(f"{s} long" for s in _sketch_names()))
 
 
 def _sent_blocks(docs: DataFrame, counts: np.ndarray) -> DataFrame:
@@ -136,12 +160,10 @@ def _sent_blocks(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                     if not len(s) or i is None:
                         continue
                     for band in bands(len(s)):
-                        blocks = sketch_blocks(s, band)
-                        bucket = (blocks % np.uint64(BUCKETS)).astype(np.int64)
-                        sent = np.lexsort((blocks, order[bucket]))[: most_different(len(s)) + 1]
-                        keys.append(blocks[sent])
+                        sent, bucket = sent_blocks(s, band, order)
+                        keys.append(sent)
                         owners.append(np.full(len(sent), i, dtype=np.int64))
-                        into = spread[bucket[sent]]
+                        into = spread[bucket]
                         own = (mix64(np.array([i], dtype=np.int64).view(np.uint64))[0] % into.astype(np.uint64)).astype(np.int16)
                         salts.append(np.where(into > 1, own, np.int16(-1)).astype(np.int16))
                 if keys:
@@ -226,6 +248,29 @@ def _sketch_names() -> list[str]:
     return [f"s{k}" for k in range(FOLDED)]
 
 
+def _near(pairs: DataFrame, sizes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Those of the pairs (a, b) whose whole sketches are near enough."""
+    left = sizes.select(F.col("id").alias("a"), F.col("n").alias("n"), F.col("sketch").alias("x"))
+    right = sizes.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y"))
+
+    def near(a: bytes, b: bytes, total: int) -> bool:
+        return distance(np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)) * (100 + percent) <= total * (100 - percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y, n, m = (batch.column(c).to_pylist() for c in ("x", "y", "n", "m"))
+            mask = pa.array([near(a, b, i + j) for a, b, i, j in zip(x, y, n, m, strict=True)], type=pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y", "n", "m").mapInArrow(run, "a long, b long").distinct()
+
+
+def _linked(docs: DataFrame, sizes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs that link, as a written table."""
+    close = materialize(_near(pairs, sizes, percent), "pairs")
+    return materialize(_verified(close, materialize(_sets(docs, close), "sets"), percent), "links")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Those of the pairs (a, b) that link by their exact sets."""
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
@@ -292,7 +337,8 @@ def _star_pairs(groups: DataFrame, sketches: DataFrame, percent: int) -> DataFra
 
 
 def _open_pairs(groups: DataFrame, sketches: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """The pairs within groups that lie in different components, as far as they pass the tests."""
+    """The pairs within groups that lie in different components, as far as they pass the tests
+    on sizes and folded sketches."""
     placed = groups.where("wide or salted").select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     rest = placed.join(mixed, "key").join(sketches, "id")
@@ -309,13 +355,12 @@ def join(df: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int
     for bucket, n in sizes.where("bucket is not null").groupBy("bucket").agg(F.sum("n")).collect():
         counts[bucket] = n
     groups = materialize(_groups(_sent_blocks(docs, counts).repartition("key", "salt").sortWithinPartitions("key", "salt", "id")), "groups")
-    sketches = sizes.where("bucket is null and id is not null and n > 0").drop("bucket")
-    pairs = materialize(_star_pairs(groups, sketches, percent), "pairs")
-    links = materialize(_verified(pairs, materialize(_sets(docs, pairs), "sets"), percent), "links")
+    known = sizes.where("bucket is null and id is not null and n > 0").drop("bucket")
+    short = known.drop("sketch")
+    links = _linked(docs, known, _star_pairs(groups, short, percent), percent)
     found = materialize(components(links), "components")
-    pairs = materialize(_open_pairs(groups, sketches, found, percent), "pairs")
-    if not pairs.isEmpty():
-        more = _verified(pairs, materialize(_sets(docs, pairs), "sets"), percent)
+    more = _linked(docs, known, _open_pairs(groups, short, found, percent), percent)
+    if not more.isEmpty():
         found = materialize(components(links.unionByName(more)), "components")
     return (
         sizes.where("bucket is null")
