@@ -92,10 +92,12 @@ def contradictions(t: Tables) -> DataFrame:
     return t.conversations.join(after, ["conv_id", "turn"]).select("conv_id", "turn", judge.contradiction(F.col("text"), F.col("y")).alias("score"))
 
 
-_ANCHORS = rf"list_filter(list_distinct(list_transform(list_filter(regexp_extract_all({{x}}, '{extract.WORD}'), lambda w: regexp_matches(w, '{extract.CAPITALISED}')), lambda w: lower(w))), lambda w: w NOT IN ({textual._STOP}))"
+def _anchors(x: str) -> str:
+    return f"list_filter(list_distinct(list_transform(list_filter(regexp_extract_all({x}, '{extract.WORD}'), lambda w: regexp_matches(w, '{extract.CAPITALISED}')), lambda w: lower(w))), lambda w: w NOT IN ({textual._STOP}))"
 
 
-@query("merge_safety", "", f"""WITH p AS (SELECT a.conv_id, a.turn, {_ANCHORS.format(x='a.text')} AS x, {_ANCHORS.format(x='b.text')} AS y, list_distinct({textual.TOK.format(x='a.text')}) AS v, list_distinct({textual.TOK.format(x='b.text')}) AS w FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+
+@query("merge_safety", "", f"""WITH p AS (SELECT a.conv_id, a.turn, {_anchors('a.text')} AS x, {_anchors('b.text')} AS y, list_distinct({textual.TOK.format(x='a.text')}) AS v, list_distinct({textual.TOK.format(x='b.text')}) AS w FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
 m AS (SELECT *, len(list_intersect(x, y)) AS both_, least(len(x), len(y)) AS least_, CASE WHEN len(v) = 0 AND len(w) = 0 THEN 1 WHEN len(v) = 0 OR len(w) = 0 THEN 0 ELSE len(list_intersect(v, w)) / (len(v) + len(w) - len(list_intersect(v, w))) END AS sim FROM p)
 SELECT conv_id, turn, CASE WHEN least_ = 0 OR both_ = least_ THEN false WHEN both_ = 0 THEN true ELSE both_ / least_ <= 0.5 END AS diverging, CASE WHEN len(x) = 0 OR len(y) = 0 THEN sim >= 0.98 WHEN (CASE WHEN least_ = 0 OR both_ = least_ THEN false WHEN both_ = 0 THEN true ELSE both_ / least_ <= 0.5 END) THEN false ELSE sim >= 0.93 END AS safe FROM m""")
 def merge_safety(t: Tables) -> DataFrame:
