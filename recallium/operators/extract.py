@@ -72,7 +72,7 @@ def triples(text: Column) -> Column:
 def json_block(text: Column) -> Column:
     """The JSON in a model's answer: what a fence holds, else from the first bracket to the last;
     commas before closing brackets go. Null where nothing parses."""
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
+    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
     bare = F.regexp_extract(text, r"(?s)([\[{].*[\]}])", 1)
     cut = F.regexp_replace(F.when(fenced != "", F.trim(fenced)).otherwise(bare), r",\s*([\]}])", "$1")
     return F.when(F.try_parse_json(cut).isNotNull() & (cut != ""), cut)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import extraction, relational, search, textual
+from . import extraction, relational, search, streams, surfaces, textual
 
-MODULES = [relational, textual, search, extraction]
+MODULES = [relational, textual, search, extraction, surfaces, streams]
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: s for m in MODULES for name, s in m.ORACLE.items()}
