@@ -179,8 +179,8 @@ def salts_of(counts: np.ndarray) -> np.ndarray:
 
 def _groups(sent: DataFrame) -> DataFrame:
     """Of rows sorted by (key, salt, id): those of keys that several rows have or that are
-    spread over salts, each with the smallest id of its (key, salt) as ``first``. Of a task's groups
-    that have the same members, one is enough. ``wide`` is false for pairs."""
+    spread over salts, each with the smallest id of its (key, salt) as ``first``. Groups that have
+    the same members are one: ``key`` is a hash of the members. ``wide`` is false for pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # hashes of the groups' members; only spares work
@@ -214,7 +214,11 @@ def _groups(sent: DataFrame) -> DataFrame:
                 take |= group == 0
             wide = size > 2
             wide[[0, -1]] = True  # for all that this batch can tell
-            out = [key[take], ids[take], first[group][take], salt[take] >= 0, wide[group][take]]
+            # A group that is all here goes by its members, so that equal ones of other tasks fall together.
+            whole = np.ones(len(starts), dtype=bool)
+            whole[[0, -1]] = False
+            named = np.where(whole[group] & (salt < 0), members.view(np.int64)[group], key)
+            out = [named[take], ids[take], first[group][take], salt[take] >= 0, wide[group][take]]
             if goes_on and held[3]:
                 out = [np.concatenate(([x], y)) for x, y in zip((held[0], held[2], held[2], False, True), out, strict=True)]
             last = group[-1]
@@ -339,7 +343,7 @@ def _star_pairs(groups: DataFrame, sketches: DataFrame, percent: int) -> DataFra
 def _open_pairs(groups: DataFrame, sketches: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """The pairs within groups that lie in different components, as far as they pass the tests
     on sizes and folded sketches."""
-    placed = groups.where("wide or salted").select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    placed = groups.where("wide or salted").select("key", "id").distinct().join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     rest = placed.join(mixed, "key").join(sketches, "id")
     a, b = rest.alias("a"), rest.alias("b")
