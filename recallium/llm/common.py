@@ -42,7 +42,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def slices(batch: pa.RecordBatch, text: str, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose text takes about ``most_bytes`` at most (a single
     longer text makes a run of its own), so that memory depends on neither row count nor skew."""
     column = batch.column(text)
@@ -133,7 +133,7 @@ _POWER_CACHE: dict[int, np.ndarray] = {}
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; grown by doubling and kept up to 16 M entries."""
+    """base**0 .. base**(n-1) modulo 2**64; grown by doubling and kept up to 2 M entries."""
     known = _POWER_CACHE.get(int(base))
     if known is None:
         known = np.ones(1, dtype=np.uint64)
@@ -141,7 +141,7 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
         while len(known) < n:
             step = np.uint64(pow(int(base), len(known), 1 << 64))
             known = np.concatenate((known, known * step))
-    if len(known) <= 16 << 20:
+    if len(known) <= 2 << 20:
         _POWER_CACHE[int(base)] = known
     return known[:n]
 

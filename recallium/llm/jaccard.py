@@ -21,8 +21,8 @@ Hamming distance. Sets with Jaccard similarity ``t`` differ in at most
 
 Groups that share a block may be large. No group is expanded into its pairs: first each text is
 only paired with the smallest id of each of its groups; what links is merged into components;
-then only those texts of a group that lie in different components are compared, by a join on the
-block in which Spark splits skewed keys. No link between texts of different components is lost.
+then only those texts of a group that lie in different components are compared, chunk by chunk.
+No link between texts of different components is lost.
 
 Defined cases: null and empty texts have the empty set, no links and their own id as component;
 rows with equal ids are one vertex that has the links of all of them; rows whose id is null
@@ -49,6 +49,8 @@ PERCENT = 75
 BUCKETS = 1 << 18
 #: Buckets of ids that are sent to every task before texts are joined with wanted ids.
 ID_BUCKETS = 1 << 18
+#: Rows of a group that are compared with as many others in one place.
+CHUNK_ROWS = 4096
 #: Words of the folded sketch of the Hamming test.
 FOLDED = 8
 
@@ -342,12 +344,66 @@ def _star_pairs(groups: DataFrame, sketches: DataFrame, percent: int) -> DataFra
 
 def _open_pairs(groups: DataFrame, sketches: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """The pairs within groups that lie in different components, as far as they pass the tests
-    on sizes and folded sketches."""
+    on sizes and folded sketches.
+
+    Groups are cut into chunks of about ``CHUNK_ROWS`` by a hash of the id and each pair of chunks
+    is looked at in one place, as arrays; a pair of texts leaves a task once however many groups
+    it shares.
+    """
     placed = groups.where("wide or salted").select("key", "id").distinct().join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    rest = placed.join(mixed, "key").join(sketches, "id")
-    a, b = rest.alias("a"), rest.alias("b")
-    return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component")) & _close(percent)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias("chunks")).where("low <> high").select("key", "chunks")
+    rest = placed.join(mixed, "key").join(sketches, "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rest = rest.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "n", *_sketch_names())
+
+    def within(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        i, j, own, ids, component, n = (r for r in rows[:6])
+        words = np.stack(rows[6:], axis=1).view(np.uint64)
+        a_all, b_all = [], []
+        for low in range(0, len(ids), 256):
+            part = slice(low, low + 256)
+            apart = component[part, None] < component[None, :]
+            if i[0] != j[0]:
+                apart &= own[part, None] != own[None, :]
+            a, b = np.nonzero(apart)
+            a += low
+            near = (n[a] * 100 >= n[b] * percent) & (n[b] * 100 >= n[a] * percent)
+            a, b = a[near], b[near]
+            distance = np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int64)
+            near = distance * (100 + percent) <= (n[a] + n[b]) * (100 - percent)
+            a_all.append(ids[a[near]])
+            b_all.append(ids[b[near]])
+        return np.concatenate(a_all), np.concatenate(b_all)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()  # only spares rows
+
+        def given(group: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            a, b = within(group)
+            fresh = {p for p in zip(a.tolist(), b.tolist(), strict=True) if p not in seen}
+            if len(seen) > 500_000:
+                seen.clear()
+            seen.update(fresh)
+            if fresh:
+                a, b = zip(*fresh, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64())], names=["a", "b"])
+
+        held: list[np.ndarray] | None = None  # columns key, i, j, own, id, component, n, words of the group that may go on
+        for batch in batches:
+            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)]
+            if held is not None:
+                columns = [np.concatenate(c) for c in zip(held, columns, strict=True)]
+            key, i, j = columns[:3]
+            if not len(key):
+                continue
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            starts = [0, *cuts.tolist()]
+            for low, high in zip(starts, starts[1:], strict=False):
+                yield from given([c[low:high] for c in columns[1:]])
+            held = [c[starts[-1] :] for c in columns]
+        if held is not None and len(held[0]):
+            yield from given(held[1:])
+
+    return rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
 def join(df: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:

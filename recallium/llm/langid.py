@@ -203,7 +203,7 @@ def identify(df: DataFrame, learned: dict[str, bytes], *, key: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", 2 << 20):
                 langs, scores = predict(learned, part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(langs, type=pa.string()), pa.array(scores, type=pa.float64())], names=[key, "lang_pred", "score"])
 
