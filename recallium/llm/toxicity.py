@@ -1,7 +1,7 @@
 """Operator 6: toxicity by compression distance.
 
 Two zstandard dictionaries are trained, one on ordinary and one on toxic text. A window of
-``WINDOW_WORDS`` words is compressed with the ordinary dictionary and with the toxic one put
+``WINDOW_WORDS`` words, which the next overlaps by half, is compressed with the ordinary dictionary and with the toxic one put
 before it; how many bytes the toxic one saves is the window's distance. Thresholds on it are
 calibrated as log likelihood ratios: how often windows of toxic and of ordinary documents save
 0, 1, 2 ... bytes. A document's ratios, summed over all its windows, go through a logistic curve
@@ -38,8 +38,10 @@ from .common import slices
 from .langid import held_out
 
 WINDOW_WORDS = 8
-TOXIC_DOCUMENTS, ORDINARY_DOCUMENTS, SAMPLED_WINDOWS = 1500, 4000, 400
-ORDINARY_BYTES, ORDINARY_MOST, TOXIC_BYTES, ROUNDS = 60_000, 120_000, 7_500, 5
+TOXIC_DOCUMENTS, ORDINARY_DOCUMENTS, SAMPLED_WINDOWS = 3000, 6000, 240
+ORDINARY_BYTES, ORDINARY_MOST, TOXIC_BYTES, ROUNDS = 60_000, 120_000, 7_500, 10
+#: Of the sampled windows, how many of a document train dictionaries, and how many join them as hard.
+TOXIC_WINDOWS, ORDINARY_WINDOWS, HARD_WINDOWS = 150, 60, 1000
 #: Saved bytes are counted from LEAST to MOST.
 LEAST, MOST = -3, 10
 _WORD = re.compile(r"[^\W_]+")
@@ -57,9 +59,10 @@ class Model(NamedTuple):
 
 
 def windows(text: str | None) -> list[bytes]:
-    """Runs of ``WINDOW_WORDS`` lower-cased words that cover the text."""
-    words = _WORD.findall((text or "").lower())
-    return [f" {' '.join(words[i : i + WINDOW_WORDS])} ".encode("utf-8", "replace") for i in range(0, len(words), WINDOW_WORDS)]
+    """Runs of ``WINDOW_WORDS`` lower-cased words that cover the text and overlap by half."""
+    words, half = _WORD.findall((text or "").lower()), WINDOW_WORDS // 2
+    starts = range(0, max(len(words) - half, 1), half) if words else ()
+    return [f" {' '.join(words[i : i + WINDOW_WORDS])} ".encode("utf-8", "replace") for i in starts]
 
 
 class Meter:
@@ -102,16 +105,16 @@ def train(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> Model | None
     """A model from the windows of toxic and of ordinary documents."""
     if not toxic or not ordinary:
         return None
-    parts = [[list(dict.fromkeys(w for d in docs[h::3] for w in _spread(d, most))) for h in range(3)] for docs, most in ((toxic, 60), (ordinary, 40))]
+    parts = [[list(dict.fromkeys(w for d in docs[h::3] for w in _spread(d, most))) for h in range(3)] for docs, most in ((toxic, TOXIC_WINDOWS), (ordinary, ORDINARY_WINDOWS))]
     bad, good = parts
     plain = _trained(ORDINARY_BYTES, _spread(good[0], 12_000))
-    own = _trained(2 * TOXIC_BYTES, bad[0])
+    own = _trained(6 * TOXIC_BYTES, bad[0])
     for k in range(ROUNDS):
         meter, half = Meter(plain, own), (k + 1) % 2
         in_good, in_bad = meter.saved(good[half]), meter.saved(bad[half])
-        hard = [w for w, d in zip(good[half], in_good.tolist(), strict=True) if d >= 2][:600]
+        hard = [w for w, d in zip(good[half], in_good.tolist(), strict=True) if d >= 2][:HARD_WINDOWS]
         plain = (b"".join(hard) + plain)[:ORDINARY_MOST]
-        chosen = [w for w, d in zip(bad[half], in_bad.tolist(), strict=True) if d >= 2 + (k == 0)]
+        chosen = [w for w, d in zip(bad[half], in_bad.tolist(), strict=True) if d >= 2 - (k == 0)]
         if not chosen:
             break
         own = _trained(TOXIC_BYTES, chosen)
@@ -151,14 +154,14 @@ def learn(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                pieces = [[w[:512] for w in _spread(windows(t), SAMPLED_WINDOWS)] for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("label"), pa.array(pieces, type=pa.list_(pa.binary()))], names=["key", "label", "windows"])
+                pieces = [b"\n".join(w[:512] for w in _spread(windows(t), SAMPLED_WINDOWS)) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("label"), pa.array(pieces, type=pa.binary())], names=["key", "label", "windows"])
 
     kinds = dict(rows.dtypes)
-    found = rows.select("key", "label", "text").mapInArrow(run, f"key {kinds['key']}, label {kinds['label']}, windows array<binary>").collect()
+    found = rows.select("key", "label", "text").mapInArrow(run, f"key {kinds['key']}, label {kinds['label']}, windows binary").collect()
     by_label: dict[int, list] = {0: [], 1: []}
-    for r in sorted(found, key=lambda r: (r["key"], r["windows"])):
-        by_label[int(r["label"])].append([bytes(w) for w in r["windows"]])
+    for r in sorted(found, key=lambda r: (r["key"], bytes(r["windows"]))):
+        by_label[int(r["label"])].append(bytes(r["windows"]).split(b"\n") if r["windows"] else [])
     return train(by_label[1], by_label[0])
 
 
