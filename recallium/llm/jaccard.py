@@ -17,7 +17,7 @@ Hamming distance. Sets with Jaccard similarity ``t`` differ in at most
   of fixed size over all texts gives it, and spreads the few blocks over salts that are common
   and yet sent.
 * Verification. Joined pairs face first the Hamming bound, on a sketch folded to 512 bits and on
-  one of about as many bits as shingles, then the exact shingle sets.
+  one of four times as many bits as shingles, then the exact shingle sets.
 
 Groups that share a block may be large. No group is expanded into its pairs: first each text is
 only paired with the smallest id of each of its groups; what links is merged into components;
@@ -49,7 +49,7 @@ PERCENT = 75
 BUCKETS = 1 << 18
 #: Buckets of ids that are sent to every task before texts are joined with wanted ids.
 ID_BUCKETS = 1 << 18
-#: Rows of a group that are compared with as many others in one place.
+#: Texts that are compared with as many others in one place.
 CHUNK_ROWS = 4096
 #: Words of the folded sketch of the Hamming test.
 FOLDED = 8
@@ -104,9 +104,9 @@ def sent_blocks(shingles: np.ndarray, band: int, counts: np.ndarray) -> tuple[np
 
 
 def bit_sketch(shingles: np.ndarray) -> np.ndarray:
-    """The parity sketch with one bit for a shingle: as many bits as shingles, up to a power of two,
-    512 at least; in bytes. Folded to fewer bits it is the sketch of that width."""
-    bits = max(64 * FOLDED, 1 << (len(shingles) - 1).bit_length() if len(shingles) else 0)
+    """The parity sketch with one bit for a shingle: four times as many bits as shingles, up to a
+    power of two, 512 at least; in bytes. Folded to fewer bits it is the sketch of that width."""
+    bits = max(64 * FOLDED, 1 << (4 * len(shingles) - 1).bit_length() if len(shingles) else 0)
     return np.packbits((np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little")
 
 
@@ -259,21 +259,18 @@ def _near(pairs: DataFrame, sizes: DataFrame, percent: int = PERCENT) -> DataFra
     left = sizes.select(F.col("id").alias("a"), F.col("n").alias("n"), F.col("sketch").alias("x"))
     right = sizes.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y"))
 
-    def near(a: bytes, b: bytes, total: int) -> bool:
-        return distance(np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)) * (100 + percent) <= total * (100 - percent)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y, n, m = (batch.column(c).to_pylist() for c in ("x", "y", "n", "m"))
-            mask = pa.array([near(a, b, i + j) for a, b, i, j in zip(x, y, n, m, strict=True)], type=pa.bool_())
+            mask = pa.array([_may_link(a, b, i + j, percent) for a, b, i, j in zip(x, y, n, m, strict=True)], type=pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y", "n", "m").mapInArrow(run, "a long, b long").distinct()
 
 
-def _linked(docs: DataFrame, sizes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def _linked(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs that link, as a written table."""
-    close = materialize(_near(pairs, sizes, percent), "pairs")
+    close = materialize(pairs, "pairs")
     return materialize(_verified(close, materialize(_sets(docs, close), "sets"), percent), "links")
 
 
@@ -344,21 +341,23 @@ def _star_pairs(groups: DataFrame, sketches: DataFrame, percent: int) -> DataFra
 
 def _open_pairs(groups: DataFrame, sketches: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """The pairs within groups that lie in different components, as far as they pass the tests
-    on sizes and folded sketches.
+    on sizes and sketches.
 
-    Groups are cut into chunks of about ``CHUNK_ROWS`` by a hash of the id and each pair of chunks
-    is looked at in one place, as arrays; a pair of texts leaves a task once however many groups
-    it shares.
+    Groups of near duplicates overlap in many ways. So the texts of all groups with the same
+    smallest component are compared at once, each being there but once; they are cut into chunks
+    of about ``CHUNK_ROWS`` by a hash of the id, and each pair of chunks is looked at in one place,
+    as arrays.
     """
-    placed = groups.where("wide or salted").select("key", "id").distinct().join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias("chunks")).where("low <> high").select("key", "chunks")
-    rest = placed.join(mixed, "key").join(sketches, "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rest = rest.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "n", *_sketch_names())
-
-    def within(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        i, j, own, ids, component, n = (r for r in rows[:6])
-        words = np.stack(rows[6:], axis=1).view(np.uint64)
-        a_all, b_all = [], []
+    placed = groups.where("wide or salted").select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key", "low")
+    around = materialize(placed.join(mixed, "key").select("low", "id", "component").distinct(), "around")
+    chunks = around.groupBy("low").agg(F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias("chunks"))
+    rest = around.join(chunks, "low").join(sketches, "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rest = rest.select("low", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "n", *_sketch_names(), "sketch")
+
+    def within(rows: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        i, j, own, ids, component, n = rows[:6]
+        words, sketch = np.stack(rows[6:-1], axis=1).view(np.uint64), rows[-1]
         for low in range(0, len(ids), 256):
             part = slice(low, low + 256)
             apart = component[part, None] < component[None, :]
@@ -368,42 +367,39 @@ def _open_pairs(groups: DataFrame, sketches: DataFrame, found: DataFrame, percen
             a += low
             near = (n[a] * 100 >= n[b] * percent) & (n[b] * 100 >= n[a] * percent)
             a, b = a[near], b[near]
-            distance = np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int64)
-            near = distance * (100 + percent) <= (n[a] + n[b]) * (100 - percent)
-            a_all.append(ids[a[near]])
-            b_all.append(ids[b[near]])
-        return np.concatenate(a_all), np.concatenate(b_all)
+            near = np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int64) * (100 + percent) <= (n[a] + n[b]) * (100 - percent)
+            for x, y in zip(a[near].tolist(), b[near].tolist(), strict=True):
+                if _may_link(sketch[x], sketch[y], n[x] + n[y], percent):
+                    yield int(ids[x]), int(ids[y])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()  # only spares rows
-
         def given(group: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            a, b = within(group)
-            fresh = {p for p in zip(a.tolist(), b.tolist(), strict=True) if p not in seen}
-            if len(seen) > 500_000:
-                seen.clear()
-            seen.update(fresh)
-            if fresh:
-                a, b = zip(*fresh, strict=True)
+            if pairs := list(within(group)):
+                a, b = zip(*pairs, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64())], names=["a", "b"])
 
-        held: list[np.ndarray] | None = None  # columns key, i, j, own, id, component, n, words of the group that may go on
+        held: list[np.ndarray] | None = None  # columns of the group that may go on
         for batch in batches:
             columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)]
             if held is not None:
                 columns = [np.concatenate(c) for c in zip(held, columns, strict=True)]
-            key, i, j = columns[:3]
-            if not len(key):
+            low, i, j = columns[:3]
+            if not len(low):
                 continue
-            cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            cuts = np.flatnonzero((low[1:] != low[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
             starts = [0, *cuts.tolist()]
-            for low, high in zip(starts, starts[1:], strict=False):
-                yield from given([c[low:high] for c in columns[1:]])
+            for begin, end in zip(starts, starts[1:], strict=False):
+                yield from given([c[begin:end] for c in columns[1:]])
             held = [c[starts[-1] :] for c in columns]
         if held is not None and len(held[0]):
             yield from given(held[1:])
 
-    return rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    return rest.repartition("low", "i", "j").sortWithinPartitions("low", "i", "j").mapInArrow(run, "a long, b long").distinct()
+
+
+def _may_link(x: bytes, y: bytes, total: int, percent: int) -> bool:
+    """Whether two sketches are as near as those of linked sets of ``total`` shingles in all."""
+    return distance(np.frombuffer(x, dtype=np.uint8), np.frombuffer(y, dtype=np.uint8)) * (100 + percent) <= total * (100 - percent)
 
 
 def join(df: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -417,9 +413,9 @@ def join(df: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int
     groups = materialize(_groups(_sent_blocks(docs, counts).repartition("key", "salt").sortWithinPartitions("key", "salt", "id")), "groups")
     known = sizes.where("bucket is null and id is not null and n > 0").drop("bucket")
     short = known.drop("sketch")
-    links = _linked(docs, known, _star_pairs(groups, short, percent), percent)
+    links = _linked(docs, _near(_star_pairs(groups, short, percent), known, percent), percent)
     found = materialize(components(links), "components")
-    more = _linked(docs, known, _open_pairs(groups, short, found, percent), percent)
+    more = _linked(docs, _open_pairs(groups, known, found, percent), percent)
     if not more.isEmpty():
         found = materialize(components(links.unionByName(more)), "components")
     return (
