@@ -273,7 +273,7 @@ def timeline(t: Tables) -> DataFrame:
     return t.documents.where("active").select("id", F.lag("id", 1).over(w).alias("before_1"), F.lag("id", 2).over(w).alias("before_2"), F.lead("id", 1).over(w).alias("after_1"), F.lead("id", 2).over(w).alias("after_2"), F.count("*").over(Window.partitionBy("collection")).alias("total"))
 
 
-@query("median_length", "docs", "SELECT content_type, round(median(length(body)), 6) AS median, round(quantile_disc(length(body), 0.95), 6) AS p95 FROM docs GROUP BY content_type")
+@query("median_length", "docs", "SELECT content_type, round(median(length(body)), 6) AS median, list_sort(list(length(body)))[ceil(0.95 * count(*))::INT]::DOUBLE AS p95 FROM docs GROUP BY content_type")
 def median_length(t: Tables) -> DataFrame:
     n = F.length("body")
     return t.documents.groupBy("content_type").agg(r6(F.percentile(n, 0.5)).alias("median"), F.expr("round(cast(percentile_disc(0.95) WITHIN GROUP (ORDER BY length(body)) AS double), 6)").alias("p95"))
