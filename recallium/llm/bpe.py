@@ -34,9 +34,9 @@ from .common import slices
 #: Texts of these characters are prepared here; all others by the library's own normaliser.
 _PLAIN = regex.compile(r"[\x00-\x1b\x20-\x84\x86-ɏ]*")
 #: Distinct pre-tokens kept between batches.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
 #: Text whose pre-tokens are merged together.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 3 << 20
 
 
 def byte_symbols() -> list[str]:
@@ -233,7 +233,7 @@ def encode(df: DataFrame, vocabulary_path: str, *, key: str = "doc_id", text: st
     """Encode every whole text and decode it again.
 
     Returns one row per input row: ``key``, ``ids array<int>``, ``decoded string``. One narrow
-    pass without a shuffle; memory is bounded by a run of about 8 MB of text or one longer text.
+    pass without a shuffle; memory is bounded by a run of about 3 MB of text or one longer text.
     """
     out = T.StructType([df.select(key).schema[0], T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.StringType())])
 
@@ -243,8 +243,7 @@ def encode(df: DataFrame, vocabulary_path: str, *, key: str = "doc_id", text: st
             for part in slices(batch, "text", SLICE_BYTES):
                 flat, at = encode_texts(voc, [t or "" for t in part.column("text").to_pylist()])
                 ids = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat))
-                tokens, at = flat.tolist(), at.tolist()
-                decoded = pa.array([decode_ids(voc, tokens[low:high]) for low, high in zip(at, at[1:])], type=pa.string())
+                decoded = pa.array([decode_ids(voc, flat[low:high].tolist()) for low, high in zip(at[:-1], at[1:], strict=True)], type=pa.string())
                 yield pa.RecordBatch.from_arrays([part.column("key"), ids, decoded], names=[key, "ids", "decoded"])
 
     return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, out)
