@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import extraction, maintenance, relational, search, streams, surfaces, textual
+from . import extraction, maintenance, profiles, relational, search, streams, surfaces, textual
 
-MODULES = [relational, textual, search, extraction, surfaces, maintenance, streams]
+MODULES = [relational, textual, search, extraction, surfaces, maintenance, profiles, streams]
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: s for m in MODULES for name, s in m.ORACLE.items()}

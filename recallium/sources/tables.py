@@ -32,7 +32,7 @@ class Tables:
         labels = self.raw("labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
         d = self.raw("documents").join(labels, "doc_id", "left")
         body = F.coalesce("text", F.lit(""))
-        created = F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 37 % 525600 * 60)
+        created = F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 521 % 525600 * 60)
         return d.select(
             F.col("doc_id").alias("id"),
             F.col("source").alias("collection"),
@@ -113,8 +113,8 @@ PRELUDE = {
   SELECT d.doc_id AS id, source AS collection, lang || '/doc-' || d.doc_id || '.md' AS path,
     substring(split_part(coalesce(text, ''), chr(10), 1), 1, 60) AS title, coalesce(text, '') AS body, sha256(coalesce(text, '')) AS hash,
     [{_TYPES_SQL}][(d.doc_id % {len(TYPES)} + 1)::INT] AS content_type,
-    make_timestamp((1704067200 + d.doc_id * 37 % 525600 * 60) * 1000000) AS modified_at,
-    make_timestamp((1704067200 + d.doc_id * 37 % 525600 * 60 + d.doc_id * 53 % 40 * 86400) * 1000000) AS last_accessed_at,
+    make_timestamp((1704067200 + d.doc_id * 521 % 525600 * 60) * 1000000) AS modified_at,
+    make_timestamp((1704067200 + d.doc_id * 521 % 525600 * 60 + d.doc_id * 53 % 40 * 86400) * 1000000) AS last_accessed_at,
     d.doc_id * 7 % 11 AS access_count, CASE WHEN quality = 0 THEN 0.3::DOUBLE ELSE 0.5::DOUBLE END AS confidence,
     coalesce(0.3::DOUBLE + 0.5::DOUBLE * quality, 0.5) AS quality_score, coalesce(quality = 1 AND toxic = 0, false) AS pinned, coalesce(toxic = 1, false) AS invalidated,
     length(trim(coalesce(text, ''))) > 0 AS active, 1 + d.doc_id % 4 AS revision_count, 1 + d.doc_id % 3 AS duplicate_count, lang

@@ -185,3 +185,28 @@ def test_hashed_words(spark):
     df = models.embed(spark.createDataFrame([("a b a",), ("",), (None,)], "t string"), "t", models.HashedWords(8))
     sizes = [sum(x * x for x in r["v"]) for r in df.collect()]
     assert sizes == pytest.approx([1.0, 0.0, 0.0])
+
+
+def test_leases_and_gates():
+    from recallium.operators import leases
+
+    a, ok = leases.acquire(None, "a", 0, 10)
+    assert ok and a.token == 1
+    assert leases.acquire(a, "b", 5, 10) == (a, False)
+    b, ok = leases.acquire(a, "b", 10, 10)
+    assert ok and b.token == 2
+    assert not leases.renew(b, a.token, 11, 10)[1] and leases.renew(b, b.token, 11, 10)[0].expires == 21
+    assert leases.release(b, a.token) == b and leases.release(b, b.token) is None
+    assert leases.gate(3, 22, 6, 0, 5) is None and leases.gate(12, 22, 6, 0, 5) == "outside_window" and leases.gate(3, 22, 6, 9, 5) == "query_rate_high"
+    m = leases.margins({"t": [1, 0], "n": [1, 0.1], "f": [0, 1]}, [("t", "n", "f")])
+    assert leases.canary(m, [1.0], [0.99]) and not leases.canary([0.05], [0.05], [1.0])
+
+
+def test_proximity_and_stems():
+    from recallium.operators import proximity
+
+    assert proximity.min_cover([[1, 9], [4], [10]]) == 7
+    assert proximity.min_cover([[1], []]) is None
+    assert [proximity.bucket(t.split(), ["quick", "fox"]) for t in ("a quick fox", "quick brown red fox", "fox " + "x " * 20 + "quick", "fox")] == [0, 1, 2, 2]
+    assert [proximity.stem(w) for w in ("running", "ponies", "cats", "relational", "kindness", "is")] == ["run", "poni", "cat", "relate", "kind", "is"]
+    assert proximity.antichain(["run", "runner", "run", "cat"]) == ["run", "cat"]
