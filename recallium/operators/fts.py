@@ -43,7 +43,7 @@ def search(queries: DataFrame, indexed: DataFrame, *, match_all: bool = True) ->
     """
     prefixes = query_prefixes(queries)
     stats = indexed.select("doc_id", "dl").distinct().agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    hits = indexed.join(F.broadcast(expand(prefixes, indexed)), "term").groupBy("prefix", "doc_id", "dl").agg(F.sum("tf").alias("tf"))
+    hits = indexed.join(expand(prefixes, indexed), "term").groupBy("prefix", "doc_id", "dl").agg(F.sum("tf").alias("tf"))
     df = hits.groupBy("prefix").agg(F.count("*").alias("df"))
     weighted = hits.join(df, "prefix").crossJoin(F.broadcast(stats))  # stats is one row
     idf = F.greatest(F.lit(1e-6), F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))

@@ -117,9 +117,9 @@ def facts_block(t: Tables) -> DataFrame:
 @query("session_containment", "recall", "WITH s AS (SELECT session_id, doc_id, min(surfaced_at) AS started, max(surfaced_at) AS ended FROM recall GROUP BY ALL) SELECT r.id, min(s.session_id) AS session_id FROM recall r JOIN s ON s.doc_id = r.doc_id AND r.surfaced_at BETWEEN s.started AND s.ended GROUP BY r.id")
 def session_containment(t: Tables) -> DataFrame:
     """The session whose time holds an event; of several the first by name."""
-    e = t.recall_events
-    s = e.groupBy("session_id", "doc_id").agg(F.min("surfaced_at").alias("started"), F.max("surfaced_at").alias("ended")).withColumnRenamed("session_id", "s")
-    return e.join(s, "doc_id").where("surfaced_at between started and ended").groupBy("id").agg(F.min("s").alias("session_id"))
+    e = t.recall_events.withColumn("day", F.to_date("surfaced_at"))  # a session lies within a day
+    s = e.groupBy("session_id", "doc_id", "day").agg(F.min("surfaced_at").alias("started"), F.max("surfaced_at").alias("ended")).withColumnRenamed("session_id", "s")
+    return e.join(s, ["doc_id", "day"]).where("surfaced_at between started and ended").groupBy("id").agg(F.min("s").alias("session_id"))
 
 
 @query("look_back", "", "WITH u AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'), w AS (SELECT *, lag(text, 1) OVER (PARTITION BY conv_id ORDER BY turn) AS a, lag(text, 2) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM u) SELECT conv_id, turn, sha256(text || CASE WHEN a IS NOT NULL AND a <> text AND length(text) + length(a) <= 2000 THEN chr(10) || a || CASE WHEN b IS NOT NULL AND b <> text AND b <> a AND length(text) + length(a) + length(b) <= 2000 THEN chr(10) || b ELSE '' END ELSE '' END) AS prompt FROM w")

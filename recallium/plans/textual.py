@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
@@ -93,21 +93,21 @@ def retrieval_modes(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", T.retrieval_mode(F.col("text")).alias("mode"))
 
 
-@query("name_similarity", "", "SELECT a.p_partkey AS a, b.p_partkey AS b, round(1 - levenshtein(lower(a.p_name), lower(b.p_name)) / greatest(length(a.p_name), length(b.p_name)), 6)::DOUBLE AS ratio FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey")
+@query("name_similarity", "", "SELECT p_partkey, round(1 - levenshtein(lower(p_name), lower(last)) / greatest(length(p_name), length(last)), 6)::DOUBLE AS ratio FROM (SELECT *, lag(p_name) OVER (PARTITION BY p_brand, p_type ORDER BY p_name, p_partkey) AS last FROM part) WHERE last IS NOT NULL")
 def name_similarity(t: Tables) -> DataFrame:
-    p = t.raw("part").select("p_partkey", "p_name", "p_brand", "p_type")
-    a, b = p.alias("a"), p.alias("b")
-    met = a.join(b, ["p_brand", "p_type"]).where("a.p_partkey < b.p_partkey")
-    return met.select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), r6(T.similarity_ratio(F.lower("a.p_name"), F.lower("b.p_name"))).alias("ratio"))
+    """How like each name is to the one before it in its group's order."""
+    w = Window.partitionBy("p_brand", "p_type").orderBy("p_name", "p_partkey")
+    p = t.raw("part").withColumn("last", F.lag("p_name").over(w)).where("last is not null")
+    return p.select("p_partkey", r6(T.similarity_ratio(F.lower("p_name"), F.lower("last"))).alias("ratio"))
 
 
 @query(
     "entity_resolution", "",
-    "WITH n AS (SELECT DISTINCT c_name AS name, c_nationkey AS block FROM customer), k AS (SELECT DISTINCT s_name AS entity, s_nationkey AS block FROM supplier), m AS (SELECT name, block, entity, 1 - levenshtein(lower(name), lower(entity)) / greatest(length(name), length(entity)) AS ratio FROM n JOIN k USING (block)) SELECT name, block, entity, round(ratio, 6)::DOUBLE AS ratio FROM (SELECT *, row_number() OVER (PARTITION BY name, block ORDER BY ratio DESC, entity) AS r FROM m WHERE ratio >= 0.5) WHERE r = 1",
+    "WITH n AS (SELECT DISTINCT c_name AS name, c_nationkey || ':' || right(c_name, 2) AS block FROM customer), k AS (SELECT DISTINCT s_name AS entity, s_nationkey || ':' || right(s_name, 2) AS block FROM supplier), m AS (SELECT name, block, entity, 1 - levenshtein(lower(name), lower(entity)) / greatest(length(name), length(entity)) AS ratio FROM n JOIN k USING (block)) SELECT name, block, entity, round(ratio, 6)::DOUBLE AS ratio FROM (SELECT *, row_number() OVER (PARTITION BY name, block ORDER BY ratio DESC, entity) AS r FROM m WHERE ratio >= 0.5) WHERE r = 1",
 )
 def entity_resolution(t: Tables) -> DataFrame:
-    names = t.raw("customer").select(F.col("c_name").alias("name"), F.col("c_nationkey").alias("block")).distinct()
-    known = t.raw("supplier").select(F.col("s_name").alias("name"), F.col("s_nationkey").alias("block")).distinct()
+    names = t.raw("customer").select(F.col("c_name").alias("name"), F.concat_ws(":", F.col("c_nationkey").cast("string"), F.right("c_name", F.lit(2))).alias("block")).distinct()
+    known = t.raw("supplier").select(F.col("s_name").alias("name"), F.concat_ws(":", F.col("s_nationkey").cast("string"), F.right("s_name", F.lit(2))).alias("block")).distinct()
     return entity.resolve(names, known, 0.5).withColumn("ratio", r6(F.col("ratio")))
 
 
