@@ -164,6 +164,7 @@ def merge_all(voc: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.ndarray
             else:
                 known.append(at[low:high])
 
+    marked = np.zeros(n, dtype=bool)
     enter(np.flatnonzero(after >= 0))
     while waiting:
         r = heapq.heappop(waiting)
@@ -172,10 +173,8 @@ def merge_all(voc: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.ndarray
         a, b = voc.left[r], voc.right[r]
         follow = after[at]
         at = at[(symbols[at] == a) & (follow >= 0) & (symbols[follow] == b)]
-        if a == b or len(lists) > 1:
-            at = np.unique(at)
         if a == b and len(at) > 1:
-            at = _leftmost(at, after)
+            at = _leftmost(np.sort(at), after)
         if not len(at):
             continue
         gone = after[at]
@@ -187,7 +186,11 @@ def merge_all(voc: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.ndarray
         before[follow[has]] = at[has]
         left = before[at]
         left = left[left >= 0]
-        enter(np.concatenate((left, at[~np.isin(at, left)]) if len(left) else (at,)))
+        # Symbols only grow, so a position never gets a pair again that it had: lists hold no
+        # position twice if no call of enter does.
+        marked[left] = True
+        enter(np.concatenate((left, at[~marked[at]])))
+        marked[left] = False
     kept = symbols >= 0
     counts = np.diff(np.concatenate(([0], np.cumsum(kept)))[np.concatenate(([0], ends))])
     return symbols[kept], counts
@@ -206,9 +209,9 @@ def _leftmost(at: np.ndarray, after: np.ndarray) -> np.ndarray:
 def encode_texts(voc: Vocabulary, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The token ids of all texts in one array, and where each text's ids begin and end."""
     split = [voc.pre_tokens(t) for t in texts]
-    known = voc.known
-    if len(known) > CACHE_ENTRIES:
+    if len(voc.known) > CACHE_ENTRIES:
         voc.forget()
+    known = voc.known
     fresh = [w for w in set().union(*split) if w not in known]
     if fresh:
         ordinary = [w for w in fresh if w not in voc.special]

@@ -1,7 +1,8 @@
 """Operator 2: language identification by cross-parsing entropy.
 
 One suffix automaton a language holds labelled text. A document is parsed against each: walk
-the automaton as far as the text goes on, then a phrase ends and the next begins at its root.
+the automaton as far as the text goes on, then a phrase ends and the next begins at its root (a
+byte that a language doesn't know belongs to the phrase it ends).
 Phrases times the logarithm of the automaton's text length, by byte parsed, estimate the cross
 entropy; the language with the least wins, ties going to the smaller name.
 
