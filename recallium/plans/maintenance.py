@@ -232,10 +232,10 @@ def review_due(t: Tables) -> DataFrame:
 @query("proximity_order")
 def proximity_order(t: Tables) -> DataFrame:
     """The thirty best of each query, those first in which its words stand together."""
-    words = t.documents.select(F.col("id").alias("doc_id"), T.tokens(F.col("body")).alias("words"))
+    bodies = t.documents.select(F.col("id").alias("doc_id"), "body")
     terms = searching.questions(t).select("query_id", T.query_terms(F.col("query")).alias("terms"))
-    top = searching.any_ranked(t).select("query_id", "doc_id", "rank").join(words, "doc_id").join(terms, "query_id")
-    return proximity.rerank(top)
+    top = searching.any_ranked(t).select("query_id", "doc_id", "rank").join(bodies, "doc_id").join(terms, "query_id")
+    return proximity.rerank(top.withColumn("words", T.tokens(F.col("body"))))
 
 
 @query("revision_patch", "docs", "SELECT content_type, count(*) AS n, sum(revision_count)::BIGINT AS revisions FROM (SELECT content_type, revision_count + CASE WHEN invalidated THEN 1 ELSE 0 END AS revision_count FROM docs) GROUP BY 1")

@@ -157,8 +157,8 @@ def merged_lists(t: Tables) -> DataFrame:
 def diverse_results(t: Tables) -> DataFrame:
     """The thirty best of each query, near duplicates moved behind."""
     ranked = any_ranked(t)
-    sets = t.documents.select(F.col("id").alias("doc_id"), T.shingle_set(F.col("body")).alias("shingles"))
-    return diversity.mmr(ranked.join(sets, "doc_id").select("query_id", "doc_id", "rank", "shingles"))
+    bodies = t.documents.select(F.col("id").alias("doc_id"), "body")
+    return diversity.mmr(ranked.join(bodies, "doc_id").select("query_id", "doc_id", "rank", T.shingle_set(F.col("body")).alias("shingles")))
 
 
 GOLD_SQL = f"""g6 AS (SELECT item_id AS query_id, array_to_string(list_slice({_TOK.format(x='text')}, 1, 6), ' ') AS gram FROM benchmark),

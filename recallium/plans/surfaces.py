@@ -92,5 +92,5 @@ def reranked(t: Tables) -> DataFrame:
 def hybrid_with_diversity(t: Tables) -> DataFrame:
     """The whole hybrid query: fused lists, reranked, near duplicates moved behind."""
     top = fusion.ranked(searching.blended(t), "score").where("rank < 20").select("query_id", "doc_id", F.col("rank").cast("int").alias("rank"))
-    sets = t.documents.select(F.col("id").alias("doc_id"), T.shingle_set(F.col("body")).alias("shingles"))
-    return diversity.mmr(top.join(sets, "doc_id"))
+    bodies = t.documents.select(F.col("id").alias("doc_id"), "body")
+    return diversity.mmr(top.join(bodies, "doc_id").select("query_id", "doc_id", "rank", T.shingle_set(F.col("body")).alias("shingles")))
