@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, shingle_hashes, slices
+from .common import Words, give_back, shingle_hashes, slices
 
 WIDTH = 5
 PERCENT = 75
@@ -142,6 +142,8 @@ def _windows(docs: DataFrame, lengths: list[tuple[int, int]], screen: np.ndarray
                     columns = list(zip(*found, strict=True))
                     kinds = [part.column("doc").type, pa.int64(), pa.int32(), pa.binary(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=["doc", "start", "words", "shingles", "print"])
+        del flags
+        give_back()
 
     return docs.mapInArrow(run, f"doc {docs.schema['doc'].dataType.simpleString()}, start long, words int, shingles binary, print long")
 

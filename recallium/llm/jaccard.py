@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, materialize, mix64, shingle_hashes, slices, texts_of
+from .common import Words, give_back, materialize, mix64, shingle_hashes, slices, texts_of
 
 WIDTH = 5
 #: Jaccard similarity in percent from which texts link.
@@ -170,6 +170,7 @@ def _sent_blocks(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                         salts.append(np.where(into > 1, own, np.int16(-1)).astype(np.int16))
                 if keys:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(salts)), pa.array(np.concatenate(owners))], names=["key", "salt", "id"])
+        give_back()
 
     return docs.mapInArrow(run, "key long, salt short, id long")
 
@@ -245,6 +246,7 @@ def _sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             for part in slices(batch, "text"):
                 sets = shingle_sets(texts_of(part.column("text")))
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([s.tobytes() for s in sets], type=pa.binary())], names=["id", "shingles"])
+        give_back()
 
     likely = docs.withColumn("bucket", bucket).join(F.broadcast(wanted.select(bucket.alias("bucket")).distinct()), "bucket", "left_semi").select("id", "text")
     return likely.join(wanted, "id", "left_semi").mapInArrow(run, "id long, shingles binary")

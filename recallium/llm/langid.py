@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import give_back, slices
 
 UNKNOWN = "und"
 BLOCK = 1024
@@ -207,5 +207,6 @@ def identify(df: DataFrame, learned: dict[str, bytes], *, key: str = "doc_id", t
             for part in slices(batch, "text", 2 << 20):
                 langs, scores = predict(learned, part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(langs, type=pa.string()), pa.array(scores, type=pa.float64())], names=[key, "lang_pred", "score"])
+        give_back()
 
     return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, out)

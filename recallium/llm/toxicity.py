@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import give_back, slices
 from .langid import held_out
 
 WINDOW_WORDS = 8
@@ -187,5 +187,6 @@ def score(df: DataFrame, model: Model | None, *, key: str = "doc_id", text: str
         for batch in batches:
             for part in slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(scores(model, part.column("text").to_pylist()), type=pa.float64())], names=[key, "score"])
+        give_back()
 
     return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, out)
