@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recallium.llm import bpe, decontaminate, jaccard, langid, toxicity
-from recallium.llm.common import keep_rows, materialize, table
+from recallium.llm.common import bound_batches, keep_rows, materialize, table
 from recallium.llm.queries import WORD_BPE
 
 #: A document is kept if the score of its language is at least this.
@@ -22,16 +22,19 @@ LEAST_LANGUAGE_SCORE = 0.5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
     return keep_rows(docs, "text", lambda texts: [s < 0.5 for s in toxicity.scores(model, texts)])
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     learned = langid.learn(docs)
     return keep_rows(docs, "text", lambda texts: [lang != langid.UNKNOWN and s >= LEAST_LANGUAGE_SCORE for lang, s in zip(*langid.predict(learned, texts), strict=True)])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     kept = jaccard.join(docs).where("component_id = doc_id").select("doc_id").distinct()
     once = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
     once = once.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "lang", "source"))).where("_n = 1")
@@ -39,10 +42,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     done = bpe.encode(docs, public_tokenizers.path(WORD_BPE))
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
