@@ -119,7 +119,7 @@ class Vocabulary:
         return self.pattern.findall(self._library.normalizer.normalize_str(text))
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 

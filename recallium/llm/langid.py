@@ -34,7 +34,7 @@ UNKNOWN = "und"
 BLOCK = 1024
 #: Bounds of what is learned: labelled documents a language, bytes taken of each of them (spread
 #: over the whole text), bytes a language, and bytes over all languages.
-DOCUMENTS_PER_LANGUAGE, BYTES_PER_DOCUMENT, BYTES_PER_LANGUAGE, BYTES_IN_ALL = 96, 256, 24_000, 400_000
+DOCUMENTS_PER_LANGUAGE, BYTES_PER_DOCUMENT, BYTES_PER_LANGUAGE, BYTES_IN_ALL = 64, 256, 12_000, 400_000
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -177,7 +177,7 @@ class Parser:
         return out
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def parser(texts: tuple[tuple[str, bytes], ...]) -> Parser:
     return Parser(dict(texts))
 

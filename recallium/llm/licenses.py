@@ -155,7 +155,7 @@ class Automaton:
         return sorted(found)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def automaton(templates: tuple[tuple[str, str], ...]) -> Automaton:
     return Automaton(list(templates))
 

@@ -165,7 +165,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     return train(by_label[1], by_label[0])
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _meter(ordinary: bytes, toxic: bytes) -> Meter:
     return Meter(ordinary, toxic)
 
