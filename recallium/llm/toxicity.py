@@ -7,10 +7,13 @@ calibrated as log likelihood ratios: how often windows of toxic and of ordinary
 0, 1, 2 ... bytes. A document's ratios, summed over all its windows, go through a logistic curve
 fitted on documents; a score of 0.5 is the decision.
 
-A toxic dictionary trained on toxic documents alone is mostly ordinary text. So training goes in
-rounds over two halves of the sample: windows of one half in which the dictionary of the other
-saves bytes, and which hence hold what toxic documents share, train the next dictionary; windows
-of ordinary documents in which it saves bytes are added to the ordinary dictionary. A third part
+A toxic dictionary trained on toxic windows as they are is mostly ordinary text, and one trained
+on what most of them share loses the words of languages with few toxic documents. So words are
+chosen by markers: runs of ``GRAMS`` bytes whose share of toxic windows is ``LIFT`` times that of
+ordinary ones, in ``MARKED_DOCUMENTS`` toxic documents at least. How many documents a language has
+doesn't matter to that. The toxic dictionary holds the words with markers, the most frequent last; the
+ordinary one is trained on windows without markers, and windows without markers in which the
+toxic one still saves bytes are added to it in rounds over two halves of the sample. A third part
 of the sample serves calibration only. The sample is bounded: ``TOXIC_DOCUMENTS`` and
 ``ORDINARY_DOCUMENTS`` labelled rows, the first by a hash of their key, at most
 ``SAMPLED_WINDOWS`` windows of each, evenly spread. Scoring covers every window of every text.
@@ -23,6 +26,7 @@ missing, all scores are 0; extra columns are never looked at; equal rows get equ
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -39,13 +43,16 @@ from .langid import held_out
 
 WINDOW_WORDS = 8
 TOXIC_DOCUMENTS, ORDINARY_DOCUMENTS, SAMPLED_WINDOWS = 3000, 6000, 240
-ORDINARY_BYTES, ORDINARY_MOST, TOXIC_BYTES, ROUNDS = 60_000, 120_000, 7_500, 10
-#: Of the sampled windows, how many of a document train dictionaries, and how many join them as hard.
-TOXIC_WINDOWS, ORDINARY_WINDOWS, HARD_WINDOWS = 150, 60, 1000
+ORDINARY_BYTES, ORDINARY_MOST, TOXIC_BYTES, ROUNDS = 60_000, 120_000, 7_500, 2
+#: Lengths of markers in bytes, how much more frequent they are in toxic windows, and in how many toxic documents.
+GRAMS, LIFT, MARKED_DOCUMENTS, BUCKET_BITS = (5, 7), 6, 5, 23
+#: Of the sampled windows, how many of an ordinary document train its dictionary, and how many join it as hard in a round.
+ORDINARY_WINDOWS, HARD_WINDOWS = 60, 1000
 #: Saved bytes are counted from LEAST to MOST.
 LEAST, MOST = -3, 10
 _WORD = re.compile(r"[^\W_]+")
-_PARAMETERS = {"window_log": 17, "chain_log": 16, "hash_log": 17, "search_log": 4, "min_match": 4, "target_length": 16, "strategy": zstandard.STRATEGY_LAZY2, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
+#: The chain covers both dictionaries, and the search is deep enough to reach the toxic one, which lies first.
+_PARAMETERS = {"window_log": 17, "chain_log": 17, "hash_log": 17, "search_log": 8, "min_match": 4, "target_length": 16, "strategy": zstandard.STRATEGY_LAZY2, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
 
 
 class Model(NamedTuple):
@@ -101,23 +108,86 @@ def _trained(size: int, samples: list[bytes]) -> bytes:
         return b"".join(samples)[:size]
 
 
+def _grams(pieces: list[bytes]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, places, buckets) of all runs of bytes in windows joined by line ends."""
+    data, out = np.frombuffer(b"\n".join(pieces), dtype=np.uint8), []
+    for size in GRAMS:
+        n = max(len(data) - size + 1, 0)
+        run, across = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=bool)
+        for i in range(size):
+            run = (run << np.uint64(8)) | data[i : i + n].astype(np.uint64)
+            across |= data[i : i + n] == 10
+        spread = (run[~across] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKET_BITS)
+        out.append((size, np.flatnonzero(~across), spread.astype(np.int64)))
+    return out
+
+
+def _frequencies(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, int]:
+    """In how many places and documents each bucket's runs are, and how many windows there are.
+    A window that several documents share counts once."""
+    places, holders, n, seen = np.zeros(1 << BUCKET_BITS, dtype=np.int32), np.zeros(1 << BUCKET_BITS, dtype=np.int32), 0, set()
+    for d in docs:
+        fresh = [w for w in dict.fromkeys(d) if w not in seen]
+        seen.update(fresh)
+        n += len(fresh)
+        found, times = np.unique(np.concatenate([buckets for _, _, buckets in _grams(fresh)]), return_counts=True)
+        places[found] += times.astype(np.int32)
+        holders[found] += 1
+    return places, holders, n
+
+
+def _markers(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> np.ndarray:
+    """Which buckets hold markers."""
+    (bad, holders, n_bad), (good, _, n_good) = _frequencies(toxic), _frequencies(ordinary)
+    return (bad / max(n_bad, 1) > LIFT * (good + 2) / max(n_good, 1)) & (holders >= MARKED_DOCUMENTS)
+
+
+def _split(pieces: list[bytes], marks: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """The windows without and with markers."""
+    parts: tuple[list[bytes], list[bytes]] = ([], [])
+    for k in range(0, len(pieces), 1000):
+        some = pieces[k : k + 1000]
+        ends, has = np.cumsum([len(w) + 1 for w in some]), np.zeros(len(some), dtype=bool)
+        for _, places, buckets in _grams(some):
+            has[np.searchsorted(ends, places[marks[buckets]], side="right")] = True
+        for w, h in zip(some, has.tolist(), strict=True):
+            parts[h].append(w)
+    return parts
+
+
+def _marked_words(docs: list[list[bytes]], marks: np.ndarray) -> list[bytes]:
+    """The words, or pairs of neighbours, with markers, the most frequent first."""
+    counts: Counter[bytes] = Counter()
+    for d in docs:
+        for w in _split(list(dict.fromkeys(d)), marks)[1]:
+            for size, places, buckets in _grams([w]):
+                for i in places[marks[buckets]].tolist():
+                    start, end = max(w.rfind(b" ", 0, i + 1), 0), w.find(b" ", max(i + size - 1, 1))
+                    word = w[start : end + 1] if end >= 0 else w[start:]
+                    if word.count(b" ") <= 2:
+                        counts[word] += 1
+    return [w for w, _ in sorted(counts.items(), key=lambda c: (-c[1], c[0]))]
+
+
 def train(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> Model | None:
     """A model from the windows of toxic and of ordinary documents."""
     if not toxic or not ordinary:
         return None
-    parts = [[list(dict.fromkeys(w for d in docs[h::3] for w in _spread(d, most))) for h in range(3)] for docs, most in ((toxic, TOXIC_WINDOWS), (ordinary, ORDINARY_WINDOWS))]
-    bad, good = parts
+    learned = [[d for k, d in enumerate(docs) if k % 3 < 2] for docs in (toxic, ordinary)]
+    marks = _markers(*learned)
+    good = [_split(list(dict.fromkeys(w for d in ordinary[h::3] for w in _spread(d, ORDINARY_WINDOWS))), marks)[0] for h in range(2)]
+    own = b""
+    for word in _marked_words(learned[0], marks):
+        if len(own) + len(word) > TOXIC_BYTES:
+            break
+        own = word + own
+    # Without any marker, as with few labels, what toxic windows share has to do.
+    own = own or _trained(TOXIC_BYTES, list(dict.fromkeys(w for d in learned[0] for w in d)))
     plain = _trained(ORDINARY_BYTES, _spread(good[0], 12_000))
-    own = _trained(6 * TOXIC_BYTES, bad[0])
     for k in range(ROUNDS):
-        meter, half = Meter(plain, own), (k + 1) % 2
-        in_good, in_bad = meter.saved(good[half]), meter.saved(bad[half])
-        hard = [w for w, d in zip(good[half], in_good.tolist(), strict=True) if d >= 2][:HARD_WINDOWS]
+        half = good[(k + 1) % 2]
+        hard = [w for w, d in zip(half, Meter(plain, own).saved(half).tolist(), strict=True) if d >= 1][:HARD_WINDOWS]
         plain = (b"".join(hard) + plain)[:ORDINARY_MOST]
-        chosen = [w for w, d in zip(bad[half], in_bad.tolist(), strict=True) if d >= 2 - (k == 0)]
-        if not chosen:
-            break
-        own = _trained(TOXIC_BYTES, chosen)
     meter = Meter(plain, own)
     held = [np.array([meter.counts(d) for d in docs[2::3] or docs]) for docs in (toxic, ordinary)]
     totals = [h.sum(axis=0) + 1.0 for h in held]

@@ -95,6 +95,15 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in found)
 
 
+def test_toxicity_finds_every_language(spark):
+    sf = "/root/testdata/sf0.1"
+    toxic = {r["doc_id"] for r in spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 1").collect()}
+    lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
+    found = [(lang[r["doc_id"]], r["predicted"]) for r in queries.op6_toxicity(spark, sf).collect() if r["held_out"] and r["doc_id"] in toxic]
+    for one in ("en", "de", "fr", "es"):
+        assert np.mean([p for language, p in found if language == one]) > 0.6
+
+
 def test_toxicity_defined_cases(spark):
     docs, none = rows(spark, TEXTS), spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.learn(docs, none)
