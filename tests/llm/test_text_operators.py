@@ -177,6 +177,24 @@ def test_token_counts_against_plain_dynamic_programming(spark):
         assert found[i]["n_tokens"] == sum(plain(tokencount.MARK + w) for w in (t or "").split())
 
 
+def test_token_counts_of_long_pre_tokens(spark):
+    path = public_tokenizers.path(queries.PIECES)
+    model = tokencount.unigrams(path)
+    rng = random.Random(3)
+    texts = ["x" * 30_000, "".join(rng.choices("abetionrsABC09+/", k=5_000)), "你好世界" * 1500 + "internationalisation" * 200, "a" * 999, "a" * 1000, "token" * 207, "x " + "token" * 400]
+    found = {r["doc_id"]: r for r in tokencount.counts(rows(spark, texts), path).collect()}
+    for i, t in enumerate(texts):
+        want = 0
+        for word in (tokencount.MARK + w for w in t.split()):
+            best = [(0.0, 0)]
+            for end in range(1, len(word) + 1):
+                options = [(best[end - 1][0] + tokencount.UNKNOWN_SCORE, best[end - 1][1] - len(word[end - 1].encode()))]
+                options += [(best[end - n][0] + model.scores[word[end - n : end]], best[end - n][1] - 1) for n in range(1, min(end, model.longest) + 1) if word[end - n : end] in model.scores]
+                best.append(max(options))
+            want -= best[-1][1]
+        assert (found[i]["n_pre_tokens"], found[i]["n_tokens"]) == (len(t.split()), want)
+
+
 @pytest.mark.parametrize("op", [lambda d: langid.identify(d, {"en": b"a b"}), licenses.scan, lambda d: tokencount.counts(d, public_tokenizers.path(queries.PIECES)), lambda d: toxicity.score(d, None)])
 def test_empty_tables(spark, op):
     assert op(rows(spark, [])).collect() == []
