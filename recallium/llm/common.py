@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Name of the setting that names the folder shared by driver and executors.
 SHARED_SETTING = "spark.checkpoint.dir"
@@ -20,11 +21,14 @@ SHARED_SETTING = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor sees: ``spark.checkpoint.dir`` of the session.
 
-    Where the setting is missing (tests in local mode) a temporary folder is made and the
-    session is told about it, so that later calls agree.
+    Where the setting is missing in local mode, as in tests, a temporary folder is made and the
+    session is told about it, so that later calls agree. On a cluster a missing setting is an
+    error, as executors would write to disks of their own.
     """
     where = spark.conf.get(SHARED_SETTING, None)
     if not where:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError(f"{SHARED_SETTING} must name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="recallium-shared-")
         spark.conf.set(SHARED_SETTING, where)
     return where.rstrip("/")
@@ -36,7 +40,29 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/recallium-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._written_to = path
+    return written
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables that :func:`materialize` wrote and that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+#: Up to so many ids are sent to every task; more are joined by a shuffle.
+BROADCAST_IDS = 1 << 20
+
+
+def without(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``key`` isn't among ``ids`` (a written table of one column of
+    distinct values). Rows don't move unless there are more ids than may be sent to every task."""
+    ids = ids.select(F.col(ids.columns[0]).alias("_gone"))
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if few else ids, df[key] == ids["_gone"], "left_anti")
 
 
 #: Bytes of an Arrow batch between Spark and Python; Spark's own default is 16 times as much.
@@ -73,6 +99,7 @@ def slices(batch: pa.RecordBatch, text: str, most_bytes: int = 1 << 20) -> Itera
 
 def give_back() -> None:
     """Return what this worker has freed to the system: workers live on from task to task."""
+    _POWER_CACHE.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
@@ -103,13 +130,15 @@ def splitmix(n: int, seed: int) -> np.ndarray:
         return mix64((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def keep_rows(df: DataFrame, text: str, wanted: Callable[[list[str | None]], list[bool]]) -> DataFrame:
-    """The rows of ``df`` whose text is wanted, with all their columns: one narrow pass."""
+def keep_rows(df: DataFrame, text: str, wanted: Callable[[list[str | None]], list[bool]], done: Callable[[], None] = lambda: None) -> DataFrame:
+    """The rows of ``df`` whose text is wanted, with all their columns: one narrow pass. ``done``
+    is called at the end of each task, to let go of what ``wanted`` keeps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text):
                 yield part.filter(pa.array(wanted(part.column(text).to_pylist()), type=pa.bool_()))
+        done()
         give_back()
 
     return df.mapInArrow(run, df.schema)

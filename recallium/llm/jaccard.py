@@ -7,15 +7,17 @@ symmetric difference of the sets; with one bit for a shingle instead of a hash,
 Hamming distance. Sets with Jaccard similarity ``t`` differ in at most
 ``(|A| + |B|)(1 - t)/(1 + t)`` shingles.
 
-* Size bands. Band j takes sets of 8**j to 8**(j+1) - 1 shingles; the number of blocks follows
-  the band. A set that may have partners in the next band is sketched in that one too.
+* Size bands. Band j takes sets of 2**j to 2**(j+1) - 1 shingles; the number of blocks follows from
+  the most in which two sets of the band can differ, ``SPREAD`` times as many, so that a block holds one
+  to two shingles on average. A set that may have partners in the next band is sketched in that one too.
 * Pigeonhole join. If two sets differ in at most d shingles, at most d of the blocks that are
-  not zero in either of them differ. Put the blocks in one order for all texts: the first
-  d + 1 non-zero blocks of either text then include one that both have among theirs. So each
-  text sends its first d + 1 blocks, d for its largest possible partner, and texts are joined on
-  equal (band, block, value). Blocks that many texts have come last in that order; a histogram
-  of fixed size over all texts gives it, and spreads the few blocks over salts that are common
-  and yet sent.
+  not zero in either of them differ. Put the blocks in one order for all texts: where more than d
+  blocks of a text aren't zero, the first d + 1 of these include the first that both texts have, and
+  it is among the first d + 1 of the other one. So each text sends its first d + 1 blocks, d for
+  its largest possible partner, and texts are joined on equal (band, level, block, value). A text with
+  too few blocks that aren't zero sends all of them and goes on to a level with four times as many.
+  Blocks that many texts have come last in that order; a histogram of fixed size over all texts gives
+  it, and spreads the few blocks over salts that are common and yet sent.
 * Verification. Joined pairs face first the Hamming bound, on a sketch folded to 512 bits and on
   one of four times as many bits as shingles, then the exact shingle sets.
 
@@ -40,17 +42,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, give_back, materialize, mix64, shingle_hashes, slices, texts_of
+from .common import Words, give_back, materialize, mix64, release, shingle_hashes, slices, texts_of
 
 WIDTH = 5
 #: Jaccard similarity in percent from which texts link.
 PERCENT = 75
+#: Blocks of a sketch for each two in which two sets of the band may differ, and of the least sketch.
+SPREAD, LEAST_BLOCKS = 3, 32
 #: Buckets of the histogram that orders blocks; it has this size whatever the input.
 BUCKETS = 1 << 18
 #: Buckets of ids that are sent to every task before texts are joined with wanted ids.
 ID_BUCKETS = 1 << 18
 #: Texts that are compared with as many others in one place.
 CHUNK_ROWS = 4096
+#: Pairs of texts whose sketches are compared at once.
+_PAIRS = 1 << 16
+#: In finding components, neighbours of one vertex that meet in one place, unless so small a number makes more than ``HOT_VERTICES`` vertices hot.
+NEIGHBOURS, HOT_VERTICES = 1000, 50_000
 #: Words of the folded sketch of the Hamming test.
 FOLDED = 8
 
@@ -68,39 +76,44 @@ def most_different(n: int, percent: int = PERCENT) -> int:
 
 def bands(n: int, percent: int = PERCENT) -> list[int]:
     """The bands in which a set of ``n`` shingles is joined."""
-    band = (n.bit_length() - 1) // 3
-    return [band, band + 1] if n * 100 // percent >= 8 ** (band + 1) else [band]
+    band = n.bit_length() - 1
+    return [band, band + 1] if n * 100 // percent >= 2 << band else [band]
 
 
-def blocks_of_band(band: int) -> int:
-    """A power of two: few shingles fall together, so nearly every shingle has its own block."""
-    return max(1 << 16, 8 ** (band + 2))
+def blocks_of_band(band: int, level: int = 0, percent: int = PERCENT) -> int:
+    """By the most in which two sets of the band can differ."""
+    most = 2 * ((2 << band) - 1) * (100 - percent) // (100 + percent) + 1
+    return min(max(LEAST_BLOCKS, SPREAD * most // 2) << (2 * level), 1 << 31)
 
 
-def sketch_blocks(shingles: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+def sketch_blocks(shingles: np.ndarray, band: int, level: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Of the blocks of the parity sketch of sorted shingles that aren't 0: one hash for (band,
-    block number, value), and the value."""
-    block = shingles >> np.uint64(65 - blocks_of_band(band).bit_length())
+    level, block number, value), and the value."""
+    block = ((shingles >> np.uint64(32)) * np.uint64(blocks_of_band(band, level))) >> np.uint64(32)
     starts = np.concatenate(([0], np.flatnonzero(block[1:] != block[:-1]) + 1))
     value = np.bitwise_xor.reduceat(mix64(shingles), starts)
     block = block[starts]
     if not value.all():
         block, value = block[value != 0], value[value != 0]
     with np.errstate(over="ignore"):
-        return mix64(value + block * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band)), value
+        return mix64(value + block * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band | level << 8)), value
 
 
 def sent_blocks(shingles: np.ndarray, band: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The blocks that a text sends in a band and their buckets: of the order by bucket counts and
     hash, the first as many as it may differ from a partner in, and one."""
-    keys, values = sketch_blocks(shingles, band)
-    bucket = (values % np.uint64(BUCKETS)).astype(np.int64)
-    n = most_different(len(shingles)) + 1
-    if n < len(keys):
-        place = (np.minimum(counts[bucket], (1 << 24) - 1).astype(np.uint64) << np.uint64(40)) | (keys >> np.uint64(24))
-        first = np.argpartition(place, n - 1)[:n]
-        keys, bucket = keys[first], bucket[first]
-    return keys, bucket
+    sent, n = [], most_different(len(shingles)) + 1
+    for level in range(16):
+        keys, values = sketch_blocks(shingles, band, level)
+        bucket = (values % np.uint64(BUCKETS)).astype(np.int64)
+        if n < len(keys):
+            place = (np.minimum(counts[bucket], (1 << 24) - 1).astype(np.uint64) << np.uint64(40)) | (keys >> np.uint64(24))
+            first = np.argpartition(place, n - 1)[:n]
+            keys, bucket = keys[first], bucket[first]
+        sent.append((keys, bucket))
+        if len(keys) >= n:
+            break
+    return sent[0] if len(sent) == 1 else tuple(np.concatenate(x) for x in zip(*sent, strict=True))
 
 
 def bit_sketch(shingles: np.ndarray) -> np.ndarray:
@@ -127,7 +140,7 @@ def _narrow(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def _sizes(docs: DataFrame) -> DataFrame:
     """One pass over the texts: (id, n, sketch, the sketch folded to words) of each, and how many
-    texts have shingles of each bucket."""
+    texts have blocks of each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(BUCKETS, dtype=np.int64)
@@ -135,13 +148,16 @@ def _sizes(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingle_sets(texts_of(part.column("text")))
-                seen += np.bincount((mix64(np.concatenate(sets)) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+                values = [sketch_blocks(s, band)[1] for s in sets if len(s) for band in bands(len(s))]
+                if values:
+                    seen += np.bincount((np.concatenate(values) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
                 sketches = [bit_sketch(s) for s in sets]
                 short = np.array([folded(s, 8 * FOLDED) for s in sketches]).view(np.int64)
                 n = pa.array([len(s) for s in sets], type=pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("id"), n, pa.nulls(len(sets), pa.int32()), pa.array([s.tobytes() for s in sketches], type=pa.binary()), *(pa.array(np.ascontiguousarray(short[:, k])) for k in range(FOLDED))], names=names)
         used = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.nulls(len(used), pa.int64()), pa.array(seen[used]), pa.array(used.astype(np.int32)), pa.nulls(len(used), pa.binary()), *(pa.nulls(len(used), pa.int64()) for _ in range(FOLDED))], names=names)
+        give_back()
 
     return docs.mapInArrow(run, "id long, n long, bucket int, sketch binary, " + ", ".join(f"{s} long" for s in _sketch_names()))
 
@@ -228,6 +244,8 @@ def _groups(sent: DataFrame) -> DataFrame:
             held = (key[-1], salt[-1], first[last], bool(size[last] == 1 and salt[-1] < 0 and not (goes_on and last == 0)))
             if len(out[0]):
                 yield pa.RecordBatch.from_arrays([*(pa.array(np.asarray(x, dtype=np.int64)) for x in out[:3]), *(pa.array(np.asarray(x, dtype=bool)) for x in out[3:])], names=["key", "id", "first", "salted", "wide"])
+        seen.clear()
+        give_back()
 
     return sent.mapInArrow(run, "key long, id long, first long, salted boolean, wide boolean")
 
@@ -266,6 +284,8 @@ def _near(pairs: DataFrame, sizes: DataFrame, percent: int = PERCENT) -> DataFra
             x, y, n, m = (batch.column(c).to_pylist() for c in ("x", "y", "n", "m"))
             mask = pa.array([_may_link(a, b, i + j, percent) for a, b, i, j in zip(x, y, n, m, strict=True)], type=pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+        give_back()
+        give_back()
 
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y", "n", "m").mapInArrow(run, "a long, b long").distinct()
 
@@ -273,7 +293,10 @@ def _near(pairs: DataFrame, sizes: DataFrame, percent: int = PERCENT) -> DataFra
 def _linked(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs that link, as a written table."""
     close = materialize(pairs, "pairs")
-    return materialize(_verified(close, materialize(_sets(docs, close), "sets"), percent), "links")
+    sets = materialize(_sets(docs, close), "sets")
+    links = materialize(_verified(close, sets, percent), "links")
+    release(close, sets)
+    return links
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -291,6 +314,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             mask = pa.array(keep, type=pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+        give_back()
 
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
@@ -300,25 +324,30 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star steps in turn, each a join and an aggregation over the edges, until
     the edges are stars around their components' smallest ids. Each step is a written table.
+    The neighbours of a vertex are spread over salts where there are more than ``NEIGHBOURS``.
     """
-
-    def to_least(pairs: DataFrame) -> DataFrame:
-        """(u, v) -> all (u, v, least of u and its v)."""
-        least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        return pairs.join(least, "u")
-
     edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    known = None
+    known, n = None, edges.count()
     while True:
+        most = max(NEIGHBOURS, -(-2 * n // HOT_VERTICES))  # at most HOT_VERTICES vertices have as many neighbours
+
+        def to_least(pairs: DataFrame) -> DataFrame:
+            """(u, v) -> all (u, v, least of u and its v)."""
+            least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.ceil(F.count("*") / most).cast("int").alias("salts")).select("u", F.least("u", "m").alias("m"), "salts")
+            hot = least.where("salts > 1").select("u", "salts")
+            spread = pairs.join(F.broadcast(hot), "u", "left").withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("v"), F.col("salts"))).cast("int")).drop("salts")
+            return spread.join(least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts"), ["u", "salt"]).drop("salt")
+
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = to_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = to_least(large)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(small.select("u", F.col("m").alias("v"))).distinct()
-        edges = materialize(small, "edges")
+        before, edges = edges, materialize(small, "edges")
+        release(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == known:
             break
-        known = now
+        known, n = now, now[0]
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
@@ -368,11 +397,13 @@ def _open_pairs(groups: DataFrame, sketches: DataFrame, found: DataFrame, percen
             a, b = np.nonzero(apart)
             a += low
             near = (n[a] * 100 >= n[b] * percent) & (n[b] * 100 >= n[a] * percent)
-            a, b = a[near], b[near]
-            near = np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int64) * (100 + percent) <= (n[a] + n[b]) * (100 - percent)
-            for x, y in zip(a[near].tolist(), b[near].tolist(), strict=True):
-                if _may_link(sketch[x], sketch[y], n[x] + n[y], percent):
-                    yield int(ids[x]), int(ids[y])
+            pairs = np.stack((a[near], b[near]))
+            for k in range(0, pairs.shape[1], _PAIRS):
+                a, b = pairs[:, k : k + _PAIRS]
+                near = np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int64) * (100 + percent) <= (n[a] + n[b]) * (100 - percent)
+                for x, y in zip(a[near].tolist(), b[near].tolist(), strict=True):
+                    if _may_link(sketch[x], sketch[y], n[x] + n[y], percent):
+                        yield int(ids[x]), int(ids[y])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def given(group: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -395,6 +426,8 @@ def _open_pairs(groups: DataFrame, sketches: DataFrame, found: DataFrame, percen
             held = [c[starts[-1] :] for c in columns]
         if held is not None and len(held[0]):
             yield from given(held[1:])
+        held = None
+        give_back()
 
     return rest.repartition("low", "i", "j").sortWithinPartitions("low", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
@@ -419,10 +452,11 @@ def join(df: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int
     found = materialize(components(links), "components")
     more = _linked(docs, _open_pairs(groups, known, found, percent), percent)
     if not more.isEmpty():
-        found = materialize(components(links.unionByName(more)), "components")
+        earlier, found = found, materialize(components(links.unionByName(more)), "components")
+        release(earlier)
+    release(groups, links, more)
     return (
         sizes.where("bucket is null")
         .join(found, "id", "left")
         .select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     )
-

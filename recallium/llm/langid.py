@@ -6,13 +6,21 @@ byte that a language doesn't know belongs to the phrase it ends).
 Phrases times the logarithm of the automaton's text length, by byte parsed, estimate the cross
 entropy; the language with the least wins, ties going to the smaller name.
 
-Texts are cut into blocks of ``BLOCK`` bytes that are parsed side by side (a phrase also ends at
-the end of its block), so that all blocks of a batch and all languages take one step at a time
-as arrays. Work is proportional to the bytes of text; a very long text is only more blocks.
+All blocks of ``BLOCK`` bytes of a batch take one step at a time as arrays. Each is first parsed as
+if a phrase began with it; then the state in which the parse of the block before ended is walked
+through the block beside that until both agree, which takes few bytes, and the difference in
+phrases is counted. So phrases run across blocks and the count is that of the whole text.
+Work is proportional to the bytes of text; a very long text is only more blocks.
+
+What is learned is bounded: ``DOCUMENTS`` rows a language, the first by a hash in each of as many
+classes, those of up to ``SHORT`` bytes before longer ones, taken whole until ``BYTES`` bytes of the
+language are there (only the row that passes that is cut). No other language's rows matter.
+A worker's tables take about 6 MB a language.
 
 Defined cases: a text that is null or has no letter gets ``und`` and score 0; with no learned
-language at all every text does; rows with null label, null text or held out teach nothing;
-equal rows get equal results; extra columns are never looked at.
+language at all every text does; rows with null key, label or text or held out teach nothing;
+rows equal in key, label and text teach once; equal rows get equal results; extra columns are
+never looked at.
 """
 
 from __future__ import annotations
@@ -24,7 +32,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,9 +40,8 @@ from .common import give_back, slices
 
 UNKNOWN = "und"
 BLOCK = 1024
-#: Bounds of what is learned: labelled documents a language, bytes taken of each of them (spread
-#: over the whole text), bytes a language, and bytes over all languages.
-DOCUMENTS_PER_LANGUAGE, BYTES_PER_DOCUMENT, BYTES_PER_LANGUAGE, BYTES_IN_ALL = 64, 256, 12_000, 400_000
+#: Bounds of what is learned of a language: rows and bytes; rows of up to ``SHORT`` bytes come first.
+DOCUMENTS, BYTES, SHORT = 64, 24_000, 2_000
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -55,33 +62,22 @@ def letters(text: str | None) -> bytes:
 def learn(df: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "lang") -> dict[str, bytes]:
     """Labelled text of each language from a bounded sample of the rows that aren't held out.
 
-    First only keys and labels are read, to take the ``DOCUMENTS_PER_LANGUAGE`` rows of each
-    language that come first by a hash of the key; then the texts of those rows alone.
+    A first pass finds, in each task beforehand, the least hash of each of a language's ``DOCUMENTS``
+    classes of hashes; a second takes the texts of these rows alone.
     """
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(label).alias("label"))
-    usable = rows.where(F.col("label").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("key")))
-    order = F.xxhash64("key")
-    # Per language the least hashes only: partial aggregation keeps a bounded list a task.
-    first = usable.select("label", "key", order.alias("h")).withColumn("n", F.row_number().over(Window.partitionBy("label", F.pmod(F.col("h"), F.lit(64))).orderBy("h", "key")))
-    first = first.where(F.col("n") <= DOCUMENTS_PER_LANGUAGE)
-    picked = first.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("h", "key"))).where(F.col("n") <= DOCUMENTS_PER_LANGUAGE).select("label", "key").collect()
-    if not picked:
-        return {}
-    keys = sorted({r["key"] for r in picked})
-    found = usable.where(F.col("key").isin(keys)).select("label", "key", "text").collect()
-    share = min(BYTES_PER_LANGUAGE, BYTES_IN_ALL // len({r["label"] for r in found}))
+    usable = rows.where(F.col("key").isNotNull() & F.col("label").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("key")))
+    mixed = F.xxhash64("key", "text")
+    # One number whose order is that of (longer than SHORT, hash).
+    place = F.shiftrightunsigned(mixed, 2).bitwiseOR(F.when(F.octet_length("text") > SHORT, F.lit(1 << 62)).otherwise(F.lit(0)))
+    usable = usable.withColumn("place", place).withColumn("class", F.pmod(mixed, F.lit(DOCUMENTS)))
+    first = usable.groupBy("label", "class").agg(F.min("place").alias("place"))
+    found = usable.join(first, ["label", "class", "place"]).dropDuplicates(["label", "class", "place"]).select("label", "place", "text").collect()
     texts: dict[str, bytes] = {}
-    for r in sorted(found, key=lambda r: (r["label"], r["key"], r["text"])):
-        whole = letters(r["text"])
-        if not whole:
-            continue
-        piece = BYTES_PER_DOCUMENT // 4
-        if len(whole) > BYTES_PER_DOCUMENT:
-            step = (len(whole) - piece) // 3
-            whole = b" ".join(whole[i * step : i * step + piece] for i in range(4))
+    for r in sorted(found, key=lambda r: (r["label"], r["place"], r["text"])):
         known = texts.get(r["label"], b"")
-        if len(known) < share:
-            texts[r["label"]] = (known + b" " + whole)[:share]
+        if len(known) < BYTES and (whole := letters(r["text"])):
+            texts[r["label"]] = (known + b" " + whole)[:BYTES]
     return texts
 
 
@@ -150,38 +146,73 @@ class Parser:
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
         blocks = -(-sizes // BLOCK)
         owner = np.repeat(np.arange(len(texts)), blocks)
-        grid = np.full((len(owner), BLOCK), self.pad, dtype=np.int32)
+        n = len(owner)
+        within = np.arange(n) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        filled = np.minimum(sizes[owner] - within * BLOCK, BLOCK)
+        order = np.argsort(-filled, kind="stable")
         flat = self.classes[np.frombuffer(b"".join(texts), dtype=np.uint8)]
-        within = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        row = np.repeat(np.cumsum(blocks) - blocks, sizes) + within // BLOCK
-        grid[row, within % BLOCK] = flat
-        order = np.argsort(-np.bincount(row, minlength=len(owner)), kind="stable")
-        filled = np.bincount(row, minlength=len(owner))[order]
-        columns = np.ascontiguousarray(grid[order].T)
-        phrases = np.zeros((len(self.languages), len(owner)), dtype=np.int64)
-        state = np.repeat(self.base[:, None], len(owner), axis=1)
-        live = np.searchsorted(-filled, -np.arange(BLOCK), side="left")  # blocks longer than the step
+        begin = (np.cumsum(sizes) - sizes)[owner] + within * BLOCK
+        columns = np.full((BLOCK, n), self.pad, dtype=np.int32)  # by step and place in the order
+        for place, k in enumerate(order.tolist()):
+            columns[: filled[k], place] = flat[begin[k] : begin[k] + filled[k]]
+        phrases = np.zeros((len(self.languages), n), dtype=np.int64)
+        state = np.repeat(self.base[:, None], n, axis=1)
+        live = np.searchsorted(-filled[order], -np.arange(BLOCK), side="left")  # blocks longer than the step
         for step in range(BLOCK):
-            n = int(live[step])
-            if not n:
+            m = int(live[step])
+            if not m:
                 break
-            to = self.table.take(state[:, :n] * self.width + columns[step, :n])
+            to = self.table.take(state[:, :m] * self.width + columns[step, :m])
             ended = to < 0
-            phrases[:, :n] += ended
-            to += ended.astype(np.int32) << 30
-            state[:, :n] = to
+            phrases[:, :m] += ended
+            state[:, :m] = to + (ended.astype(np.int32) << 30)
+        place_of = np.empty(n, dtype=np.int64)
+        place_of[order] = np.arange(n)
+        self._carry_on(phrases, state, columns, place_of[np.flatnonzero(within)], place_of[np.flatnonzero(within) - 1], filled[order])
         out = np.zeros((len(texts), len(self.languages)))
         for k in range(len(self.languages)):
-            counts = np.bincount(owner[order], weights=phrases[k] + 1, minlength=len(texts))
+            counts = np.bincount(owner[order], weights=phrases[k], minlength=len(texts)) + 1
             out[:, k] = counts * self.bits[k] / np.maximum(sizes, 1)
         return out
 
+    def _carry_on(self, phrases: np.ndarray, state: np.ndarray, columns: np.ndarray, blocks: np.ndarray, before: np.ndarray, filled: np.ndarray) -> None:
+        """Correct counts and last states of ``blocks``, which were parsed from the root, to what
+        they are from the last states of the blocks ``before`` them."""
+        begun = np.repeat(self.base[:, None], len(blocks), axis=1)  # the state that each block was last begun with
+        while True:
+            first = state[:, before]
+            language, j = np.nonzero(first != begun)
+            if not len(j):
+                return
+            own, other, at = first[language, j], begun[language, j], blocks[j]
+            begun[language, j] = own
+            for step in range(BLOCK):
+                on = (own != other) & (filled[at] > step)
+                if not on.all():
+                    done = (own != other) & ~on  # the block is over and they differ: its last state changes
+                    state[language[done], at[done]] = own[done]
+                    own, other, at, language = own[on], other[on], at[on], language[on]
+                if not len(at):
+                    break
+                cell = columns[step, at]
+                a, b = self.table.take(own * self.width + cell), self.table.take(other * self.width + cell)
+                np.add.at(phrases, (language, at), (a < 0).astype(np.int64) - (b < 0))
+                own, other = a + ((a < 0).astype(np.int32) << 30), b + ((b < 0).astype(np.int32) << 30)
+            else:
+                done = own != other
+                state[language[done], at[done]] = own[done]
+
 
 @lru_cache(maxsize=1)
 def parser(texts: tuple[tuple[str, bytes], ...]) -> Parser:
     return Parser(dict(texts))
 
 
+def forget() -> None:
+    """Let go of the parser that this process keeps."""
+    parser.cache_clear()
+
+
 def predict(texts: dict[str, bytes], values: list[str | None]) -> tuple[list[str], list[float]]:
     """The language and score of each text. The score is the winner's share when each language
     counts 2 to the power of minus 16 times its bits a byte."""
@@ -207,6 +238,7 @@ def identify(df: DataFrame, learned: dict[str, bytes], *, key: str = "doc_id", t
             for part in slices(batch, "text", 2 << 20):
                 langs, scores = predict(learned, part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(langs, type=pa.string()), pa.array(scores, type=pa.float64())], names=[key, "lang_pred", "score"])
+        forget()
         give_back()
 
     return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, out)

@@ -2,11 +2,16 @@
 
 All templates go into one suffix automaton over words. A document's words are streamed through
 it: where the automaton can't go on, it falls back along suffix links, which yields for every word
-the longest run ending there that some template contains (matching statistics), and where in
-the templates that run ends. Words of no template reset it, so only runs of known words are
-walked. Runs of ``LEAST_RUN`` words and more are chained by template and in order into spans;
-a template whose chained runs cover ``LEAST_COVER`` of its words, or that hold ``LONG_RUN`` words
-in one run, gives its label.
+the longest run ending there that some template contains (matching statistics), and, along the links
+from there, where in each template the longest run ends that this one contains. Words of no
+template reset it, so only runs of known words are walked. Of these, runs of ``LEAST_RUN`` words and
+more that neither the word before nor the next prolongs are kept by template and chained:
+a chain's runs go forward in text and template, no gap in the text is longer than the template, and where
+two runs overlap in either the second one counts from the overlap's end. The chain that covers most
+words is the first span, then the best of the runs that are left, and so on. A chain that covers
+``LEAST_COVER`` of its template's words, or that holds ``LONG_RUN`` words in one run, gives the
+template's label, unless the chain of another label holds its place and covers more words, or as many and more of its
+template (licences share sentences: the one that explains most is meant).
 
 Separately, the places where given phrases stand are counted over the whole text.
 
@@ -27,23 +32,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import slices, texts_of
+from .licence_texts import TEMPLATES
 
 #: Phrases whose places are counted, and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Notices of public licences, as their licences ask to state them.
-TEMPLATES = [
-    ("apache-2.0", "licensed under the apache license version 2.0 you may not use this file except in compliance with the license you may obtain a copy of the license at"),
-    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
-    ("gpl-3.0", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("cc-by-nc-4.0", "licensed under cc by nc 4.0"),
-    ("cc-by-4.0", "this work is licensed under a creative commons attribution 4.0 international license"),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2.0"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
-]
 LEAST_RUN, LONG_RUN, LEAST_COVER = 3, 12, 0.6
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -108,51 +100,89 @@ class Automaton:
             p = self.link[p]
         return clone
 
-    def runs(self, words: list[bytes]) -> list[tuple[int, int, int]]:
-        """(start, length, state) of every longest run of LEAST_RUN words or more: those that the
-        next word doesn't prolong."""
-        found = []
+    def statistics(self, words: list[bytes]) -> Iterator[tuple[int, int, int]]:
+        """(place, length, state) of each word at which a run of ``LEAST_RUN`` words or more ends:
+        the longest that some template contains."""
         known, nxt, link, length = self.known, self.next, self.link, self.length
         state = size = 0
         for i, w in enumerate(words):
             if w not in known:
-                if size >= LEAST_RUN:
-                    found.append((i - size, size, state))
                 state = size = 0
                 continue
-            before, was = size, state
             while state and w not in nxt[state]:
                 state = link[state]
                 size = length[state]
             if w in nxt[state]:
                 state = nxt[state][w]
                 size += 1
-            if size <= before and before >= LEAST_RUN:
-                found.append((i - before, before, was))
-        if size >= LEAST_RUN:
-            found.append((len(words) - size, size, state))
+            if size >= LEAST_RUN:
+                yield i, size, state
+
+    def runs(self, words: list[bytes]) -> dict[int, list[tuple[int, int, int]]]:
+        """By template, (start in the text, start in the template, length) of its longest runs of
+        ``LEAST_RUN`` words and more, in the order of their ends."""
+        found: dict[int, list[tuple[int, int, int]]] = {}
+        templates, link, length = self.templates, self.link, self.length
+        for i, size, state in self.statistics(words):
+            after, taken = words[i + 1] if i + 1 < len(words) else None, set()
+            while size >= LEAST_RUN:
+                for t, end in self.ends[state]:
+                    if (t, end) not in taken:
+                        taken.add((t, end))
+                        own = templates[t]
+                        if end + 1 == len(own) or own[end + 1] != after:
+                            found.setdefault(t, []).append((i - size + 1, end - size + 1, size))
+                state = link[state]
+                size = length[state]
         return found
 
     def spans(self, words: list[bytes]) -> list[tuple[str, int, int, float]]:
         """(label, first word, last word, share of the template covered) of matched templates."""
-        by_template: dict[int, list[tuple[int, int, int]]] = {}
-        for start, size, state in self.runs(words):
-            for t, end in self.ends[state]:
-                by_template.setdefault(t, []).append((start, end - size + 1, size))
         found = []
-        for t, parts in by_template.items():
+        for t, parts in self.runs(words).items():
             total = len(self.templates[t])
-            chains: list[list[tuple[int, int, int]]] = []
-            for part in sorted(parts):  # onto the last chain that it prolongs in text and template
-                if chains and part[1] >= chains[-1][-1][1] + chains[-1][-1][2] and 0 <= part[0] - sum(chains[-1][-1][::2]) <= total:
-                    chains[-1].append(part)
-                else:
-                    chains.append([part])
-            for chain in chains:
-                cover = sum(p[2] for p in chain) / total
-                if cover >= LEAST_COVER or max(p[2] for p in chain) >= LONG_RUN:
-                    found.append((self.labels[t], chain[0][0], chain[-1][0] + chain[-1][2] - 1, min(1.0, cover)))
-        return sorted(found)
+            for chain, covered in chains(parts, total):
+                if covered >= LEAST_COVER * total or max(p[2] for p in chain) >= LONG_RUN:
+                    found.append((self.labels[t], chain[0][0], max(p[0] + p[2] for p in chain) - 1, covered, covered / total))
+        found.sort(key=lambda f: (f[1], -f[2], -f[3], -f[4]))
+        kept, around = [], []
+        for label, first, last, covered, share in found:
+            around = [f for f in around if f[2] >= first]
+            if not any(f[0] != label and f[2] >= last and f[3:] > (covered, share) for f in around):
+                kept.append((label, first, last, share))
+            around.append((label, first, last, covered, share))
+        return sorted(set(kept))
+
+
+def chains(runs: list[tuple[int, int, int]], total: int) -> Iterator[tuple[list[tuple[int, int, int]], int]]:
+    """The chains of a template's runs, each run in one chain, and the words that each covers.
+
+    ``best[j]`` is the most that a chain ending with run j covers. Only runs that end at most
+    ``total`` words before run j begins can come before it, so the work is bounded by the runs that lie
+    about as near to each other as the template is long.
+    """
+    runs = sorted(set(runs), key=lambda r: (r[0] + r[2], r[1] + r[2], r[2]))
+    best, back = [], []
+    low = 0
+    for j, (start, at, size) in enumerate(runs):
+        while runs[low][0] + runs[low][2] + 2 * total < start + size:
+            low += 1
+        most, before = size, -1
+        for i in range(low, j):
+            more = size - max(0, runs[i][0] + runs[i][2] - start, runs[i][1] + runs[i][2] - at)
+            if runs[i][0] < start and runs[i][1] < at and runs[i][0] + runs[i][2] + total >= start and more > 0 and best[i] + more > most:
+                most, before = best[i] + more, i
+        best.append(most)
+        back.append(before)
+    used = [False] * len(runs)
+    for j in sorted(range(len(runs)), key=lambda j: (-best[j], j)):
+        chain, k = [], j
+        while k >= 0 and not used[k]:
+            used[k] = True
+            chain.append(k)
+            k = back[k]
+        if chain:
+            yield [runs[i] for i in reversed(chain)], best[j] - (best[k] if k >= 0 else 0)
 
 
 @lru_cache(maxsize=1)

@@ -14,13 +14,14 @@ ordinary ones, in ``MARKED_DOCUMENTS`` toxic documents at least. How many docume
 doesn't matter to that. The toxic dictionary holds the words with markers, the most frequent last; the
 ordinary one is trained on windows without markers, and windows without markers in which the
 toxic one still saves bytes are added to it in rounds over two halves of the sample. A third part
-of the sample serves calibration only. The sample is bounded: ``TOXIC_DOCUMENTS`` and
-``ORDINARY_DOCUMENTS`` labelled rows, the first by a hash of their key, at most
-``SAMPLED_WINDOWS`` windows of each, evenly spread. Scoring covers every window of every text.
+of the sample serves calibration only. The sample is bounded by rows, whose texts are taken whole:
+``TOXIC_DOCUMENTS`` and ``ORDINARY_DOCUMENTS`` labelled ones, the first by a hash of their key, of
+texts of up to ``LONGEST_SAMPLED`` bytes. Scoring covers every window of every text.
 
 Defined cases: a text that is null or has no word has no window and gets the score of no
-evidence; rows with null label or text or that are held out teach nothing; if either class is
-missing, all scores are 0; extra columns are never looked at; equal rows get equal scores.
+evidence; rows with null key, label or text or that are held out teach nothing; of rows that
+repeat a key the greatest label holds and the least text teaches; if either class is missing,
+all scores are 0; extra columns are never looked at; equal rows get equal scores.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,7 +43,7 @@ from .common import give_back, slices
 from .langid import held_out
 
 WINDOW_WORDS = 8
-TOXIC_DOCUMENTS, ORDINARY_DOCUMENTS, SAMPLED_WINDOWS = 3000, 6000, 240
+TOXIC_DOCUMENTS, ORDINARY_DOCUMENTS, LONGEST_SAMPLED = 2500, 5000, 1 << 17
 ORDINARY_BYTES, ORDINARY_MOST, TOXIC_BYTES, ROUNDS = 60_000, 120_000, 7_500, 2
 #: Lengths of markers in bytes, how much more frequent they are in toxic windows, and in how many toxic documents.
 GRAMS, LIFT, MARKED_DOCUMENTS, BUCKET_BITS = (5, 7), 6, 5, 23
@@ -213,26 +214,22 @@ def learn(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     """Train on the bounded sample of labelled rows that aren't held out."""
     spark = docs.sparkSession
     usable = labels.select(F.col(key).alias("key"), F.col(label).alias("label")).where(F.col("key").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("key"), 5, 0)).groupBy("key").agg(F.max("label").alias("label"))
-    order = Window.partitionBy("label").orderBy(F.xxhash64("key"), "key")
-    most = F.when(F.col("label") == 1, TOXIC_DOCUMENTS).otherwise(ORDINARY_DOCUMENTS)
-    picked = usable.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max(TOXIC_DOCUMENTS, ORDINARY_DOCUMENTS)).where(F.col("n") <= most).select("key", "label").collect()
+    usable = usable.withColumn("h", F.xxhash64("key"))
+    picked = []
+    for which, most in ((1, TOXIC_DOCUMENTS), (0, ORDINARY_DOCUMENTS)):
+        own = usable.where(F.col("label") == which)
+        # Hashes below a limit that about 1.5 times as many rows have as are wanted.
+        share = 1.5 * (most + 100) / max(own.count(), 1)
+        likely = own if share >= 1 else own.where(F.col("h") < int((2 * share - 1) * (1 << 63)))
+        picked += likely.orderBy("h", "key").limit(most).select("key", "label").collect()
     if not picked:
         return None
     chosen = spark.createDataFrame(picked, usable.select("key", "label").schema)  # at most TOXIC_DOCUMENTS + ORDINARY_DOCUMENTS rows
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null").join(F.broadcast(chosen), "key")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                pieces = [b"\n".join(w[:512] for w in _spread(windows(t), SAMPLED_WINDOWS)) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("label"), pa.array(pieces, type=pa.binary())], names=["key", "label", "windows"])
-
-    kinds = dict(rows.dtypes)
-    found = rows.select("key", "label", "text").mapInArrow(run, f"key {kinds['key']}, label {kinds['label']}, windows binary").collect()
-    by_label: dict[int, list] = {0: [], 1: []}
-    for r in sorted(found, key=lambda r: (r["key"], bytes(r["windows"]))):
-        by_label[int(r["label"])].append(bytes(r["windows"]).split(b"\n") if r["windows"] else [])
-    return train(by_label[1], by_label[0])
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.octet_length("text") <= LONGEST_SAMPLED).join(F.broadcast(chosen), "key").groupBy("key", "label").agg(F.min("text").alias("text"))
+    toxic, ordinary = [], []
+    for r in sorted(rows.select("key", "label", "text").collect(), key=lambda r: (r["key"], r["text"])):
+        (toxic if r["label"] else ordinary).append(windows(r["text"]))
+    return train(toxic, ordinary)
 
 
 @lru_cache(maxsize=1)
@@ -240,6 +237,11 @@ def _meter(ordinary: bytes, toxic: bytes) -> Meter:
     return Meter(ordinary, toxic)
 
 
+def forget() -> None:
+    """Let go of the compressors that this process keeps."""
+    _meter.cache_clear()
+
+
 def scores(model: Model | None, texts: list[str | None]) -> list[float]:
     """The score of each text."""
     if model is None:
@@ -257,6 +259,7 @@ def score(df: DataFrame, model: Model | None, *, key: str = "doc_id", text: str
         for batch in batches:
             for part in slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(scores(model, part.column("text").to_pylist()), type=pa.float64())], names=[key, "score"])
+        forget()
         give_back()
 
     return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, out)

@@ -5,10 +5,15 @@ personalised PageRank carries trust from hosts with allowed pages along links, a
 hosts with blocked pages against them (who links to blocked hosts is distrusted). A host whose
 distrust exceeds ``threshold`` times its trust is blocked.
 
-Links are the host names that a page mentions and that are hosts of pages. Edges are counted by
-pair of hosts before anything else, so a host that holds a third of all pages is aggregated in
-each task first. Both ranks are propagated in the same joins for a fixed number of rounds and
-rounded in each, so that sums don't depend on their order; every round is a written table.
+A page links to the host of every url in it (by the same rule as for pages' own urls; in text a
+host also ends at white space, quotes and angle brackets) and to the dotted host names that it
+mentions. Hosts in the graph are those with pages and linked ones that a rule fits: a linked host
+without pages is judged as its home page ``/`` would be, so that who links to blocked hosts is
+distrusted though these were never fetched. Edges are counted by pair of hosts before anything else,
+so a host that holds a third of all pages is aggregated in each task first. Both ranks are carried
+along in one join a round; after ``ROUNDS`` rounds at most ``DAMPING ** ROUNDS`` = 2 % of a rank is
+still on its way. Ranks are scaled to 1 a host on average and rounded there, whatever the number of
+hosts, so that sums don't depend on their order. Every ``ROUNDS_A_TABLE`` rounds a table is written.
 
 Defined cases: a null url or one without ``://`` has empty host and path, fits no rule and is
 allowed; null html has no links; rows that repeat a page id are judged one by one; rules that
@@ -18,6 +23,8 @@ extra columns are never looked at.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,12 +32,13 @@ from .common import materialize
 
 #: (verdict, host, path) in the order in which they are stated.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-ROUNDS = 8
+ROUNDS, ROUNDS_A_TABLE = 24, 8
 DAMPING = 0.85
 THRESHOLD = 1.0
 DIGITS = 12
-#: Host names in a page: labels of letters, digits and hyphens joined by dots, lower-cased.
+#: Hosts in a page, after A-Z are lower-cased: names of letters, digits and hyphens joined by dots, and what stands after ``://``.
 MENTION = r"[a-z0-9-]+(?:[.][a-z0-9-]+)+"
+TARGET = r"""://([^/?#\s"'<>]+)"""
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -53,20 +61,23 @@ def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
 
 
 def ranks(edges: DataFrame, hosts: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(host, trust, distrust) from edges (src, dst, n) and seeds hosts(host, good, bad)."""
+    """(host, trust, distrust) from edges (src, dst, n) and seeds hosts(host, good, bad); ranks
+    sum up to the number of hosts."""
     out = edges.groupBy("src").agg(F.sum("n").alias("out"))
     into = edges.groupBy("dst").agg(F.sum("n").alias("into"))
-    weighted = materialize(edges.join(out, "src").join(into, "dst").select("src", "dst", (F.col("n") / F.col("out")).alias("forth"), (F.col("n") / F.col("into")).alias("back")), "edges")
-    total = hosts.agg(F.sum("good").alias("g"), F.sum("bad").alias("b")).first()
-    seeds = hosts.select("host", *(F.when(F.lit(bool(t)), F.round(F.col(c) / (t or 1.0), DIGITS)).otherwise(F.lit(0.0)).alias(c) for c, t in (("good", total["g"]), ("bad", total["b"]))))
+    shares = materialize(edges.join(out, "src").join(into, "dst").select("src", "dst", (F.col("n") / F.col("out")).alias("forth"), (F.col("n") / F.col("into")).alias("back")), "edges")
+    # What flows along an edge goes to its end as trust and to its beginning as distrust.
+    none = F.lit(0.0)
+    ways = shares.select(F.col("src").alias("host"), F.col("dst").alias("to"), F.col("forth").alias("t"), none.alias("d")).unionByName(shares.select(F.col("dst").alias("host"), F.col("src").alias("to"), none.alias("t"), F.col("back").alias("d")))
+    total = hosts.agg(F.sum("good").alias("g"), F.sum("bad").alias("b"), F.count("*").alias("n")).first()
+    seeds = hosts.select("host", *(F.when(F.lit(bool(t)), F.round(F.col(c) * total["n"] / (t or 1.0), DIGITS)).otherwise(none).alias(c) for c, t in (("good", total["g"]), ("bad", total["b"]))))
     now = seeds.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
     for k in range(rounds):
-        # What flows along an edge goes to its end as trust and to its beginning as distrust.
-        forth = weighted.join(now.select(F.col("host").alias("src"), "trust").where("trust > 0"), "src").select(F.col("dst").alias("host"), (F.col("trust") * F.col("forth")).alias("t"), F.lit(0.0).alias("d"))
-        back = weighted.join(now.select(F.col("host").alias("dst"), "distrust").where("distrust > 0"), "dst").select(F.col("src").alias("host"), F.lit(0.0).alias("t"), (F.col("distrust") * F.col("back")).alias("d"))
-        flow = forth.unionByName(back).groupBy("host").agg(F.sum(F.round("t", 15).cast("decimal(28,15)")).cast("double").alias("t"), F.sum(F.round("d", 15).cast("decimal(28,15)")).cast("double").alias("d"))
-        step = seeds.join(flow, "host", "left").select("host", *(F.round((1 - damping) * F.col(s) + damping * F.coalesce(F.col(f), F.lit(0.0)), DIGITS).alias(c) for s, f, c in (("good", "t", "trust"), ("bad", "d", "distrust"))))
-        now = materialize(step, "ranks")
+        moved = ways.join(now, "host").select(F.col("to").alias("host"), (F.col("trust") * F.col("t")).alias("t"), (F.col("distrust") * F.col("d")).alias("d"))
+        flow = moved.groupBy("host").agg(*(F.sum(F.round(c, 15).cast("decimal(35,15)")).cast("double").alias(c) for c in ("t", "d")))
+        now = seeds.join(flow, "host", "left").select("host", *(F.round((1 - damping) * F.col(s) + damping * F.coalesce(F.col(f), none), DIGITS).alias(c) for s, f, c in (("good", "t", "trust"), ("bad", "d", "distrust"))))
+        if k % ROUNDS_A_TABLE == ROUNDS_A_TABLE - 1 or k == rounds - 1:
+            now = materialize(now, "ranks")
     return now
 
 
@@ -76,13 +87,14 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, threshold
     split = pages.select(F.col(key).alias(key), host.alias("host"), path.alias("path"), F.col(html).alias("html"))
     rule, by_rule = fitting_rule(F.col("host"), F.col("path"), rules)
     split = split.withColumn("rule", rule).withColumn("by_rule", by_rule)
-    hosts = materialize(
-        split.where("host <> ''").groupBy("host").agg((F.count_if(F.col("by_rule") == "allow") / F.count("*")).alias("good"), (F.count_if(F.col("by_rule") == "block") / F.count("*")).alias("bad")), "hosts"
-    )
-    mentioned = F.array_distinct(F.regexp_extract_all(F.translate("html", _UPPER, _LOWER), F.lit(MENTION), F.lit(0)))
-    named = split.where("host <> ''").select(F.col("host").alias("src"), F.explode(mentioned).alias("dst")).where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
-    edges = materialize(named.join(hosts.select(F.col("host").alias("dst")), "dst", "left_semi"), "links")
-    found = ranks(edges, hosts)
+    lower = F.translate("html", _UPPER, _LOWER)
+    linked = F.array_distinct(F.concat(F.regexp_extract_all(lower, F.lit(MENTION), F.lit(0)), F.regexp_extract_all(lower, F.lit(TARGET), F.lit(1))))
+    links = materialize(split.where("host <> ''").select(F.col("host").alias("src"), F.explode(linked).alias("dst")).where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n")), "links")
+    fetched = split.where("host <> ''").groupBy("host").agg((F.count_if(F.col("by_rule") == "allow") / F.count("*")).alias("good"), (F.count_if(F.col("by_rule") == "block") / F.count("*")).alias("bad"))
+    home = fitting_rule(F.col("host"), F.lit("/"), rules)[1]
+    only_linked = links.select(F.col("dst").alias("host")).distinct().join(fetched.select("host"), "host", "left_anti").select("host", home.alias("of_home")).where("of_home is not null")
+    hosts = materialize(fetched.unionByName(only_linked.select("host", *((F.col("of_home") == what).cast("double").alias(c) for what, c in (("allow", "good"), ("block", "bad"))))), "hosts")
+    found = ranks(links.join(hosts.select(F.col("host").alias("dst")), "dst", "left_semi"), hosts)
     return (
         split.drop("html")
         .join(found, "host", "left")
@@ -97,25 +109,32 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, threshold
 
 def oracle() -> str:
     """The same as DuckDB SQL, with a table expression for each round."""
-    fits = "(host = '{h}' OR suffix(host, '.{h}')) AND starts_with(path, '{p}')"
+    fits = "(host = '{h}' OR suffix(host, '.{h}')) AND starts_with({path}, '{p}')"
     ordered = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
-    case = lambda pick: "CASE " + " ".join(f"WHEN {fits.format(h=r[1], p=r[2])} THEN '{pick(r)}'" for r in ordered) + " END"
+
+    def case(pick: Callable[[tuple[str, str, str]], str], path: str) -> str:
+        return "CASE " + " ".join(f"WHEN {fits.format(h=r[1], p=r[2], path=path)} THEN '{pick(r)}'" for r in ordered) + " END"
+
+    target = TARGET.replace("'", "''")
     parts = [
         f"""rest AS (SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) END AS rest FROM pages),
 split0 AS (SELECT page_id, html, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM rest),
-split AS (SELECT *, {case(lambda r: r[1] + r[2])} AS rule, {case(lambda r: r[0])} AS by_rule FROM split0),
-hosts AS (SELECT host, count(*) FILTER (by_rule = 'allow') / count(*) AS good, count(*) FILTER (by_rule = 'block') / count(*) AS bad FROM split WHERE host <> '' GROUP BY host),
-named AS (SELECT host AS src, unnest(list_distinct(regexp_extract_all(translate(html, '{_UPPER}', '{_LOWER}'), '{MENTION}'))) AS dst FROM split WHERE host <> ''),
-edges AS (SELECT src, dst, count(*) AS n FROM named WHERE src <> dst AND dst IN (SELECT host FROM hosts) GROUP BY src, dst),
+split AS (SELECT *, {case(lambda r: r[1] + r[2], "path")} AS rule, {case(lambda r: r[0], "path")} AS by_rule FROM split0),
+lower AS (SELECT host, translate(html, '{_UPPER}', '{_LOWER}') AS t FROM split WHERE host <> ''),
+links AS (SELECT host AS src, unnest(list_distinct(list_concat(regexp_extract_all(t, '{MENTION}'), regexp_extract_all(t, '{target}', 1)))) AS dst FROM lower),
+fetched AS (SELECT host, count(*) FILTER (by_rule = 'allow') / count(*) AS good, count(*) FILTER (by_rule = 'block') / count(*) AS bad FROM split WHERE host <> '' GROUP BY host),
+others AS (SELECT host, {case(lambda r: r[0], "'/'")} AS of_home FROM (SELECT DISTINCT dst AS host FROM links WHERE src <> dst AND dst NOT IN (SELECT host FROM fetched))),
+hosts AS (SELECT * FROM fetched UNION ALL SELECT host, (of_home = 'allow')::INT::DOUBLE, (of_home = 'block')::INT::DOUBLE FROM others WHERE of_home IS NOT NULL),
+edges AS (SELECT src, dst, count(*) AS n FROM links WHERE src <> dst AND dst IN (SELECT host FROM hosts) GROUP BY src, dst),
 weighted AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS forth, n / sum(n) OVER (PARTITION BY dst) AS back FROM edges),
-seeds AS (SELECT host, coalesce(round(good / nullif(sum(good) OVER (), 0), {DIGITS}), 0) AS good, coalesce(round(bad / nullif(sum(bad) OVER (), 0), {DIGITS}), 0) AS bad FROM hosts),
+seeds AS (SELECT host, coalesce(round(good * count(*) OVER () / nullif(sum(good) OVER (), 0), {DIGITS}), 0) AS good, coalesce(round(bad * count(*) OVER () / nullif(sum(bad) OVER (), 0), {DIGITS}), 0) AS bad FROM hosts),
 r0 AS (SELECT host, good AS trust, bad AS distrust FROM seeds)"""
     ]
     for k in range(ROUNDS):
         parts.append(
             f"""f{k} AS MATERIALIZED (SELECT host, sum(t)::DOUBLE AS t, sum(d)::DOUBLE AS d FROM (
-  SELECT dst AS host, round(trust * forth, 15)::DECIMAL(28, 15) AS t, 0::DECIMAL(28, 15) AS d FROM weighted JOIN r{k} ON r{k}.host = src
-  UNION ALL SELECT src, 0, round(distrust * back, 15)::DECIMAL(28, 15) FROM weighted JOIN r{k} ON r{k}.host = dst) GROUP BY host),
+  SELECT dst AS host, round(trust * forth, 15)::DECIMAL(35, 15) AS t, 0::DECIMAL(35, 15) AS d FROM weighted JOIN r{k} ON r{k}.host = src
+  UNION ALL SELECT src, 0, round(distrust * back, 15)::DECIMAL(35, 15) FROM weighted JOIN r{k} ON r{k}.host = dst) GROUP BY host),
 r{k + 1} AS MATERIALIZED (SELECT s.host, round({1 - DAMPING} * s.good + {DAMPING} * coalesce(t, 0), {DIGITS}) AS trust, round({1 - DAMPING} * s.bad + {DAMPING} * coalesce(d, 0), {DIGITS}) AS distrust FROM seeds s LEFT JOIN f{k} ON f{k}.host = s.host)"""
         )
     return "WITH " + ",\n".join(parts) + f"\nSELECT page_id, split.host, path, rule, coalesce(by_rule, CASE WHEN distrust > {THRESHOLD} * trust THEN 'block' ELSE 'allow' END) AS verdict FROM split LEFT JOIN r{ROUNDS} r ON r.host = split.host"

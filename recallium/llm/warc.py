@@ -14,7 +14,9 @@ Defined cases: a null payload counts as empty; a null url leaves its header out,
 that a header line can't carry are percent-encoded; payloads of fewer than ``REVISIT_BYTES`` are
 always responses; rows that repeat a page id are records of their own, each response if its id is
 the largest of its payload; a null page id is written as empty and read back as null, and its
-record is a revisit if another record has its payload; no row makes no archive.
+record is a revisit if another record has its payload; no row makes no archive. Errors on reading: a
+frame that doesn't state its size or states more than ``LONGEST_RECORD``, a header that is there
+twice, a date that isn't one, lengths or digests that differ from what stands there.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ SKIPPABLE = 0x184D2A5D
 ARCHIVE_BYTES = 8 << 20
 DICTIONARY_BYTES = 16 << 10
 REVISIT_BYTES = 1000
+#: Bytes of a record that a reader takes; a longer value fits no cell of a table either.
+LONGEST_RECORD = (1 << 31) - 1
 LEVEL = 3
 DATE = "2024-01-01T00:00:00Z"
 _ID = "urn:page:"
@@ -115,7 +119,13 @@ def records_of(content: bytes) -> Iterator[bytes]:
     at = 8 + size
     while at < len(data):
         end = frame_end(data, at)
-        yield reader.decompress(bytes(data[at:end]), allow_extra_data=False)
+        declared = zstandard.get_frame_parameters(bytes(data[at : at + 18])).content_size
+        if declared > LONGEST_RECORD:  # also where it isn't stated
+            raise ValueError(f"the frame at byte {at} states no size or too large a one")
+        raw = reader.decompress(bytes(data[at:end]), allow_extra_data=False)
+        if len(raw) != declared:
+            raise ValueError(f"the frame at byte {at} isn't as long as it states")
+        yield raw
         at = end
 
 
@@ -130,12 +140,16 @@ def parse(raw: bytes) -> dict:
         name, colon, value = line.partition(":")
         if not colon or not re.fullmatch(r"[!#$%&'*+.^_`|~0-9A-Za-z-]+", name):
             raise ValueError(f"bad header line {line!r}")
+        if name.lower() in headers:
+            raise ValueError(f"{name} is there twice")
         headers[name.lower()] = value.strip()
     for name in ("warc-type", "warc-record-id", "warc-date", "content-length"):
         if name not in headers:
             raise ValueError(f"{name} is missing")
+    if not re.fullmatch(r"\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])T([01]\d|2[0-3]):[0-5]\d:([0-5]\d|60)(\.\d{1,9})?Z", headers["warc-date"]):
+        raise ValueError("WARC-Date isn't a date")
     length = headers["content-length"]
-    if not length.isdigit() or int(length) + 4 != len(rest) or not rest.endswith(b"\r\n\r\n"):
+    if not (length.isascii() and length.isdigit()) or int(length) + 4 != len(rest) or not rest.endswith(b"\r\n\r\n"):
         raise ValueError("Content-Length isn't the block's length")
     block = rest[:-4]
     http, found, payload = block.partition(b"\r\n\r\n")

@@ -136,7 +136,7 @@ def test_decontamination_against_brute_force(spark):
             at = rng.randint(0, len(words))
             words[at:at] = own
         docs.append((k, " ".join(words)))
-    docs += [(100, None), (101, ""), (102, "a SAME text, of an ITEM b"), (103, "x " * 5000 + items[20][1])]
+    docs += [(100, None), (101, ""), (102, "a SAME text, of an ITEM b"), (103, "x " * 5000 + items[20][1]), (104, items[3][1] + " . " + items[3][1])]
     bench = spark.createDataFrame([(i, t, "clash") for i, t in items], "item_id long, text string, words string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(documents(spark, docs), bench).collect()}
     want = brute_matches(docs, items)
@@ -148,6 +148,34 @@ def test_decontamination_against_brute_force(spark):
     assert kept == {i for i, _ in docs} - {i for i, _ in got}
 
 
+def test_short_items_and_repeated_ids(spark):
+    items = [(1, "alpha beta gamma"), (2, "answer"), (3, "Two, three four five"), (4, "one two three four five"), (5, "same id one of two items here"), (5, "same id and this is the other item"), (None, "null key of an item")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = [(1, "x alpha BETA gamma y"), (2, "the answer is"), (3, "two three four five"), (4, "zero one two three four five six"), (5, "so same id and this is the other item"), (None, "alpha beta gamma"), (6, "null key of an item"), (7, "alpha gamma beta"), (8, "x"), (8, "answer"), (9, "alpha")]
+    got = decontaminate.matches(documents(spark, docs), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, 1), (2, 2), (3, 3), (4, 3), (4, 4), (5, 5), (8, 2)}
+    assert len(got) == 7 and all(r["similarity"] == 1 for r in got)
+    left = [r["doc_id"] for r in decontaminate.decontaminate(documents(spark, docs), bench).collect()]
+    assert sorted(map(str, left)) == ["6", "7", "9", "None"]
+
+
+def test_index_recall_and_selectivity():
+    rng = random.Random(9)
+    pairs = far = kept = near = 0
+    for _ in range(400):
+        a = np.array([rng.getrandbits(64) for _ in range(rng.randint(11, 50))], dtype=np.uint64)
+        b = a.copy()
+        share = len(a) * 6 // 7 + 1  # the least that reaches 0.75
+        b[share:] = [rng.getrandbits(64) for _ in range(len(a) - share)]
+        p, q, r = (int(decontaminate.simhash(decontaminate._signs(x).sum(axis=0))) for x in (a, b, np.array([rng.getrandbits(64) for _ in a], dtype=np.uint64)))
+        near += 1
+        kept += (p ^ q).bit_count() <= decontaminate.RADIUS
+        pairs += 1
+        far += (p ^ r).bit_count() <= decontaminate.RADIUS
+    assert kept >= 0.97 * near
+    assert far <= 0.01 * pairs
+
+
 def test_decontamination_of_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.matches(documents(spark, [(1, "a b c d e f")]), bench).collect() == []
@@ -196,11 +224,15 @@ def test_bad_archives_are_errors():
     for bad in (data[:-3], data[8:], b"", data[:4] + b"\xff\xff\xff\x7f" + data[8:], data + b"junk junk junk"):
         with pytest.raises((ValueError, warc.zstandard.ZstdError)):
             list(warc.records_of(bad))
-    for old, new in ((b"WARC/1.1", b"WARC/9"), (b"Content-Length: 9", b"Content-Length: 8"), (b"abc", b"abd"), (b"WARC-Type: response", b"WARC-Type: resp")):
+    for old, new in ((b"WARC/1.1", b"WARC/9"), (b"Content-Length: 81", b"Content-Length: 80"), (b"Content-Length: 3", b"Content-Length: 4"), (b"abc", b"abd"), (b"WARC-Type: response", b"WARC-Type: resp"), (b"2024-01-01T", b"2024-13-01T"), (b"WARC-Target-URI: u", b"WARC-Type: response")):
+        assert old in good
         with pytest.raises(ValueError):
             warc.parse(good.replace(old, new, 1))
     with pytest.raises(ValueError):
         warc.parse(good[:-1])
+    frame = warc.zstandard.ZstdCompressor(write_content_size=False).compress(good)
+    with pytest.raises(ValueError):
+        list(warc.records_of(warc.archive([])[: 8 + len(warc.archive([]))] + frame))
 
 
 def brute_nearest(vectors, queries_, k):
@@ -255,7 +287,8 @@ def test_urls_hosts_and_rules(spark):
         fits = [(len(h + p), h + p, v) for v, h, p in urlrank.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
         assert (found[k]["host"], found[k]["path"]) == (host, path)
         assert found[k]["rule"] == (max(fits)[1] if fits else None)
-        assert found[k]["verdict"] == (max(fits)[2] if fits else "allow")
+        # Without a rule the host decides; here only a.net has distrust, from its own blocked page.
+        assert found[k]["verdict"] == (max(fits)[2] if fits else "block" if host == "a.net" else "allow")
     assert urlrank.judge(pages.limit(0)).collect() == []
 
 
@@ -263,7 +296,7 @@ def test_ranks_against_plain_iteration(spark):
     edges = [("a", "b", 2), ("b", "c", 1), ("c", "a", 3), ("d", "c", 1), ("a", "d", 1)]
     seeds = {"a": (1.0, 0.0), "b": (0.0, 0.0), "c": (0.0, 1.0), "d": (0.0, 0.5)}
     found = urlrank.ranks(spark.createDataFrame(edges, "src string, dst string, n long"), spark.createDataFrame([(h, *s) for h, s in seeds.items()], "host string, good double, bad double"), rounds=5)
-    good, bad = {h: s[0] for h, s in seeds.items()}, {h: s[1] / 1.5 for h, s in seeds.items()}
+    good, bad = {h: s[0] * 4 for h, s in seeds.items()}, {h: s[1] * 4 / 1.5 for h, s in seeds.items()}
     trust, distrust = dict(good), dict(bad)
     for _ in range(5):
         trust, distrust = (
@@ -274,6 +307,23 @@ def test_ranks_against_plain_iteration(spark):
         assert r["trust"] == pytest.approx(trust[r["host"]], abs=1e-9) and r["distrust"] == pytest.approx(distrust[r["host"]], abs=1e-9)
 
 
+def test_links_to_hosts_that_were_never_fetched(spark):
+    rows = [
+        (1, "http://one.example.com/", "see http://bad.net:8080/x and <a href='https://worse.net'>it</a>"),
+        (2, "http://two.example.com/", "see http://good.org/fr/ and nothing else"),
+        (3, "http://three.example.com/", "a page of one.example.com"),
+        (4, "http://localhost/x", "http://under_score.net/ http://one.example.com"),
+        (5, "http://under_score.net/", None),
+        (6, None, "http://bad.net"),
+    ]
+    found = {r["page_id"]: r for r in urlrank.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found[1]["verdict"] == "block" and found[1]["distrust"] > 0  # links to hosts under net without pages
+    assert found[2]["verdict"] == "allow" and found[2]["distrust"] == 0
+    assert found[3]["verdict"] == "block"  # through one.example.com
+    assert found[4]["verdict"] == "block"
+    assert (found[5]["rule"], found[6]["host"], found[6]["verdict"]) == ("net/", "", "allow")
+
+
 def test_pipeline_against_its_parts(spark):
     import corpus_pipeline
     from recallium.llm import bpe, langid, toxicity

@@ -71,12 +71,25 @@ def test_langid_defined_cases(spark):
     assert langid.learn(rows(spark, [])) == {}
 
 
+def test_langid_learns_from_bounded_rows(spark):
+    text = "the cat sat on the mat " * 20
+    data = [(None, text, "en"), (2, "katze auf der matte " * 4, "de"), (2, "katze auf der matte " * 4, "de"), (3, None, "fr"), (4, "le chat", None), (5, "123", "it"), (6, "", "pt"), (7, text * 40, "en"), (9, text, "en"), (12, "z" * 500_000, "xx")]
+    docs = spark.createDataFrame([(*d, "clash") for d in data], "doc_id long, text string, lang string, label string")
+    kept = docs.where(~langid.held_out(F.col("doc_id")))
+    learned = langid.learn(docs)
+    assert set(learned) == {r["lang"] for r in kept.where("doc_id is not null and text is not null and lang is not null and text rlike '[a-z]'").collect()}
+    assert all(len(t) <= langid.BYTES for t in learned.values())
+    assert learned.get("de", b"").count(b"katze") in (0, 4)  # equal rows teach once
+    hot = spark.range(5000).select("id", F.lit(text).alias("text"), F.lit("en").alias("lang")).selectExpr("id % 3 AS doc_id", "text", "lang")
+    assert len(langid.learn(hot)["en"]) <= 3 * (len(text) + 1)
+
+
 def test_phrases_are_longest_matches():
     learned = {"x": b"abcabdabeabcd"}
     parser = langid.Parser(learned)
     rng = random.Random(3)
-    for _ in range(50):
-        text = bytes(rng.choice(b"abcdez") for _ in range(rng.randint(1, 60)))
+    for size in [*range(1, 60), 4 * langid.BLOCK + 5, 3 * langid.BLOCK]:  # phrases run across blocks
+        text = bytes(rng.choice(b"abcdez" if size % 2 else b"abcd") for _ in range(size))
         current, phrases = b"", 1
         for c in (text[k : k + 1] for k in range(len(text))):
             if current + c in learned["x"]:
@@ -108,6 +121,12 @@ def test_toxicity_defined_cases(spark):
     docs, none = rows(spark, TEXTS), spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.learn(docs, none)
     assert model is None
+    clash = spark.createDataFrame([(k, k % 2, "x", "y") for k in list(range(60)) * 2] + [(None, 1, "x", "y"), (3, None, "x", "y"), (4, 7, "x", "y")], "doc_id long, toxic int, text string, label string")
+    texts = spark.createDataFrame([(k, "such a rotten rascal word" if k % 2 else "the quiet river runs on", "h", 1) for k in list(range(60)) * 3] + [(None, "x", "h", 1), (5, None, "h", 1)], "doc_id long, text string, h string, label int")
+    model = toxicity.learn(texts, clash)
+    odd, even = toxicity.scores(model, ["such a rotten rascal word", "the quiet river runs on"])
+    assert odd > even
+    model = None
     assert {r["score"] for r in toxicity.score(docs, model).collect()} == {0.0}
     model = toxicity.train([["such a rotten rascal word".encode()] * 3] * 30, [["the quiet river runs on".encode()] * 3] * 30)
     found = toxicity.scores(model, [None, "", "x " * 100_000])
@@ -143,23 +162,67 @@ def test_matching_statistics_against_brute_force():
                 if any(t[k : k + n] == piece for t in known.templates for k in range(len(t))):
                     size = n
             best.append(size)
-        ends = [i for i in range(len(words)) if best[i] >= licenses.LEAST_RUN and (i + 1 == len(words) or best[i + 1] <= best[i])]
-        assert [(s, n) for s, n, _ in known.runs(words)] == [(i - best[i] + 1, best[i]) for i in ends]
-        for start, n, state in known.runs(words):
-            places = {(t, k + n - 1) for t, own in enumerate(known.templates) for k in range(len(own)) if own[k : k + n] == words[start : start + n]}
+        for end, n, state in known.statistics(words):
+            assert n == best[end]
+            places = {(t, k + n - 1) for t, own in enumerate(known.templates) for k in range(len(own)) if own[k : k + n] == words[end - n + 1 : end + 1]}
             assert set(known.ends[state]) == places
+        assert [e for e, _, _ in known.statistics(words)] == [i for i, n in enumerate(best) if n >= licenses.LEAST_RUN]
+
+
+def test_chains_against_brute_force():
+    rng = random.Random(2)
+
+    def most(runs, total):
+        runs, top = sorted(runs, key=lambda r: (r[0] + r[2], r[1] + r[2], r[2])), 0
+
+        def go(j, covered):
+            nonlocal top
+            top, a = max(top, covered), runs[j]
+            for b in runs[j + 1 :]:
+                more = b[2] - max(0, a[0] + a[2] - b[0], a[1] + a[2] - b[1])
+                if a[0] < b[0] and a[1] < b[1] and a[0] + a[2] + total >= b[0] and more > 0:
+                    go(runs.index(b), covered + more)
+
+        for j in range(len(runs)):
+            go(j, runs[j][2])
+        return top
+
+    for _ in range(100):
+        known = licenses.Automaton([("a", " ".join(rng.choice("xyzw") for _ in range(8))), ("b", " ".join(rng.choice("xyzwv") for _ in range(10)))])
+        words = [rng.choice([b"x", b"y", b"z", b"w", b"v", b"q"]) for _ in range(25)]
+        found = known.runs(words)
+        for t, own in enumerate(known.templates):
+            whole = {(i, k, n) for i in range(25) for k in range(len(own)) for n in range(3, 11) if i + n <= 25 and k + n <= len(own) and words[i : i + n] == own[k : k + n]}
+            longest = {(i, k, n) for i, k, n in whole if (i, k, n + 1) not in whole and (i - 1, k - 1, n + 1) not in whole}
+            assert set(found.get(t, [])) == longest
+            if longest:
+                made = list(licenses.chains(found[t], len(own)))
+                assert made[0][1] == most(longest, len(own))
+                assert sorted(r for chain, _ in made for r in chain) == sorted(longest)
+
+
+def test_spans_of_templates():
+    known = licenses.automaton(tuple(licenses.TEMPLATES))
+    for label, text in licenses.TEMPLATES:
+        words = licenses.words_of(f"before it {text} and after".encode())
+        assert (label, 2, len(words) - 3, 1.0) in known.spans(words)
+    assert {s[0] for s in known.spans(licenses.words_of(dict(licenses.TEMPLATES)["bsd-3-clause"].encode()))} == {"bsd-3-clause"}
+    one = licenses.Automaton([("t", "a b c d e f g h i j")])
+    assert one.spans(licenses.words_of(b"a b c q h i j q d e f g q")) == [("t", 0, 11, 0.7)]
+    twice = one.spans(licenses.words_of(b"a b c d e f g h q a b c d e f g h"))
+    assert twice == [("t", 0, 7, 0.8), ("t", 9, 16, 0.8)]
 
 
 def test_token_counts_against_plain_dynamic_programming(spark):
     path = public_tokenizers.path(queries.PIECES)
-    model = tokencount.Unigrams(list(tokencount.unigrams(path).scores)[::-1])
-    assert model.scores == tokencount.unigrams(path).scores
+    model = tokencount.unigrams(path)
+    assert model.scores["▁t"] == -2 and "▁▁" not in model.scores
 
     def plain(word):
         best = [(0.0, 0)] + [None] * len(word)
         for end in range(1, len(word) + 1):
             s, n = best[end - 1]
-            options = [(s + tokencount.UNKNOWN_SCORE, -(n - (-len(word[end - 1].encode()))))]
+            options = [(s + model.unknown, -(n - (-len(word[end - 1].encode()))))]
             for size in range(1, min(end, model.longest) + 1):
                 piece = word[end - size : end]
                 if piece in model.scores:
@@ -172,8 +235,6 @@ def test_token_counts_against_plain_dynamic_programming(spark):
     texts = [*TEXTS, "internationalisation of tokens", "token tokens tokenizer", "zzqx ðŁ"]
     found = {r["doc_id"]: r for r in tokencount.counts(rows(spark, texts), path).collect()}
     for i, t in enumerate(texts):
-        if t and len(t) > 5000:
-            continue
         assert found[i]["n_tokens"] == sum(plain(tokencount.MARK + w) for w in (t or "").split())
 
 
@@ -188,7 +249,7 @@ def test_token_counts_of_long_pre_tokens(spark):
         for word in (tokencount.MARK + w for w in t.split()):
             best = [(0.0, 0)]
             for end in range(1, len(word) + 1):
-                options = [(best[end - 1][0] + tokencount.UNKNOWN_SCORE, best[end - 1][1] - len(word[end - 1].encode()))]
+                options = [(best[end - 1][0] + model.unknown, best[end - 1][1] - len(word[end - 1].encode()))]
                 options += [(best[end - n][0] + model.scores[word[end - n : end]], best[end - n][1] - 1) for n in range(1, min(end, model.longest) + 1) if word[end - n : end] in model.scores]
                 best.append(max(options))
             want -= best[-1][1]
