@@ -4,7 +4,9 @@ Toxicity drops documents predicted toxic; language ID those without a letter or
 no better than a coin's toss; the Jaccard join keeps the document with the smallest id of each
 group of near duplicates (rows that repeat an id are one document); decontamination drops
 documents that match a benchmark item; BPE encodes and decodes what is left. Rows whose id is
-null are nobody's duplicate and match nothing, so only the first two stages may drop them.
+null are nobody's duplicate and match nothing, so only the first two stages may drop them. The
+third and fourth write the ids to drop first; these go to every task if they are few enough, so that
+texts need not be shuffled.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recallium.llm import bpe, decontaminate, jaccard, langid, toxicity
-from recallium.llm.common import bound_batches, keep_rows, materialize, table
+from recallium.llm.common import bound_batches, keep_rows, materialize, release, table, without
 from recallium.llm.queries import WORD_BPE
 
 #: A document is kept if the score of its language is at least this.
@@ -24,21 +26,26 @@ LEAST_LANGUAGE_SCORE = 0.5
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bound_batches(spark)
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return keep_rows(docs, "text", lambda texts: [s < 0.5 for s in toxicity.scores(model, texts)])
+    return keep_rows(docs, "text", lambda texts: [s < 0.5 for s in toxicity.scores(model, texts)], toxicity.forget)
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bound_batches(spark)
     learned = langid.learn(docs)
-    return keep_rows(docs, "text", lambda texts: [lang != langid.UNKNOWN and s >= LEAST_LANGUAGE_SCORE for lang, s in zip(*langid.predict(learned, texts), strict=True)])
+    return keep_rows(docs, "text", lambda texts: [lang != langid.UNKNOWN and s >= LEAST_LANGUAGE_SCORE for lang, s in zip(*langid.predict(learned, texts), strict=True)], langid.forget)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bound_batches(spark)
-    kept = jaccard.join(docs).where("component_id = doc_id").select("doc_id").distinct()
-    once = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    once = once.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "lang", "source"))).where("_n = 1")
-    return once.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    found = materialize(jaccard.join(docs).select("doc_id", "component_id"), "found")
+    again = materialize(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    gone = materialize(found.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    kept = without(docs, "doc_id", gone)
+    if again.isEmpty():
+        return kept
+    first = Window.partitionBy("doc_id").orderBy("text", "lang", "source")
+    once = kept.join(again, "doc_id", "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    return without(kept, "doc_id", again).unionByName(once.select(docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,6 +73,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.split()[0].lower())
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name.split()[0].lower())
+        if k:
+            release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
