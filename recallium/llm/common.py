@@ -57,12 +57,16 @@ def release(*tables: DataFrame) -> None:
 BROADCAST_IDS = 1 << 20
 
 
+def if_few(ids: DataFrame) -> DataFrame:
+    """A written table of short rows, to be sent to every task if it has few enough of them."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
 def without(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """The rows of ``df`` whose ``key`` isn't among ``ids`` (a written table of one column of
     distinct values). Rows don't move unless there are more ids than may be sent to every task."""
     ids = ids.select(F.col(ids.columns[0]).alias("_gone"))
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if few else ids, df[key] == ids["_gone"], "left_anti")
+    return df.join(if_few(ids), df[key] == ids["_gone"], "left_anti")
 
 
 #: Bytes of an Arrow batch between Spark and Python; Spark's own default is 16 times as much.

@@ -6,8 +6,9 @@ the weight is the number of times that a shingle occurs): they match from a simi
 sum(min)/sum(max) >= 0.75.
 
 * Screening. That similarity needs six in seven of a window's shingles to be shingles of
-  benchmark items. A bitmap over the items' shingles tells which may be; windows with too few
-  can't match and need no fingerprint.
+  benchmark items, and of items of its length. A bitmap over the items' shingles, as they are and
+  together with their item's length, tells which may be; windows with too few can't match and need no
+  fingerprint.
 * Multi-index Hamming blocks. A SimHash of 64 bits within ``RADIUS`` of an item's differs from
   it in at most RADIUS // BLOCKS bits of one of its ``BLOCKS`` blocks, so looking up each block
   among all variants of the items' blocks finds every fingerprint within the radius. Only
@@ -39,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, give_back, materialize, shingle_hashes, slices, without
+from .common import Words, give_back, materialize, mix64, shingle_hashes, slices, without
 
 WIDTH = 5
 PERCENT = 75
@@ -111,18 +112,31 @@ def items(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> Dat
     return made.select(F.monotonically_increasing_id().alias("number"), "*")
 
 
+def _of_length(shingles: np.ndarray, words: int) -> np.ndarray:
+    """The shingles as those of windows or items of so many words."""
+    return mix64(shingles + np.uint64(words))
+
+
+def _hits(flags: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """How many of the first 0, 1, 2 ... values have their flag set."""
+    hit = (flags[((values & np.uint64(64 * len(flags) - 1)) >> np.uint64(6)).astype(np.int64)] >> (values & np.uint64(63))) & np.uint64(1)
+    return np.concatenate(([0], np.cumsum(hit.astype(np.int64))))
+
+
 def _screen(known: DataFrame) -> np.ndarray:
-    """One flag for each value of a shingle's lowest bits: whether an item has such a shingle."""
+    """One flag for each value of a shingle's lowest bits: whether an item has such a shingle, as
+    it is or as one of the item's length."""
     shingles = known.agg(F.sum(F.octet_length("item_shingles") / 8)).first()[0] or 0
-    size = min(MOST_SCREEN_BITS, max(LEAST_SCREEN_BITS, int(16 * shingles).bit_length()))
+    size = min(MOST_SCREEN_BITS, max(LEAST_SCREEN_BITS, int(32 * shingles).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=np.uint64)
+            own = [(np.frombuffer(x, dtype=np.uint64), w) for x, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            data = np.concatenate([y for x, w in own for y in (x, _of_length(x, w))] or [np.zeros(0, dtype=np.uint64)])
             bucket = np.unique(data & np.uint64((1 << size) - 1)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array((bucket >> 6).astype(np.int32)), pa.array((np.uint64(1) << (bucket & 63).astype(np.uint64)).view(np.int64))], names=["word", "bits"])
 
-    found = known.select("item_shingles").mapInArrow(run, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    found = known.select("item_shingles", "words").mapInArrow(run, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     bits = np.zeros(1 << (size - 6), dtype=np.int64)
     bits[found.column("word").to_numpy()] = found.column("bits").to_numpy()
     return bits.view(np.uint64)
@@ -143,7 +157,6 @@ def _windows(docs: DataFrame, lengths: list[tuple[int, int]], screen: np.ndarray
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = shared.value
-        mask = np.uint64(64 * len(flags) - 1)
         for batch in batches:
             for part in slices(batch, "text"):
                 ids = part.column("doc").to_pylist()
@@ -151,14 +164,13 @@ def _windows(docs: DataFrame, lengths: list[tuple[int, int]], screen: np.ndarray
                 found: list[tuple] = []
                 for width, sizes in widths.items():
                     values, bounds = shingle_hashes(words, width)
-                    hit = (flags[((values & mask) >> np.uint64(6)).astype(np.int64)] >> (values & np.uint64(63))) & np.uint64(1)
-                    total = np.concatenate(([0], np.cumsum(hit.astype(np.int64))))
+                    total = _hits(flags, values)
                     in_doc = total[bounds[1:]] - total[bounds[:-1]]
                     least = min(_needed(s - width + 1, min(s - width + 1, PERCENT * (s - width + 1) // 100 or 1)) for s in sizes)
                     for i in np.flatnonzero(in_doc >= max(1, least)).tolist():
                         if ids[i] is not None:
                             low, high = bounds[i], bounds[i + 1]
-                            found += [(ids[i], *w) for w in _of_document(values[low:high], total[low : high + 1], width, sizes)]
+                            found += [(ids[i], *w) for w in _of_document(values[low:high], total[low : high + 1], flags, width, sizes)]
                 if found:
                     columns = list(zip(*found, strict=True))
                     kinds = [part.column("doc").type, pa.int64(), pa.int32(), pa.binary(), pa.int64()]
@@ -169,7 +181,7 @@ def _windows(docs: DataFrame, lengths: list[tuple[int, int]], screen: np.ndarray
     return made.select(F.monotonically_increasing_id().alias("window"), "*")
 
 
-def _of_document(values: np.ndarray, total: np.ndarray, width: int, sizes: list[int]) -> Iterator[tuple]:
+def _of_document(values: np.ndarray, total: np.ndarray, flags: np.ndarray, width: int, sizes: list[int]) -> Iterator[tuple]:
     for size in sizes:
         n = size - width + 1
         m = min(n, len(values))
@@ -177,6 +189,10 @@ def _of_document(values: np.ndarray, total: np.ndarray, width: int, sizes: list[
             continue
         seen = set()
         starts = np.flatnonzero(total[m:] - total[: len(total) - m] >= _needed(n, m))
+        if not len(starts):
+            continue
+        own = _hits(flags, _of_length(values, size))
+        starts = starts[own[starts + m] - own[starts] >= _needed(n, m)]
         for group in np.split(starts, np.flatnonzero(np.diff(starts) > m) + 1) if len(starts) else ():
             for run in (group[k : k + _RUN] for k in range(0, len(group), _RUN)):
                 low = int(run[0])

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import give_back, slices
+from .common import give_back, if_few, materialize, release, slices
 
 UNKNOWN = "und"
 BLOCK = 1024
@@ -71,8 +71,9 @@ def learn(df: DataFrame, *, key: str = "doc_id", text: str = "text", label: str
     # One number whose order is that of (longer than SHORT, hash).
     place = F.shiftrightunsigned(mixed, 2).bitwiseOR(F.when(F.octet_length("text") > SHORT, F.lit(1 << 62)).otherwise(F.lit(0)))
     usable = usable.withColumn("place", place).withColumn("class", F.pmod(mixed, F.lit(DOCUMENTS)))
-    first = usable.groupBy("label", "class").agg(F.min("place").alias("place"))
-    found = usable.join(first, ["label", "class", "place"]).dropDuplicates(["label", "class", "place"]).select("label", "place", "text").collect()
+    first = materialize(usable.groupBy("label", "class").agg(F.min("place").alias("place")), "sample")  # DOCUMENTS rows a language
+    found = usable.join(if_few(first), ["label", "class", "place"]).dropDuplicates(["label", "class", "place"]).select("label", "place", "text").collect()
+    release(first)
     texts: dict[str, bytes] = {}
     for r in sorted(found, key=lambda r: (r["label"], r["place"], r["text"])):
         known = texts.get(r["label"], b"")

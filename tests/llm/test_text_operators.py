@@ -115,6 +115,7 @@ def test_toxicity_finds_every_language(spark):
     found = [(lang[r["doc_id"]], r["predicted"]) for r in queries.op6_toxicity(spark, sf).collect() if r["held_out"] and r["doc_id"] in toxic]
     for one in ("en", "de", "fr", "es"):
         assert np.mean([p for language, p in found if language == one]) > 0.6
+    assert np.mean([p for _, p in found]) >= 0.8
 
 
 def test_toxicity_defined_cases(spark):
@@ -128,7 +129,7 @@ def test_toxicity_defined_cases(spark):
     assert odd > even
     model = None
     assert {r["score"] for r in toxicity.score(docs, model).collect()} == {0.0}
-    model = toxicity.train([["such a rotten rascal word".encode()] * 3] * 30, [["the quiet river runs on".encode()] * 3] * 30)
+    model = toxicity.train([b"\n".join([b"such a rotten rascal word"] * 3)] * 30, [b"\n".join([b"the quiet river runs on"] * 3)] * 30)
     found = toxicity.scores(model, [None, "", "x " * 100_000])
     assert all(0 <= s <= 1 for s in found) and found[0] == found[1]
 
