@@ -39,7 +39,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     in a way that survives the loss of any executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/recallium-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     written = spark.read.schema(df.schema).parquet(path)
     written._written_to = path
     return written
@@ -71,13 +71,19 @@ def without(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
 
 #: Bytes of an Arrow batch between Spark and Python; Spark's own default is 16 times as much.
 BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+#: Rows that a Parquet reader holds at once; by default 4096, which with long texts are large arrays.
+READ_SETTING, READ_ROWS = "spark.sql.parquet.columnarReaderBatchSize", 256
+#: Bytes of a row group of written tables, which a writer holds in memory; by default 128 MB.
+ROW_GROUP_BYTES = 16 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Have this session send texts to Python in small batches, unless it asks for smaller ones."""
-    now = spark.conf.get(BATCH_SETTING, None)
-    if now is None or not now.isdigit() or int(now) <= 0 or int(now) > BATCH_BYTES:
-        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    """Have this session read texts and send them to Python in small batches, unless it asks for
+    smaller ones."""
+    for setting, most in ((BATCH_SETTING, BATCH_BYTES), (READ_SETTING, READ_ROWS)):
+        now = spark.conf.get(setting, None)
+        if now is None or not now.isdigit() or int(now) <= 0 or int(now) > most:
+            spark.conf.set(setting, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -37,7 +37,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, give_back, materialize, mix64, shingle_hashes, slices, without
@@ -66,19 +66,24 @@ def _signs(shingles: np.ndarray) -> np.ndarray:
     return ((shingles[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(np.int32) * 2 - 1
 
 
-def block_keys(fingerprint: int, variants: bool = False) -> list[int]:
-    """Block number and value in one integer, for each block; with ``variants`` also for all
-    values that differ in as many bits as one block must if no block agrees better.
+def block_masks(k: int) -> list[int]:
+    """What to change block ``k`` by for all values that differ in as many bits as it must allow.
 
     If every block k differed in more than t[k] bits, fingerprints would differ in at least the sum
     of t[k] + 1; so it suffices that this sum exceeds the radius."""
-    out = []
+    most, size = (RADIUS + 1 + k) // BLOCKS - 1, _EDGES[k + 1] - _EDGES[k]
+    return [sum(1 << b for b in bits) for n in range(most + 1) for bits in combinations(range(size), n)]
+
+
+def block_keys(fingerprint: Column, variants: bool = False) -> Column:
+    """Block number and value in one integer, for each block; with ``variants`` also for all
+    values that :func:`block_masks` allows."""
+    parts = []
     for k, (low, high) in enumerate(zip(_EDGES, _EDGES[1:], strict=False)):
-        most = (RADIUS + 1 + k) // BLOCKS - 1 if variants else 0
-        value = (fingerprint >> low) & ((1 << (high - low)) - 1)
-        masks = [sum(1 << b for b in bits) for n in range(most + 1) for bits in combinations(range(high - low), n)]
-        out += [(k << 24) | (value ^ m) for m in masks]
-    return out
+        value = F.shiftrightunsigned(fingerprint, low).bitwiseAND(F.lit((1 << (high - low)) - 1)).cast("int").bitwiseOR(F.lit(k << 24))
+        masks = F.array(*map(F.lit, block_masks(k))) if variants else None
+        parts.append(F.transform(masks, lambda m, v=value: m.bitwiseXOR(v)) if variants else F.array(value))
+    return F.concat(*parts)
 
 
 def weighted_similarity(x: np.ndarray, y: np.ndarray) -> float:
@@ -213,26 +218,24 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text:
     lengths = sorted((r["words"], r["width"]) for r in known.select("words", "width").distinct().collect())
     windows = materialize(_windows(docs.select(F.col(key).alias("doc"), F.col(text).alias("text")), lengths, _screen(known)), "windows")
 
-    @F.pandas_udf("array<int>")
-    def keys(prints):
-        return prints.map(lambda p: block_keys(p & ((1 << 64) - 1)))
-
-    @F.pandas_udf("array<int>")
-    def all_keys(prints):
-        return prints.map(lambda p: block_keys(p & ((1 << 64) - 1), variants=True))
-
-    @F.pandas_udf("double")
-    def similarity(x, y):
-        return x.combine(y, lambda a, b: weighted_similarity(np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)))
-
     # Many windows have a passage that many documents share: each content is looked up and verified once.
     contents = windows.groupBy("words", "print", F.xxhash64("shingles").alias("content"), F.length("shingles").alias("size")).agg(F.min("window").alias("one"))
-    looked_up = contents.select("words", "print", "one", F.explode(keys("print")).alias("block"))
-    index = known.select("number", "words", "item_print", F.explode(all_keys("item_print")).alias("block"))
+    looked_up = contents.select("words", "print", "one", F.explode(block_keys(F.col("print"))).alias("block"))
+    index = known.select("number", "words", "item_print", F.explode(block_keys(F.col("item_print"), variants=True)).alias("block"))
     near = looked_up.join(index, ["words", "block"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
     candidates = near.select("one", "number").distinct()
     held = candidates.join(windows.select(F.col("window").alias("one"), "shingles"), "one").join(known.select("number", "item", "item_shingles"), "number")
-    fits = held.withColumn("similarity", similarity("shingles", "item_shingles")).where(F.col("similarity") >= PERCENT / 100).select("one", "item", "similarity")
+    kind = known.schema["item"].dataType.simpleString()
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(c).to_pylist() for c in ("shingles", "item_shingles"))
+            similar = np.array([weighted_similarity(np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)) for a, b in zip(x, y, strict=True)], dtype=np.float64)
+            mask = pa.array(similar >= PERCENT / 100)
+            yield pa.RecordBatch.from_arrays([batch.column("one").filter(mask), batch.column("item").filter(mask), pa.array(similar).filter(mask)], names=["one", "item", "similarity"])
+        give_back()
+
+    fits = held.select("one", "item", "shingles", "item_shingles").mapInArrow(verify, f"one long, item {kind}, similarity double")
     content = ["words", "print", "content", "size"]
     placed = windows.select("doc", "start", "words", "print", F.xxhash64("shingles").alias("content"), F.length("shingles").alias("size")).join(contents.join(fits, "one"), content)
     best = placed.groupBy("doc", "item").agg(F.max(F.struct("similarity", -F.col("start"), -F.col("words"))).alias("best"))

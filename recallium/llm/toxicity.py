@@ -235,7 +235,9 @@ def learn(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     if not picked:
         return None
     chosen = spark.createDataFrame(picked, usable.select("key", "label").schema)  # at most TOXIC_DOCUMENTS + ORDINARY_DOCUMENTS rows
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.octet_length("text") <= LONGEST_SAMPLED).join(F.broadcast(chosen), "key").groupBy("key", "label").agg(F.min("text").alias("text"))
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.octet_length("text") <= LONGEST_SAMPLED).join(F.broadcast(chosen), "key")
+    if rows.groupBy("key").count().where("count > 1").limit(1).count():
+        rows = rows.groupBy("key", "label").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

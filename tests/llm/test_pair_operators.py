@@ -182,14 +182,19 @@ def test_decontamination_of_empty_tables(spark):
     assert decontaminate.matches(documents(spark, []), spark.createDataFrame([(1, "a b")], "item_id long, text string")).collect() == []
 
 
-def test_every_fingerprint_within_the_radius_is_found():
+def test_every_fingerprint_within_the_radius_is_found(spark):
     rng = random.Random(2)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    pairs = []
     for _ in range(300):
         p = rng.getrandbits(64)
         q = p
         for b in rng.sample(range(64), rng.randint(0, decontaminate.RADIUS)):
             q ^= 1 << b
-        assert set(decontaminate.block_keys(q)) & set(decontaminate.block_keys(p, variants=True))
+        pairs.append((signed(p), signed(q)))
+    both = spark.createDataFrame(pairs, "p long, q long").select(decontaminate.block_keys(F.col("p"), variants=True).alias("x"), decontaminate.block_keys(F.col("q")).alias("y"))
+    assert both.where(F.arrays_overlap("x", "y")).count() == 300
+    assert both.selectExpr("size(x)", "size(y)").distinct().collect() == [(sum(len(decontaminate.block_masks(k)) for k in range(decontaminate.BLOCKS)), decontaminate.BLOCKS)]
 
 
 PAGES = [(1, "http://a.org/x y\r\nz", "é" * 700), (2, None, "é" * 700), (7, "http://b", "é" * 700), (3, "u", None), (4, "u", "short"), (5, "u", "short"), (6, "u", ""), (8, "u", "x" * 2_000_000), (8, "u", "x" * 2_000_000), (9, "u", "b" * 1000), (None, "u", "b" * 1000)]
