@@ -81,8 +81,7 @@ def block_keys(fingerprint: Column, variants: bool = False) -> Column:
     parts = []
     for k, (low, high) in enumerate(zip(_EDGES, _EDGES[1:], strict=False)):
         value = F.shiftrightunsigned(fingerprint, low).bitwiseAND(F.lit((1 << (high - low)) - 1)).cast("int").bitwiseOR(F.lit(k << 24))
-        masks = F.array(*map(F.lit, block_masks(k))) if variants else None
-        parts.append(F.transform(masks, lambda m, v=value: m.bitwiseXOR(v)) if variants else F.array(value))
+        parts.append(F.array(*(value.bitwiseXOR(F.lit(m)) for m in block_masks(k))) if variants else F.array(value))
     return F.concat(*parts)
 
 
