@@ -28,11 +28,16 @@ def good_name(name: Column, title: Column) -> Column:
 
 
 def resolve(names: DataFrame, known: DataFrame, least: float = 0.75) -> DataFrame:
-    """Each (name, block) with the known entity of its block most like it, if alike enough.
+    """Each (name, block) with the known entity of its bucket of types most like it, if alike enough.
 
-    Names are compared within blocks of a few; ties go to the smaller entity.
+    Candidates are found by words: those that share one with the name. Ties go to the smaller entity.
     """
-    met = names.join(known.select(F.col("name").alias("entity"), "block"), "block").withColumn("ratio", T.similarity_ratio(F.lower("name"), F.lower("entity"))).where(F.col("ratio") >= least)
+
+    def words(rows: DataFrame, column: str) -> DataFrame:
+        return rows.select(F.col("name").alias(column), "block", F.explode(F.array_distinct(F.filter(F.split(F.lower("name"), "[^a-z0-9]+"), lambda w: w != ""))).alias("word"))
+
+    met = words(names, "name").join(words(known, "entity"), ["block", "word"]).select("name", "entity", "block").distinct()
+    met = met.withColumn("ratio", T.similarity_ratio(F.lower("name"), F.lower("entity"))).where(F.col("ratio") >= least)
     w = Window.partitionBy("name", "block").orderBy(F.desc("ratio"), "entity")
     return met.withColumn("n", F.row_number().over(w)).where("n = 1").select("name", "block", "entity", "ratio")
 
@@ -43,16 +48,17 @@ def idf(mentions: DataFrame) -> DataFrame:
     return mentions.groupBy("entity").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("entity", "df", F.log((F.col("n_docs") + 1) / (F.col("df") + 1)).alias("idf"))  # n is one row
 
 
-def entity_edges(mentions: DataFrame, least_idf: float, most_df: int) -> DataFrame:
+def entity_edges(mentions: DataFrame, least_idf: float = 3.0) -> DataFrame:
     """Edges between documents that share entities, unless all of those are common.
 
-    Entities in more than ``most_df`` documents make no pairs of their own (their idf is below
-    ``least_idf`` by the caller's choice) but count among the shared.
+    Entities of an idf below ``least_idf`` make no pairs of their own but count among the shared.
     """
-    scored = mentions.join(idf(mentions), "entity")
-    rare = scored.where((F.col("df") <= most_df) & (F.col("idf") >= least_idf))
+    rare = mentions.join(idf(mentions).where(F.col("idf") >= least_idf), "entity")
     a, b = rare.select("entity", "idf", F.col("doc_id").alias("a")), rare.select("entity", F.col("doc_id").alias("b"))
-    shared = a.join(b, "entity").where("a < b").groupBy("a", "b").agg(F.max("idf").alias("idf"), F.count("*").alias("shared"))
+    pairs = a.join(b, "entity").where("a < b").groupBy("a", "b").agg(F.max("idf").alias("idf"))
+    own = mentions.groupBy("doc_id").agg(F.collect_set("entity").alias("own"))
+    pairs = pairs.join(own.select(F.col("doc_id").alias("a"), F.col("own").alias("x")), "a").join(own.select(F.col("doc_id").alias("b"), F.col("own").alias("y")), "b")
+    shared = pairs.withColumn("shared", F.size(F.array_intersect("x", "y")).cast("long"))
     return shared.select("a", "b", "shared", F.least(F.lit(1.0), 0.3 + 0.12 * F.col("idf") + F.least(F.lit(0.15), 0.05 * (F.col("shared") - 1))).alias("weight"))
 
 

@@ -1,8 +1,9 @@
 """Vector search in double precision: cosine, exact neighbours, graphs of similar documents.
 
 Rows are packed into chunks of a bounded number of rows. A chunk of queries meets a chunk of rows
-once; a matrix product gives their similarities and only the best few of each query leave it, so
-no pair is ever a row and a hot group is only more chunks.
+once, in a place of its own; a matrix product gives their similarities and only the best few of each
+query leave it, so no pair is ever a row and a hot group is only more chunks. Vectors that are null or
+hold a null, NaN or infinite component take no part, and only vectors of equal length meet.
 """
 
 from __future__ import annotations
@@ -38,7 +39,8 @@ def _chunks(rows: DataFrame, block: str | None) -> DataFrame:
 
     A row's chunk follows a hash of its id and the number of rows of its block.
     """
-    own = rows.select("doc_id", "v", (F.col(block).cast("string") if block else F.lit("")).alias("block")).where("v is not null")
+    fine = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & (F.size("v") > 0)
+    own = rows.where("v is not null").where(fine).select("doc_id", "v", F.concat_ws(":", F.size("v").cast("string"), F.col(block).cast("string") if block else F.lit("")).alias("block"))
     n = own.groupBy("block").agg(F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias("chunks"))
     dealt = own.join(n, "block").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")))
 
@@ -59,8 +61,11 @@ def knn(queries: DataFrame, rows: DataFrame, k: int, *, same_block: str | None =
     ``queries`` and ``rows`` have doc_id and v. With ``same_block``, a column of both, only rows
     of the query's own block are compared.
     """
-    q = _chunks(queries, same_block).select("block", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-    met = q.join(_chunks(rows, same_block), "block").select("q_ids", "q_data", "ids", "data")
+    held = _chunks(rows, same_block)
+    there = held.groupBy("block").agg(F.collect_list("chunk").alias("chunks"))  # one number for CHUNK_ROWS rows
+    q = _chunks(queries, same_block).select("block", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("chunk").alias("q_chunk"))
+    q = q.join(there, "block").withColumn("chunk", F.explode("chunks")).drop("chunks").repartition("block", "chunk", "q_chunk")
+    met = q.join(held, ["block", "chunk"]).select("q_ids", "q_data", "ids", "data")
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,14 +84,14 @@ def knn(queries: DataFrame, rows: DataFrame, k: int, *, same_block: str | None =
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def semantic_edges(rows: DataFrame, threshold: float, top: int, block: str) -> DataFrame:
-    """Edges from each document to its most similar ones above a similarity, within blocks."""
-    return knn(rows, rows, top, same_block=block).where(F.col("similarity") > threshold).select(F.col("query_id").alias("source_id"), F.col("doc_id").alias("target_id"), F.col("similarity").alias("weight"))
+def semantic_edges(rows: DataFrame, threshold: float, top: int) -> DataFrame:
+    """Edges from each document to its most similar ones above a similarity."""
+    return knn(rows, rows, top).where(F.col("similarity") > threshold).select(F.col("query_id").alias("source_id"), F.col("doc_id").alias("target_id"), F.col("similarity").alias("weight"))
 
 
-def surprisal(rows: DataFrame, k: int, block: str) -> DataFrame:
+def surprisal(rows: DataFrame, k: int) -> DataFrame:
     """Mean distance of each document to its nearest ones; equal vectors don't count."""
-    near = knn(rows, rows, k + 1, same_block=block).where(1 - F.col("similarity") > 0.001)
+    near = knn(rows, rows, k + 1).where(1 - F.col("similarity") > 0.001)
     return near.groupBy(F.col("query_id").alias("doc_id")).agg(F.avg(1 - F.col("similarity")).alias("surprisal"))
 
 

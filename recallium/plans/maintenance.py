@@ -206,12 +206,15 @@ def consolidation_merge(t: Tables) -> DataFrame:
     return t.mentions.groupBy("entity").agg(F.countDistinct("doc_id").alias("proofs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
 
 
-@query("entity_edges", "mentions", """WITH i AS (SELECT entity, count(*) AS df, ln(((SELECT count(DISTINCT doc_id) FROM mentions) + 1) / (count(*) + 1)) AS idf FROM mentions GROUP BY entity),
-r AS (SELECT doc_id, entity, idf FROM mentions JOIN i USING (entity) WHERE idf >= 4 AND df <= 1000), s AS (SELECT a.doc_id AS a, b.doc_id AS b, max(a.idf) AS idf, count(*) AS shared FROM r a JOIN r b ON a.entity = b.entity AND a.doc_id < b.doc_id GROUP BY ALL) SELECT a, b, shared, round(least(1.0, 0.3 + 0.12 * idf + least(0.15, 0.05 * (shared - 1))), 6) AS weight FROM s""")
+@query("entity_edges", "mentions", """WITH m AS (SELECT doc_id, entity FROM mentions UNION ALL SELECT DISTINCT l_orderkey, 'part:' || l_partkey FROM lineitem), i AS (SELECT entity, ln(((SELECT count(DISTINCT doc_id) FROM m) + 1) / (count(*) + 1)) AS idf FROM m GROUP BY entity),
+r AS (SELECT doc_id, entity, idf FROM m JOIN i USING (entity) WHERE idf >= 3), s AS (SELECT a.doc_id AS a, b.doc_id AS b, max(a.idf) AS idf FROM r a JOIN r b ON a.entity = b.entity AND a.doc_id < b.doc_id GROUP BY ALL), o AS (SELECT doc_id, list(entity) AS own FROM m GROUP BY doc_id),
+c AS (SELECT a, b, idf, len(list_intersect(x.own, y.own)) AS shared FROM s JOIN o x ON x.doc_id = a JOIN o y ON y.doc_id = b) SELECT a, b, shared, round(least(1.0, 0.3 + 0.12 * idf + least(0.15, 0.05 * (shared - 1))), 6) AS weight FROM c""")
 def entity_edges(t: Tables) -> DataFrame:
+    """Orders that share a rare part, brand or type; common ones count too."""
     from ..operators import entity
 
-    return entity.entity_edges(t.mentions, 4.0, 1000).withColumn("weight", r6(F.col("weight")))
+    parts = t.raw("lineitem").select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("entity")).distinct()
+    return entity.entity_edges(t.mentions.unionByName(parts)).withColumn("weight", r6(F.col("weight")))
 
 
 @query("query_rate_gate", "recall", "SELECT id, count(*) OVER (PARTITION BY doc_id ORDER BY epoch(surfaced_at) RANGE BETWEEN 600 PRECEDING AND CURRENT ROW) AS recent FROM recall")

@@ -161,17 +161,21 @@ def diverse_results(t: Tables) -> DataFrame:
     return diversity.mmr(ranked.join(bodies, "doc_id").select("query_id", "doc_id", "rank", T.shingle_set(F.col("body")).alias("shingles")))
 
 
-GOLD_SQL = f"""g6 AS (SELECT item_id AS query_id, array_to_string(list_slice({_TOK.format(x='text')}, 1, 6), ' ') AS gram FROM benchmark),
+GOLD_SQL = f"""bw AS (SELECT item_id AS query_id, {_TOK.format(x='text')} AS w FROM benchmark), g6 AS (SELECT DISTINCT query_id, array_to_string(list_slice(w, i, i + 5), ' ') AS gram FROM (SELECT query_id, w, unnest(range(1, len(w) - 4)) AS i FROM bw WHERE len(w) >= 6)),
 dw AS (SELECT id AS doc_id, {_TOK.format(x='body')} AS w FROM docs), d6 AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 5), ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 4)) AS i FROM dw WHERE len(w) >= 6)),
 gold AS (SELECT DISTINCT query_id, doc_id FROM g6 JOIN d6 USING (gram))"""
 
 
 def gold(t: Tables) -> DataFrame:
-    """The documents that hold an item's first six words in a row."""
-    items = t.raw("benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(T.tokens(F.col("text")), 1, 6), " ").alias("gram"))
-    w = t.documents.select(F.col("id").alias("doc_id"), T.tokens(F.col("body")).alias("w")).where("size(w) >= 6")
-    grams = w.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 5), lambda i: F.array_join(F.slice("w", i, 6), " "))).alias("gram"))
-    return grams.join(items, "gram").select("query_id", "doc_id").distinct()
+    """The documents that hold any six words of an item in a row."""
+
+    def grams(rows: DataFrame, key: str) -> DataFrame:
+        w = rows.where("size(w) >= 6")
+        return w.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 5), lambda i: F.array_join(F.slice("w", i, 6), " ")))).alias("gram"))
+
+    items = grams(t.raw("benchmark").select(F.col("item_id").alias("query_id"), T.tokens(F.col("text")).alias("w")), "query_id")
+    docs = grams(t.documents.select(F.col("id").alias("doc_id"), T.tokens(F.col("body")).alias("w")), "doc_id")
+    return docs.join(items, "gram").select("query_id", "doc_id").distinct()
 
 
 _METRICS_SQL = f"""{BM25_SQL}, {GOLD_SQL}, top AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, doc_id) - 1 AS rank FROM found),
@@ -213,14 +217,14 @@ def vector_search_filtered(t: Tables) -> DataFrame:
     return vector.knn(t.vectors.where("doc_id % 100 = 0"), t.vectors.join(allowed, "doc_id", "left_semi"), 5).withColumn("similarity", r6(F.col("similarity")))
 
 
-@query("semantic_graph", "vectors", f"SELECT query_id AS source_id, doc_id AS target_id, round(similarity, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS r FROM (SELECT a.doc_id AS query_id, b.doc_id, {_SIM} AS similarity FROM vectors a JOIN vectors b ON a.doc_id <> b.doc_id AND a.label = b.label)) WHERE r <= 10 AND similarity > 0.3")
+@query("semantic_graph", "vectors", f"SELECT query_id AS source_id, doc_id AS target_id, round(similarity, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS r FROM (SELECT a.doc_id AS query_id, b.doc_id, {_SIM} AS similarity FROM vectors a JOIN vectors b ON a.doc_id <> b.doc_id)) WHERE r <= 10 AND similarity > 0.3")
 def semantic_graph(t: Tables) -> DataFrame:
-    return vector.semantic_edges(t.vectors, 0.3, 10, "label").withColumn("weight", r6(F.col("weight")))
+    return vector.semantic_edges(t.vectors, 0.3, 10).withColumn("weight", r6(F.col("weight")))
 
 
-@query("surprisal", "vectors", f"SELECT query_id AS doc_id, round(avg(1 - similarity), 6) AS surprisal FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS r FROM (SELECT a.doc_id AS query_id, b.doc_id, {_SIM} AS similarity FROM vectors a JOIN vectors b ON a.doc_id <> b.doc_id AND a.label = b.label)) WHERE r <= 6 AND 1 - similarity > 0.001 GROUP BY query_id")
+@query("surprisal", "vectors", f"SELECT query_id AS doc_id, round(avg(1 - similarity), 6) AS surprisal FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS r FROM (SELECT a.doc_id AS query_id, b.doc_id, {_SIM} AS similarity FROM vectors a JOIN vectors b ON a.doc_id <> b.doc_id)) WHERE r <= 6 AND 1 - similarity > 0.001 GROUP BY query_id")
 def surprisal(t: Tables) -> DataFrame:
-    return vector.surprisal(t.vectors, 5, "label").withColumn("surprisal", r6(F.col("surprisal")))
+    return vector.surprisal(t.vectors, 5).withColumn("surprisal", r6(F.col("surprisal")))
 
 
 _EDGES_SQL = """edges AS (SELECT doc_id AS source_id, try_cast(query_hash AS BIGINT) AS target_id, CASE event_type WHEN 'click' THEN 'causal' WHEN 'view' THEN 'semantic' WHEN 'purchase' THEN 'temporal' ELSE 'entity' END AS relation_type, count(*)::DOUBLE AS weight FROM recall WHERE doc_id <> try_cast(query_hash AS BIGINT) GROUP BY ALL)"""

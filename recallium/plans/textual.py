@@ -103,11 +103,11 @@ def name_similarity(t: Tables) -> DataFrame:
 
 @query(
     "entity_resolution", "",
-    "WITH n AS (SELECT DISTINCT c_name AS name, c_nationkey || ':' || right(c_name, 2) AS block FROM customer), k AS (SELECT DISTINCT s_name AS entity, s_nationkey || ':' || right(s_name, 2) AS block FROM supplier), m AS (SELECT name, block, entity, 1 - levenshtein(lower(name), lower(entity)) / greatest(length(name), length(entity)) AS ratio FROM n JOIN k USING (block)) SELECT name, block, entity, round(ratio, 6)::DOUBLE AS ratio FROM (SELECT *, row_number() OVER (PARTITION BY name, block ORDER BY ratio DESC, entity) AS r FROM m WHERE ratio >= 0.5) WHERE r = 1",
+    "WITH n AS (SELECT DISTINCT c_name AS name, 'org' AS block FROM customer), k AS (SELECT DISTINCT s_name AS entity, 'org' AS block FROM supplier), nw AS (SELECT DISTINCT name, block, unnest(string_split_regex(lower(name), '[^a-z0-9]+')) AS word FROM n), kw AS (SELECT DISTINCT entity, block, unnest(string_split_regex(lower(entity), '[^a-z0-9]+')) AS word FROM k), p AS (SELECT DISTINCT name, block, entity FROM nw JOIN kw USING (block, word) WHERE word <> ''), m AS (SELECT *, 1 - levenshtein(lower(name), lower(entity)) / greatest(length(name), length(entity)) AS ratio FROM p) SELECT name, block, entity, round(ratio, 6)::DOUBLE AS ratio FROM (SELECT *, row_number() OVER (PARTITION BY name, block ORDER BY ratio DESC, entity) AS r FROM m WHERE ratio >= 0.5) WHERE r = 1",
 )
 def entity_resolution(t: Tables) -> DataFrame:
-    names = t.raw("customer").select(F.col("c_name").alias("name"), F.concat_ws(":", F.col("c_nationkey").cast("string"), F.right("c_name", F.lit(2))).alias("block")).distinct()
-    known = t.raw("supplier").select(F.col("s_name").alias("name"), F.concat_ws(":", F.col("s_nationkey").cast("string"), F.right("s_name", F.lit(2))).alias("block")).distinct()
+    names = t.raw("customer").select(F.col("c_name").alias("name"), entity.bucket(F.lit("organization")).alias("block")).distinct()
+    known = t.raw("supplier").select(F.col("s_name").alias("name"), entity.bucket(F.lit("team")).alias("block")).distinct()
     return entity.resolve(names, known, 0.5).withColumn("ratio", r6(F.col("ratio")))
 
 

@@ -176,7 +176,7 @@ class Vault:
         d = self.table("documents").where("active and not invalidated")
         temporal = graph.temporal_edges(d, "collection").select("source_id", "target_id", F.lit("temporal").alias("relation_type"), F.lit(1.0).alias("weight"))
         v = models.embed(d.select(F.col("id").alias("doc_id"), "collection", "body"), "body", models.HashedWords()).drop("body")
-        semantic = vector.semantic_edges(v, threshold, 10, "collection").select("source_id", "target_id", F.lit("semantic").alias("relation_type"), "weight")
+        semantic = vector.semantic_edges(v, threshold, 10).select("source_id", "target_id", F.lit("semantic").alias("relation_type"), "weight")
         others = self.table("relations").where(~F.col("relation_type").isin("temporal", "semantic"))
         self.commit("relations", others.unionByName(temporal).unionByName(semantic))
         return {r["relation_type"]: r["count"] for r in self.table("relations").groupBy("relation_type").count().collect()}

@@ -210,3 +210,39 @@ def test_proximity_and_stems():
     assert [proximity.bucket(t.split(), ["quick", "fox"]) for t in ("a quick fox", "quick brown red fox", "fox " + "x " * 20 + "quick", "fox")] == [0, 1, 2, 2]
     assert [proximity.stem(w) for w in ("running", "ponies", "cats", "relational", "kindness", "is")] == ["run", "poni", "cat", "relate", "kind", "is"]
     assert proximity.antichain(["run", "runner", "run", "cat"]) == ["run", "cat"]
+
+
+def test_entity_edges_of_rare_entities(spark):
+    from recallium.operators import entity
+
+    rows = [(d, "common") for d in range(200)] + [(1, "rare"), (2, "rare"), (3, "other")]
+    found = entity.entity_edges(spark.createDataFrame(rows, "doc_id long, entity string")).collect()
+    assert [(r["a"], r["b"], r["shared"]) for r in found] == [(1, 2, 2)]
+
+
+def test_names_resolve_by_words(spark):
+    from recallium.operators import entity
+
+    names = spark.createDataFrame([("Ada Lovelace", "person"), ("Nobody Else", "person")], "name string, block string")
+    known = spark.createDataFrame([("ada lovelacy", "person"), ("ada lovelace", "org")], "name string, block string")
+    assert [tuple(r)[:3] for r in entity.resolve(names, known).collect()] == [("Ada Lovelace", "person", "ada lovelacy")]
+
+
+def test_neighbours_of_unlike_vectors(spark):
+    from recallium.operators import vector
+
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [1.0]), (4, [float("nan"), 1.0]), (5, None), (6, [None, 1.0])], "doc_id long, v array<double>")
+    assert sorted((r["query_id"], r["doc_id"]) for r in vector.knn(rows, rows, 5).collect()) == [(1, 2), (2, 1)]
+    many = spark.range(2500).selectExpr("id AS doc_id", "array(cos(id), sin(id)) AS v")
+    found = vector.knn(many.where("doc_id < 3"), many, 2).collect()
+    assert len(found) == 6 and all(r["similarity"] > 0.99 for r in found)
+
+
+def test_intents(spark):
+    from recallium.functions import intent
+
+    asked = spark.createDataFrame([("What is the latest?",), ("recently done",), ("precent",), (None,)], "q string")
+    assert [r[0] for r in asked.select(intent.wants_recent(F.col("q"))).collect()] == [True, True, False, False]
+    docs = spark.createDataFrame([("users/ada.md", "note"), ("x/profile.md", "note"), ("a.md", "preference"), ("a.md", "note")], "path string, kind string")
+    assert [r[0] for r in docs.select(intent.canonical_multiplier(F.col("path"), F.col("kind"), F.lit("my identity"))).collect()] == [1.14, 1.14, 1.08, 1.0]
+    assert {r[0] for r in docs.select(intent.canonical_multiplier(F.col("path"), F.col("kind"), F.lit("my latest identity"))).collect()} == {1.0}
