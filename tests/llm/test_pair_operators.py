@@ -359,6 +359,27 @@ def test_pipeline_against_its_parts(spark):
         assert found[i] == bpe.encode_texts(voc, [t])[0].tolist()
 
 
+def test_pipeline_stages_on_odd_rows(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").where("text is not null").first()["text"]
+    long = " ".join(f"word{'abcdefghij'[k % 10]}{'abcdefghij'[k // 10 % 10]}" for k in range(100))
+    data = [(1, long, "en"), (1, long, "en"), (2, long + " end", "en"), (None, long, "en"), (3, None, None), (4, "", "en"), (5, "12 34", "de"), (6, f"so {item} then", "en"), (7, "z " * 30_000, "en"), (8, "all about the quiet river", "en"), (None, None, None)]
+    odd = spark.createDataFrame([(i, t, x, "s", 1, "clash") for i, t, x in data], "doc_id long, text string, lang string, source string, n_chars long, words string")
+    stages = dict(corpus_pipeline.STAGES)
+    ids = lambda df: sorted(str(r["doc_id"]) for r in df.collect())
+    assert "1" in ids(stages["toxicity"](spark, odd, sf))
+    assert "3" not in ids(stages["language ID"](spark, odd, sf)) and "5" not in ids(stages["language ID"](spark, odd, sf))
+    once = stages["n-gram Jaccard join"](spark, odd, sf)
+    assert ids(once) == ["1", "3", "4", "5", "6", "7", "8", "None", "None"] and once.columns == odd.columns
+    clean = stages["benchmark decontamination"](spark, odd, sf)
+    assert ids(clean) == ["1", "1", "2", "3", "4", "5", "7", "8", "None", "None"] and clean.columns == odd.columns
+    assert ids(stages["BPE encoding and decoding"](spark, odd, sf)) == sorted(str(i) for i, _, _ in data)
+    for stage in stages.values():
+        assert stage(spark, odd.limit(0), sf).count() == 0
+
+
 def brute_components_by_index(rows):
     """Components by brute force over pairs that share a shingle."""
     sets, by = {i: shingles(t) for i, t in rows}, {}
