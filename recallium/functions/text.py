@@ -5,10 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .scoring import BASELINES
+
 #: Words that a query does without if it has others.
 STOPWORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "how", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "what", "when", "where", "which", "who", "why", "with"]
 
 
+#: White space within ASCII, alike in all engines.
+SPACE = r"[\t-\r ]"
+
+
+def ascii_words(pattern: str) -> str:
+    """A pattern whose \\b stands at the ends of ASCII words, which it doesn't in every Java."""
+    return pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
+
+
+def stripped(text: Column) -> Column:
+    """A text without white space at its ends."""
+    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+\z", "")
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
@@ -114,44 +130,134 @@ def numbers(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit("[0-9][0-9,]*(?:[.][0-9]+)?"), F.lit(0)), lambda n: F.replace(n, F.lit(","), F.lit("")))
 
 
-def quality_score(text: Column) -> Column:
-    """0.3, more for length, headings, lists and code, less for stubs; 0 to 1."""
-    n = F.length(text)
-    s = F.lit(0.3) + F.when(n > 200, 0.1).otherwise(0.0) + F.when(n > 1000, 0.1).otherwise(0.0)
-    s = s + F.when(text.rlike(r"(^|\n)#{1,3} "), 0.1).otherwise(0.0) + F.when(text.rlike(r"(^|\n)[-*] "), 0.1).otherwise(0.0) + F.when(F.contains(text, F.lit("```")), 0.1).otherwise(0.0)
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), s - F.when(n < 50, 0.2).otherwise(0.0)))
+#: Signs of a text's worth as regular expressions, and what each adds.
+QUALITY_SIGNS = [
+    (r"(^|[\n\r])##\s", 0.1),
+    (r"(^|[\n\r])[-*]\s", 0.05),
+    (r"(?i)\b(decided?\s+to|chose|will\s+use|switching\s+to|going\s+with|selected|adopted)\b", 0.15),
+    (r"(?i)\b(fix(ed)?|bug|resolved|corrected|patched|root\s+cause)\b", 0.1),
+]
 
 
-#: In this order, what in a path tells the type of its content.
-PATH_TYPES = [("/decisions/", "decision"), ("decision", "decision"), ("handoff", "handoff"), ("research", "research"), ("project", "project"), ("progress", "progress"), ("conversation", "conversation")]
+def quality_score(text: Column, tags: Column | None = None, domain: Column | None = None, workstream: Column | None = None) -> Column:
+    """0.3, more for length, structure, decisions, corrections and filled metadata, less for stubs;
+    0 to 1. A null text counts as empty."""
+    text = F.coalesce(text, F.lit(""))
+    n = F.length(text)
+    s = F.lit(0.3) + F.when(n > 200, 0.1).otherwise(0.0) + F.when(n > 500, 0.1).otherwise(0.0)
+    for pattern, points in QUALITY_SIGNS:
+        s = s + F.when(text.rlike(ascii_words(pattern)), points).otherwise(0.0)
+    for filled in ([] if tags is None else [F.size(tags) > 0]) + [F.length(c) > 0 for c in (domain, workstream) if c is not None]:
+        s = s + F.when(filled, 0.05).otherwise(0.0)
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), s - F.when(n < 50, 0.1).otherwise(0.0)))
+
+
+#: What in a lower-cased path tells the type of its content, in this order.
+PATH_TYPES = [
+    ("decision", r"decision|adr/|adr-"),
+    ("hub", r"hub|moc|/index\.md$"),
+    ("research", r"research|investigation|analysis"),
+    ("project", r"project|epic|initiative"),
+    ("handoff", r"handoff|handover|session"),
+    ("conversation", r"conversation|convo|chat|transcript"),
+    ("progress", r"progress|status|standup|changelog"),
+]
 
 
-def content_type(path: Column) -> Column:
+def content_type(path: Column, explicit: Column | None = None) -> Column:
+    """The stated type if it is a known one, else what the path tells; a note without a sign."""
     found = F.lit("note")
-    for part, kind in reversed(PATH_TYPES):
-        found = F.when(F.contains(F.lower(path), F.lit(part)), kind).otherwise(found)
-    return found
+    for kind, pattern in reversed(PATH_TYPES):
+        found = F.when(F.lower(path).rlike(pattern), kind).otherwise(found)
+    return found if explicit is None else F.when(explicit.isin(*BASELINES), explicit).otherwise(found)
 
 
-#: Fixed values: (name, pattern, score) of attempts to take over an assistant, tried in order.
+_ODD = r"[\x{370}-\x{4FF}]"
+_INK = r"[^\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: Fixed values: (layer, score, pattern) of attempts to take over an assistant; the first layer that
+#: matches counts. The sixth finds words of three characters or more that mix Latin letters with
+#: Greek or Cyrillic ones.
 INJECTIONS = [
-    ("override", r"(?i)ignore (all |any )?(previous|prior|above) instructions", 0.95),
-    ("role", r"(?i)you are now |act as (a|an) ", 0.8),
-    ("system", r"(?i)(^|\n)\s*(system|assistant)\s*:", 0.7),
-    ("marker", r"(?i)<\|[a-z_]+\|>|\[/?inst\]", 0.9),
-    ("secret", r"(?i)(reveal|print|show) (your|the) (system )?prompt", 0.85),
+    ("legacy_pattern", 1.0, r"(?i)ignore previous|ignore all previous|ignore above|disregard previous|disregard all previous|you are now|new instructions|system prompt|<system>|</system>|important:|critical:|override"),
+    ("role_injection", 0.9, r"(?i)you are (?:now |a |an |the )|act as (?:a |an |the |if )|pretend (?:you(?:'re| are) |to be )|(?:switch|change) (?:to |into )(?:a |an |the )?(?:new |different )?(?:role|mode|persona)|your (?:new |real |true )(?:role|purpose|function|task)"),
+    ("instruction_override", 0.85, r"(?i)(?:ignore|forget|discard|disregard) (?:all |any )?(?:previous|prior|above|earlier)|(?:new|updated|revised|real) (?:instructions?|directives?|rules?|guidelines?)|(?:do not|don't|never) (?:follow|obey|listen to|adhere to)|(?:bypass|circumvent|override|skip) (?:the |any |all )?(?:rules?|restrictions?|guidelines?|filters?|safety)"),
+    ("delimiter_injection", 0.8, r"(?i)</?(?:system|user|assistant|human|ai|bot|prompt|instruction)>|\[(?:SYSTEM|INST|/INST|SYS)\]|```(?:system|instructions?|prompt)\s*\n|={3,}(?:SYSTEM|PROMPT|INSTRUCTIONS?)={3,}"),
+    ("unicode_obfuscation", 0.7, r"[\x{AD}\x{200B}-\x{200D}\x{2060}-\x{2064}\x{FEFF}]"),
+    ("homoglyph", 0.7, rf"[A-Za-z]{_INK}+{_ODD}|{_ODD}{_INK}+[A-Za-z]|{_INK}(?:[A-Za-z]{_ODD}|{_ODD}[A-Za-z])|(?:[A-Za-z]{_ODD}|{_ODD}[A-Za-z]){_INK}"),
 ]
-
-
-def injection(text: Column) -> Column:
-    """(name, score) of the first pattern that matches in the first 2000 characters, else null."""
-    head, name, score = F.substring(text, 1, 2000), F.lit(None).cast("string"), F.lit(0.0)
-    for n, pattern, s in reversed(INJECTIONS):
+#: The layer after these, for texts that compatibility decomposition changes much.
+DECOMPOSED = ("normalization", 0.7)
+#: Characters looked at, and the least score that counts.
+INJECTION_HEAD, INJECTION_THRESHOLD = 2000, 0.6
+FILTERED = "[content filtered for security]"
+
+
+def injection(text: Column, threshold: float = INJECTION_THRESHOLD) -> Column:
+    """(name, score) of the first layer of patterns that matches in the first 2000 characters; the
+    name is null where the score is below the threshold or nothing matches (score 0)."""
+    head, name, score = F.substring(text, 1, INJECTION_HEAD), F.lit(None).cast("string"), F.lit(0.0)
+    for n, s, pattern in reversed(INJECTIONS):
         hit = head.rlike(pattern)
-        name, score = F.when(hit, n).otherwise(name), F.when(hit, s).otherwise(score)
+        name, score = F.when(hit, n if s >= threshold else None).otherwise(name), F.when(hit, s).otherwise(score)
     return F.struct(name.alias("name"), score.alias("score"))
 
 
+#: What stands before the last break of a kind, in the order in which they are tried.
+BREAKS = {"paragraph": r"(?s)^(.*)\n\n", "sentence": r"(?s)^(.+[.!?])\s", "line": r"(?s)^(.*)\n", "word": r"(?s)^(.*) "}
+
+
+def truncated(text: Column, most: int = 300) -> Column:
+    """A text cut to some length: after its last paragraph, sentence, line or word that ends in the
+    second half, whichever there is first."""
+    head = F.substring(text, 1, most)
+    kept = {k: F.regexp_extract(head, p, 1) for k, p in BREAKS.items()}
+    found = F.concat(_rstripped(head), F.lit("..."))
+    for k in reversed(BREAKS):
+        whole = kept[k] if k == "sentence" else F.concat(_rstripped(kept[k]), F.lit("..." if k == "word" else ""))
+        found = F.when(F.length(kept[k]) > most * 0.5, whole).otherwise(found)
+    return F.when(F.length(text) <= most, text).otherwise(found)
+
+
+def _rstripped(text: Column) -> Column:
+    return F.regexp_replace(text, rf"{SPACE}+\z", "")
+
+
+#: Which way of searching a prompt's wording suggests, tried in order.
+ROUTES = [
+    ("session", r"\b(last session|yesterday|prior session|previous session|last time we|handoff|what happened last|what did we do|cross.session|earlier today|what we discussed|when we last)\b"),
+    ("causal", r"\b(why did|why was|why were|what caused|what led to|reason for|decided to|decision about|trade.?off|instead of|chose to)\b|^why\b"),
+    ("discovery", r"\b(similar to|related to|what else|what other|reminds? me of|like this)\b"),
+]
+
+
+def route(prompt: Column) -> Column:
+    """The way of searching that a prompt's wording suggests, else null."""
+    found = F.lit(None).cast("string")
+    for name, pattern in reversed(ROUTES):
+        found = F.when(F.lower(prompt).rlike(ascii_words(pattern)), name).otherwise(found)
+    return found
+
+
+#: What tells a prompt that only asks whether somebody is there.
+HEARTBEATS = ["heartbeat", "health check", "keepalive", "keep-alive", "status check", "are you alive", "still alive", "ping", "pong"]
+
+
+def heartbeat(prompt: Column) -> Column:
+    """Whether a prompt is empty, a command or a sign of life."""
+    p = F.lower(stripped(F.coalesce(prompt, F.lit(""))))
+    return (p == "") | F.startswith(p, F.lit("/")) | p.rlike("|".join(HEARTBEATS))
+
+
+#: The indented output of a tool, and numbered lines of a file.
+TOOL_OUTPUT = r"(?i)(?:Result of (?:calling |)(?:the )?(?:Read|Grep|Glob|Bash|Write|Edit|NotebookEdit) tool[^\n]*\n)(?:[ \t]+[^\n]*\n)*"
+FILE_DUMP = r"(?m)(?:^ *[0-9]+→[^\n]*\n){5,}"
+
+
+def pruned(text: Column) -> Column:
+    """A message without the output of tools."""
+    return F.regexp_replace(F.regexp_replace(text, TOOL_OUTPUT, ""), FILE_DUMP, "[file content pruned]\n")
+
+
 #: What a prompt's wording says about its intent; each hit counts 3, a leading word 2 more.
 INTENTS = {
     "WHY": (r"(?i)\b(why|because|reason|cause|motivation|rationale)\b", r"(?i)^why\b"),

@@ -31,22 +31,64 @@ def _sentences(x: str) -> str:
     return rf"list_filter(string_split(regexp_replace(regexp_replace({x}, '([.!?])[ \t]+', '\1' || chr(1), 'g'), '\n', chr(1), 'g'), chr(1)), lambda s: length(trim(s)) > 0)"
 
 
-def _matching(pattern: str, limit: int | None = None) -> str:
-    base = f"""WITH z AS (SELECT conv_id, turn, {_sentences('text')} AS s FROM conversations), e AS (SELECT conv_id, turn, unnest(range(len(s))) AS place, trim(unnest(s)) AS sentence FROM z),
-    f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, lower(substring(sentence, 1, 80)) ORDER BY place) AS n FROM e WHERE regexp_matches(sentence, {_quoted(pattern)}) AND length(sentence) BETWEEN 15 AND 500),
-    g AS (SELECT conv_id, turn, place, sentence, row_number() OVER (PARTITION BY conv_id, turn ORDER BY place) AS k FROM f WHERE n = 1)"""
-    return base + f" SELECT conv_id, turn, place, sentence FROM g{f' WHERE k <= {limit}' if limit else ''}"
+_STRIP = r"regexp_replace({x}, '^[\t-\r ]+|[\t-\r ]+\z', '', 'g')"
+_NEWEST = "(SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM transcripts)"
 
 
-for _name, _pattern, _limit in (("decisions", extract.DECISIONS, None), ("actions", extract.ACTIONS, 10), ("next_steps", extract.NEXT_STEPS, 5), ("antipatterns", extract.ANTIPATTERNS, 10), ("open_questions", r"[?]$", None)):
+def _statements(pattern: str, parts: str, least: int, most: int, prefix: int, limit: int = 1 << 60, last: int = 1 << 60) -> str:
+    return f"""WITH z AS (SELECT conv_id, turn, {parts} AS s FROM {_NEWEST} WHERE role = 'assistant' AND back <= {last}),
+    e AS (SELECT conv_id, turn, unnest(range(len(s))) AS place, unnest(s) AS said, unnest(list_concat([''], s)[:len(s)]) AS b FROM z),
+    f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, lower(substring(said, 1, {prefix})) ORDER BY turn, place) AS n FROM e WHERE length(said) BETWEEN {least} AND {most} AND regexp_matches(said, {_quoted(pattern)})),
+    g AS (SELECT conv_id, turn, place, {_STRIP.format(x='said')} AS sentence, {_STRIP.format(x='b')} AS before, row_number() OVER (PARTITION BY conv_id ORDER BY turn, place) AS k FROM f WHERE n = 1),
+    h AS (SELECT conv_id, turn, place, sentence, before FROM g WHERE k <= {limit})"""
 
-    def _run(t: Tables, pattern=_pattern, limit=_limit) -> DataFrame:
-        return extract.matching_sentences(t.conversations, ["conv_id", "turn"], "text", pattern, limit=limit)
 
-    query(f"extract_{_name}", "", _matching(_pattern, _limit))(_run)
+_AFTER_SENTENCES = r"string_split(regexp_replace(text, '([.!?])[\t-\r ]+', '\1' || chr(1), 'g'), chr(1))"
+_AFTER_CLAUSES = r"string_split(regexp_replace(text, '[.!][\t-\r ]+', chr(1), 'g'), chr(1))"
 
 
-@query("extract_topics", "", "WITH f AS (SELECT conv_id, turn, trim(split_part(text, chr(10), 1)) AS topic FROM conversations WHERE role = 'user'), g AS (SELECT *, row_number() OVER (PARTITION BY conv_id, lower(substring(topic, 1, 50)) ORDER BY turn) AS n FROM f WHERE length(topic) BETWEEN 10 AND 200), h AS (SELECT conv_id, turn, topic, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM g WHERE n = 1) SELECT conv_id, turn, topic FROM h WHERE k <= 5")
+@query("extract_decisions", "transcripts", _statements(extract.DECISIONS, _AFTER_SENTENCES, 20, 500, 80) + " SELECT conv_id, turn, place, sentence, coalesce((SELECT arg_max(substring(u.text, 1, 200), u.turn) FROM transcripts u WHERE u.role = 'user' AND u.conv_id = h.conv_id AND u.turn >= h.turn - 3 AND u.turn < h.turn), '') AS context FROM h")
+def extract_decisions(t: Tables) -> DataFrame:
+    return extract.decisions(t.transcripts)
+
+
+@query("extract_antipatterns", "transcripts", _statements(extract.ANTIPATTERNS, _AFTER_CLAUSES, 15, 500, 80, 10) + " SELECT conv_id, turn, place, sentence, before AS context FROM h")
+def extract_antipatterns(t: Tables) -> DataFrame:
+    return extract.antipatterns(t.transcripts)
+
+
+@query("extract_actions", "transcripts", _statements(extract.ACTIONS, _AFTER_SENTENCES, 15, 300, 60, 10) + " SELECT conv_id, turn, place, sentence FROM h")
+def extract_actions(t: Tables) -> DataFrame:
+    return extract.actions(t.transcripts)
+
+
+@query("extract_next_steps", "transcripts", _statements(extract.NEXT_STEPS, _AFTER_SENTENCES, 15, 300, 60, 5, 30) + " SELECT conv_id, turn, place, sentence FROM h")
+def extract_next_steps(t: Tables) -> DataFrame:
+    return extract.next_steps(t.transcripts)
+
+
+_ASKED = "list_concat(" + ", ".join(f"regexp_extract_all(text, {_quoted(p)})" for p in extract.QUESTIONS) + ")"
+
+
+@query("extract_open_questions", "transcripts", f"WITH z AS (SELECT conv_id, turn, {_ASKED} AS s FROM {_NEWEST} WHERE back <= 20), e AS (SELECT conv_id, turn, unnest(range(len(s))) AS place, {_STRIP.format(x='unnest(s)')} AS sentence FROM z), f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, lower(substring(sentence, 1, 60)) ORDER BY turn, place) AS n FROM e WHERE length(sentence) BETWEEN 16 AND 299), g AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, place) AS k FROM f WHERE n = 1) SELECT conv_id, turn, place, sentence FROM g WHERE k <= 10")
+def extract_open_questions(t: Tables) -> DataFrame:
+    return extract.open_questions(t.transcripts)
+
+
+_FILES = "list_concat(" + ", ".join(f"regexp_extract_all(text, {_quoted(p)}, 1)" for p in extract.CHANGED_FILES) + ")"
+
+
+@query("changed_files", "transcripts", f"SELECT DISTINCT conv_id, file FROM (SELECT conv_id, unnest({_FILES}) AS file FROM transcripts WHERE role = 'assistant') WHERE NOT contains(file, '*') AND length(file) < 200")
+def changed_files(t: Tables) -> DataFrame:
+    return extract.changed_files(t.transcripts)
+
+
+@query("last_requests", "transcripts", "SELECT conv_id, arg_max(substring(text, 1, 500), turn) AS request FROM transcripts WHERE role = 'user' AND length(text) > 10 GROUP BY conv_id")
+def last_requests(t: Tables) -> DataFrame:
+    return extract.last_requests(t.transcripts)
+
+
+@query("extract_topics", "", "WITH f AS (SELECT conv_id, turn, trim(split_part(text, chr(10), 1)) AS topic FROM conversations WHERE role = 'user'), g AS (SELECT *, row_number() OVER (PARTITION BY conv_id, lower(substring(topic, 1, 50)) ORDER BY turn) AS n FROM f WHERE length(topic) BETWEEN 10 AND 200 AND NOT starts_with(topic, '/')), h AS (SELECT conv_id, turn, topic, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM g WHERE n = 1) SELECT conv_id, turn, topic FROM h WHERE k <= 5")
 def extract_topics(t: Tables) -> DataFrame:
     return extract.topics(t.conversations)
 

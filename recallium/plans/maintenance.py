@@ -72,9 +72,9 @@ def snoozed(t: Tables) -> DataFrame:
     return t.documents.where("active").select("id", (F.col("last_accessed_at") > F.to_timestamp(F.lit(NOW)) - F.expr("INTERVAL 30 DAYS")).alias("snoozed"))
 
 
-@query("orphan_contents", "docs", "SELECT DISTINCT hash FROM docs WHERE hash NOT IN (SELECT hash FROM docs WHERE active)")
+@query("orphan_contents", "docs", "SELECT DISTINCT hash FROM docs WHERE hash NOT IN (SELECT hash FROM docs WHERE active AND NOT invalidated)")
 def orphan_contents(t: Tables) -> DataFrame:
-    return t.documents.select("hash").distinct().join(t.documents.where("active").select("hash"), "hash", "left_anti")
+    return t.documents.select("hash").distinct().join(t.documents.where("active and not invalidated").select("hash"), "hash", "left_anti")
 
 
 @query("embed_states", "docs vectors", "SELECT CASE WHEN v.doc_id IS NOT NULL THEN 'synced' WHEN NOT active THEN 'skipped' WHEN revision_count >= 3 THEN 'failed' ELSE 'pending' END AS state, count(*) AS n FROM docs LEFT JOIN vectors v ON v.doc_id = id GROUP BY 1")

@@ -71,9 +71,9 @@ def missing_vectors(t: Tables) -> DataFrame:
     return d.groupBy("hash").agg(F.min(F.concat_ws("/", "collection", "path")).alias("first_path"), F.count("*").alias("n"))
 
 
-@query("stale_vectors", "docs vectors", "SELECT doc_id, label FROM vectors WHERE NOT EXISTS (SELECT 1 FROM docs WHERE docs.id = vectors.doc_id AND active)")
+@query("stale_vectors", "docs vectors", "SELECT doc_id, label FROM vectors WHERE NOT EXISTS (SELECT 1 FROM docs WHERE docs.id = vectors.doc_id AND active AND NOT invalidated)")
 def stale_vectors(t: Tables) -> DataFrame:
-    return t.vectors.join(t.documents.where("active"), F.col("id") == F.col("doc_id"), "left_anti").select("doc_id", "label")
+    return t.vectors.join(t.documents.where("active and not invalidated"), F.col("id") == F.col("doc_id"), "left_anti").select("doc_id", "label")
 
 
 @query("vector_consistency", "docs vectors", "SELECT (SELECT count(*) FROM docs WHERE id NOT IN (SELECT doc_id FROM vectors)) AS only_documents, (SELECT count(*) FROM vectors WHERE doc_id NOT IN (SELECT id FROM docs)) AS only_vectors")

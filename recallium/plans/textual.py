@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring as S
 from ..functions import text as T
 from ..functions import time as Time
+from ..functions import unicode
 from ..operators import entity
 from ..sources.tables import NOW, Tables, sql
 
@@ -69,15 +70,60 @@ def negations(t: Tables) -> DataFrame:
     return t.documents.select("id", T.negated(F.col("body")).alias("negated"), F.size(T.numbers(F.col("body"))).cast("long").alias("n_numbers"))
 
 
-@query("quality_scores", "docs", r"""SELECT id, round(least(1.0, greatest(0.0, 0.3 + CASE WHEN length(body) > 200 THEN 0.1 ELSE 0 END + CASE WHEN length(body) > 1000 THEN 0.1 ELSE 0 END + CASE WHEN regexp_matches(body, '(^|\n)#{1,3} ') THEN 0.1 ELSE 0 END
-    + CASE WHEN regexp_matches(body, '(^|\n)[-*] ') THEN 0.1 ELSE 0 END + CASE WHEN contains(body, '```') THEN 0.1 ELSE 0 END - CASE WHEN length(body) < 50 THEN 0.2 ELSE 0 END)), 6)::DOUBLE AS quality FROM docs""")
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+_SIGNS = " + ".join(f"CASE WHEN regexp_matches(body, {_quoted(p)}) THEN {s} ELSE 0 END" for p, s in T.QUALITY_SIGNS)
+
+
+@query("quality_scores", "docs", f"SELECT id, round(least(1.0, greatest(0.0, 0.3 + CASE WHEN length(body) > 200 THEN 0.1 ELSE 0 END + CASE WHEN length(body) > 500 THEN 0.1 ELSE 0 END + {_SIGNS} + CASE WHEN length(source) > 0 THEN 0.05 ELSE 0 END - CASE WHEN length(body) < 50 THEN 0.1 ELSE 0 END)), 6)::DOUBLE AS quality FROM (SELECT *, collection AS source FROM docs)")
 def quality_scores(t: Tables) -> DataFrame:
-    return t.documents.select("id", r6(T.quality_score(F.col("body"))).alias("quality"))
+    """Documents' worth; the collection stands for their domain."""
+    return t.documents.select("id", r6(T.quality_score(F.col("body"), domain=F.col("collection"))).alias("quality"))
+
+
+@query("content_types", "", "SELECT page_id, CASE " + " ".join(f"WHEN regexp_matches(lower(url), '{p}') THEN '{k}'" for k, p in T.PATH_TYPES) + " ELSE 'note' END AS content_type FROM pages")
+def content_types(t: Tables) -> DataFrame:
+    return t.raw("pages").select("page_id", T.content_type(F.col("url")).alias("content_type"))
+
+
+_LAYERS = [(n, s, f"regexp_matches(substring(text, 1, {T.INJECTION_HEAD}), {_quoted(p)})") for n, s, p in T.INJECTIONS]
+
+
+@query("injection_patterns", "transcripts", "SELECT conv_id, turn, CASE " + " ".join(f"WHEN {hit} THEN '{n}'" for n, _, hit in _LAYERS) + " END AS name, CASE " + " ".join(f"WHEN {hit} THEN {s}::DOUBLE" for _, s, hit in _LAYERS) + " ELSE 0::DOUBLE END AS score FROM transcripts")
+def injection_patterns(t: Tables) -> DataFrame:
+    return t.transcripts.select("conv_id", "turn", T.injection(F.col("text")).alias("i")).select("conv_id", "turn", "i.name", "i.score")
 
 
-@query("injections", "docs", "SELECT id, name, score FROM (SELECT id, substring(body, 1, 2000) AS h, " + "CASE " + " ".join(f"WHEN regexp_matches(substring(body, 1, 2000), '{p}') THEN '{n}'" for n, p, _ in T.INJECTIONS) + " END AS name, CASE " + " ".join(f"WHEN regexp_matches(substring(body, 1, 2000), '{p}') THEN {s}::DOUBLE" for _, p, s in T.INJECTIONS) + " ELSE 0::DOUBLE END AS score FROM docs)")
+@query("injections")
 def injections(t: Tables) -> DataFrame:
-    return t.documents.select("id", T.injection(F.col("body")).alias("i")).select("id", "i.name", "i.score")
+    """All layers; no SQL, as DuckDB has no compatibility decomposition."""
+    return t.documents.select("id", unicode.injection(F.col("body")).alias("i")).select("id", "i.name", "i.score")
+
+
+@query("sanitized_snippets")
+def sanitized_snippets(t: Tables) -> DataFrame:
+    return t.transcripts.select("conv_id", "turn", unicode.sanitized(T.truncated(F.col("text"))).alias("snippet"))
+
+
+_RSTRIP = r"regexp_replace({x}, '[\t-\r ]+\z', '')"
+_KEPT = {k: f"regexp_extract(substring(body, 1, 300), '{p}', 1)" for k, p in T.BREAKS.items()}
+
+
+@query("truncated_bodies", "docs", "SELECT id, md5(CASE WHEN length(body) <= 300 THEN body " + " ".join(f"WHEN length({x}) > 150 THEN " + (x if k == "sentence" else _RSTRIP.format(x=x) + (" || '...'" if k == "word" else "")) for k, x in _KEPT.items()) + f" ELSE {_RSTRIP.format(x='substring(body, 1, 300)')} || '...' END) AS head FROM docs")
+def truncated_bodies(t: Tables) -> DataFrame:
+    return t.documents.select("id", F.md5(T.truncated(F.col("body"))).alias("head"))
+
+
+@query("routes", "transcripts", "SELECT conv_id, turn, CASE " + " ".join(f"WHEN regexp_matches(lower(text), {_quoted(p)}) THEN '{n}'" for n, p in T.ROUTES) + f" END AS route, trim(lower(text)) = '' OR starts_with(trim(lower(text)), '/') OR regexp_matches(lower(text), '{'|'.join(T.HEARTBEATS)}') AS heartbeat FROM transcripts")
+def routes(t: Tables) -> DataFrame:
+    return t.transcripts.select("conv_id", "turn", T.route(F.col("text")).alias("route"), T.heartbeat(F.col("text")).alias("heartbeat"))
+
+
+@query("pruned_outputs", "transcripts", f"SELECT conv_id, turn, md5(regexp_replace(regexp_replace(text, '{T.TOOL_OUTPUT}', '', 'g'), '{T.FILE_DUMP}', '[file content pruned]' || chr(10), 'g')) AS text FROM transcripts")
+def pruned_outputs(t: Tables) -> DataFrame:
+    return t.transcripts.select("conv_id", "turn", F.md5(T.pruned(F.col("text"))).alias("text"))
 
 
 _POINTS = {k: f"(CASE WHEN regexp_matches(text, '{p}') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(text, '{lead}') THEN 2 ELSE 0 END)" for k, (p, lead) in T.INTENTS.items()}
@@ -126,11 +172,11 @@ def text_jaccard(t: Tables) -> DataFrame:
     return w.join(after, ["conv_id", "turn"]).select("conv_id", "turn", r6(T.jaccard(F.col("w"), F.col("y"))).alias("jaccard"))
 
 
-@query("day_ranges", "", """SELECT conv_id, turn, m, CASE m WHEN 'today' THEN DATE '2025-01-01' WHEN 'yesterday' THEN DATE '2024-12-31' END AS d FROM (SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)\\btoday\\b') THEN 'today' WHEN regexp_matches(text, '(?i)\\byesterday\\b') THEN 'yesterday' END AS m FROM conversations) WHERE m IS NOT NULL""".replace("\\\\", "\\"))
+@query("day_ranges", "transcripts", """SELECT conv_id, turn, m, CASE m WHEN 'today' THEN DATE '2025-01-01' WHEN 'yesterday' THEN DATE '2024-12-31' END AS d FROM (SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)\\btoday\\b') THEN 'today' WHEN regexp_matches(text, '(?i)\\byesterday\\b') THEN 'yesterday' END AS m FROM transcripts) WHERE m IS NOT NULL""".replace("\\\\", "\\"))
 def day_ranges(t: Tables) -> DataFrame:
-    m = F.when(F.col("text").rlike(r"(?i)\btoday\b"), "today").when(F.col("text").rlike(r"(?i)\byesterday\b"), "yesterday")
+    m = F.when(F.col("text").rlike(T.ascii_words(r"(?i)\btoday\b")), "today").when(F.col("text").rlike(T.ascii_words(r"(?i)\byesterday\b")), "yesterday")
     span = Time.phrase_range(m, F.lit("2025-01-01").cast("date"))
-    return t.conversations.select("conv_id", "turn", m.alias("m"), span["first"].alias("d")).where("m is not null")
+    return t.transcripts.select("conv_id", "turn", m.alias("m"), span["first"].alias("d")).where("m is not null")
 
 
 @query("week_starts", "", "SELECT o_orderkey, strftime(o_orderdate::DATE - dayofweek(o_orderdate::DATE)::INT, '%Y-%m-%d') AS week FROM orders")

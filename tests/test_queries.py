@@ -36,7 +36,8 @@ def test_query_equals_its_sql(spark, duck, name):
     want = duck.execute(registry.ORACLE[name])
     names = [d[0] for d in want.description]
     assert sorted(got.columns) == sorted(names)
-    assert rows(got.columns, got.collect()) == rows(names, want.fetchall())
+    found, stated = rows(got.columns, got.collect()), rows(names, want.fetchall())
+    assert found == stated
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE)))
