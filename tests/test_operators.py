@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from recallium.functions import text as T
 from recallium.functions import time as Time
 from recallium.functions import unicode
-from recallium.operators import chunk, diversity, extract, fold, fusion, graph, lifecycle, models, vector
+from recallium.operators import admission, chunk, diversity, extract, fold, fusion, graph, lifecycle, models, vector
 from recallium.sources import readers
 
 
@@ -295,3 +295,49 @@ def test_statements_of_transcripts(spark):
     assert {(r.conv_id, r.request[:8]) for r in extract.last_requests(t).collect()} == {(1, "Should w"), (3, "we decid")}
     for f in (extract.decisions, extract.antipatterns, extract.actions, extract.next_steps, extract.open_questions, extract.changed_files, extract.last_requests, extract.topics):
         assert f(t.limit(0)).count() == 0
+
+
+def entry(**changes):
+    return {"relation": "update", "reasoning": "both name it", "confidence": 0.8, "old_idx": 0, "new_idx": 1} | changes
+
+
+def test_entries_of_answers(spark):
+    cases = [
+        (entry(), "ok"), (entry(confidence=1), "ok"), (entry(old_idx=1.0), "ok"), (entry(relation="update|same"), "invalid-relation"), (entry(relation=None), "invalid-relation"), ("text", "invalid-relation"), (7, "invalid-relation"), (None, "invalid-relation"),
+        (entry(reasoning=123), "invalid-reasoning"), (entry(reasoning=["real"]), "invalid-reasoning"), (entry(reasoning="..."), "placeholder-reasoning"), (entry(reasoning=" {{a}} ${b} "), "placeholder-reasoning"), (entry(reasoning="\"Atomic  fact\"."), "placeholder-reasoning"), (entry(reasoning="{{a}} is set"), "ok"),
+        (entry(confidence="0.8"), "invalid-confidence"), (entry(confidence=1.01), "invalid-confidence"), (entry(confidence=True), "invalid-confidence"), (entry(old_idx=2), "index-out-of-range"), (entry(new_idx=-1), "index-out-of-range"), (entry(new_idx=0.5), "index-out-of-range"), (entry(new_idx="0"), "index-out-of-range"),
+    ]
+    raw = json.dumps([c for c, _ in cases])
+    rows = [(1, raw), (2, json.dumps({"result": [entry()]})), (3, "no json"), (4, None), (5, "{}"), (6, "[]"), (7, "[")]
+    got = admission.entries(spark.createDataFrame(rows, "k long, raw string"), "k", "raw", 2, 2).collect()
+    assert [r.verdict for r in sorted((r for r in got if r.k == 1), key=lambda r: r.position)] == [v for _, v in cases]
+    assert [(r.k, r.verdict) for r in got if r.k != 1] == [(2, "ok")]
+
+
+def test_batches_do_not_depend_on_order(spark):
+    said = [entry(), entry(), entry(note="more"), entry(new_idx=0), entry(new_idx=0, confidence=0.3), entry(old_idx=9), entry(old_idx=1, relation="same")]
+    for seed in range(4):
+        random.Random(seed).shuffle(said)
+        judged = admission.entries(spark.createDataFrame([(1, json.dumps(said)), (2, "[1]")], "k long, raw string"), "k", "raw", 2, 2)
+        assert {tuple(r) for r in admission.batches(judged, "k").select("k", "accepted", "rejected", "duplicates", "inconsistent").collect()} == {(1, 2, 1, 2, 1), (2, 0, 1, 0, 0)}
+        pairs = {(r.old_idx, r.new_idx): (r.accepted, r.relation) for r in admission.admitted(judged, "k").collect()}
+        assert pairs[(0, 1)] == (True, "update") and pairs[(1, 1)] == (True, "same") and not pairs[(0, 0)][0]
+    assert admission.batches(judged.limit(0), "k").count() == 0
+
+
+def test_facts_links_and_witnesses(spark):
+    for raw, want in {'["a", " b "]': ["a", " b "], "[]": None, '["a", " "]': None, '["a", 1]': None, '["a", null]': None, '"a"': None, '{"a": 1}': None, "[": None}.items():
+        assert one(spark, admission.facts(F.col("r")), r=raw) == want
+    link = {"target_idx": 1, "link_type": "semantic", "confidence": 1, "reasoning": ""}
+    for raw, want in [([link], 1), ({"result": [link, link]}, 2), ([], 0), ([link, link | {"target_idx": 0}], None), ([link | {"link_type": "other"}], None), ([link | {"confidence": "1"}], None), ([link | {"reasoning": None}], None), ({"a": 1}, None)]:
+        got = one(spark, admission.links(F.col("r")), r=json.dumps(raw))
+        assert (None if got is None else len(got)) == want
+    meta = {"reasoning": "so", "source_fact": "s" * 400, "target_fact": "t"}
+    got = one(spark, admission.legacy_witness(F.col("m"), F.col("w")), m=json.dumps(meta), w=1.0)
+    assert tuple(got) == ("so", "s" * 300, "t", 1.0)
+    for m, w in [(json.dumps(meta), 1.1), (json.dumps(meta), -0.1), (json.dumps(meta), float("nan")), (json.dumps(meta | {"reasoning": " "}), 0.5), (json.dumps(meta | {"target_fact": 3}), 0.5), ("[]", 0.5), ("{", 0.5)]:
+        assert one(spark, admission.legacy_witness(F.col("m"), F.col("w")), m=m, w=w) is None
+    edges = spark.createDataFrame([(1, 2, "causal"), (1, 3, "causal"), (2, 3, "causal"), (1, 2, "semantic"), (None, 2, "causal")], "source_id long, target_id long, relation_type string")
+    lane = spark.createDataFrame([(1,), (2,), (2,), (None,)], "id long")
+    seen = spark.createDataFrame([(2, 3)], "source_id long, target_id long")
+    assert [(r.source_id, r.target_id) for r in admission.census(edges, lane, seen).collect()] == [(1, 2)]
