@@ -1,6 +1,6 @@
 """Queries of search, fusion, vectors, graphs and evaluation, each with its SQL.
 
-A query's text is the first three words of a benchmark item.
+A query's text is a whole benchmark item.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ def r6(c):
 
 
 def questions(t: Tables) -> DataFrame:
-    return t.raw("benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(T.tokens(F.col("text")), 1, 3), " ").alias("query"))
+    return t.raw("benchmark").select(F.col("item_id").alias("query_id"), F.array_join(T.tokens(F.col("text")), " ").alias("query"))
 
 
 def live_index(t: Tables) -> DataFrame:
@@ -41,7 +41,7 @@ def live_index(t: Tables) -> DataFrame:
 
 _TOK = textual.TOK
 _STOP = textual._STOP
-QUESTIONS_SQL = f"""questions AS (SELECT item_id AS query_id, array_to_string(list_slice({_TOK.format(x='text')}, 1, 3), ' ') AS query FROM benchmark),
+QUESTIONS_SQL = f"""questions AS (SELECT item_id AS query_id, array_to_string({_TOK.format(x='text')}, ' ') AS query FROM benchmark),
 qd AS (SELECT query_id, list_distinct({_TOK.format(x='query')}) AS w FROM questions),
 qt AS (SELECT query_id, CASE WHEN len(list_filter(w, lambda x: x NOT IN ({_STOP}))) > 0 THEN list_filter(w, lambda x: x NOT IN ({_STOP})) ELSE w END AS terms FROM qd),
 prefixes AS (SELECT query_id, unnest(terms) AS prefix, len(terms) AS n_terms FROM qt)"""
