@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, langid, licenses, tokencount, toxicity, urlrank, vptree, warc
+from . import bpe, decontaminate, jaccard, langid, licenses, repeats, sortmeans, tokencount, toxicity, urlrank, vptree, warc, whiten
 from .common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -136,6 +136,22 @@ def op10_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.counts(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector along the 32 main components, each scaled to variance one."""
+    return whiten.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of passages that stand elsewhere as well."""
+    done = repeats.remove(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_sortmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every vector after three rounds from sixteen fixed vectors."""
+    return sortmeans.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_langid": op2_langid,
@@ -147,5 +163,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_urlrank": op8_urlrank,
     "op9_licenses": op9_licenses,
     "op10_tokencount": op10_tokencount,
+    "op11_whiten": op11_whiten,
+    "op12_repeats": op12_repeats,
+    "op13_sortmeans": op13_sortmeans,
 }
-ORACLE: dict[str, str] = {"op3_jaccard": OP3_SQL, "op5_warc": OP5_SQL, "op7_vptree": OP7_SQL, "op8_urlrank": urlrank.oracle()}
+ORACLE: dict[str, str] = {"op3_jaccard": OP3_SQL, "op5_warc": OP5_SQL, "op7_vptree": OP7_SQL, "op8_urlrank": urlrank.oracle(), "op13_sortmeans": sortmeans.oracle()}
