@@ -7,8 +7,19 @@ from pyspark.sql import functions as F
 
 from .scoring import BASELINES
 
-#: Words that a query does without if it has others.
-STOPWORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "how", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "what", "when", "where", "which", "who", "why", "with"]
+# Words that a query does without if it has others.
+STOPWORDS = (
+    "a an the how what when where why which who whom whose am is are was were be been being do does did has have had can could will would shall should may might must "
+    "to of in on at for with from by about into over under through between during against above below up down out off again further "
+    "and or not but if because as until while so than then it its this that these those i me my we us our you your he him his she her they them their "
+    "itself himself herself themselves actually really just also very there here all any both each few more most other some such no nor only own same too s t"
+).split()
+
+# Words that begin sentences and name nothing.
+NOT_NAMES = (
+    "the a an this that these those it we i he she they you me him her us them and but or not is was are were be been being have has had "
+    "do does did will would should could can may might must shall in on at to for of with by from if then else when while where how why all any some no one two"
+).split()
 
 
 #: White space within ASCII, alike in all engines.

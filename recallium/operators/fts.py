@@ -36,19 +36,26 @@ def expand(prefixes: DataFrame, terms: DataFrame) -> DataFrame:
     return cut.join(wanted, "prefix")
 
 
-def search(queries: DataFrame, indexed: DataFrame, *, match_all: bool = True) -> DataFrame:
-    """(query_id, doc_id, bm25): documents that have all (or any) of a query's prefixes.
+def matches(queries: DataFrame, indexed: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """(query_id, n_terms, doc_id, bm25, hit): documents that have any of a query's prefixes, and how many.
 
-    The frequency of a prefix in a document is that of all its terms. Scores are positive.
+    The frequency of a prefix in a document is that of all its terms. Scores are positive. ``stats``
+    is one row (n_docs, avgdl), where it is known without the index.
     """
     prefixes = query_prefixes(queries)
-    stats = indexed.select("doc_id", "dl").distinct().agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    if stats is None:
+        stats = indexed.select("doc_id", "dl").distinct().agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
     hits = indexed.join(expand(prefixes, indexed), "term").groupBy("prefix", "doc_id", "dl").agg(F.sum("tf").alias("tf"))
     df = hits.groupBy("prefix").agg(F.count("*").alias("df"))
     weighted = hits.join(df, "prefix").crossJoin(F.broadcast(stats))  # stats is one row
     idf = F.greatest(F.lit(1e-6), F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     weighted = weighted.select("prefix", "doc_id", (idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).alias("w"))
-    found = prefixes.join(weighted, "prefix").groupBy("query_id", "n_terms", "doc_id").agg(F.sum("w").alias("bm25"), F.count("*").alias("hit"))
+    return prefixes.join(weighted, "prefix").groupBy("query_id", "n_terms", "doc_id").agg(F.sum("w").alias("bm25"), F.count("*").alias("hit"))
+
+
+def search(queries: DataFrame, indexed: DataFrame, *, match_all: bool = True, stats: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, bm25): documents that have all (or any) of a query's prefixes."""
+    found = matches(queries, indexed, stats)
     return found.where("hit = n_terms" if match_all else "hit > 0").select("query_id", "doc_id", "bm25")
 
 

@@ -26,7 +26,7 @@ def trigram_counts(text: Column) -> Column:
 def anchors(text: Column) -> Column:
     """Capitalised words that aren't stopwords, lower-cased."""
     words = F.array_distinct(F.transform(distinct_words(text, CAPITALISED), F.lower))
-    return F.filter(words, lambda w: ~w.isin(T.STOPWORDS))
+    return F.filter(words, lambda w: ~w.isin(T.NOT_NAMES))
 
 
 def diverging(a: Column, b: Column) -> Column:

@@ -124,6 +124,7 @@ def fragments(t: Tables) -> DataFrame:
     return chunk.explode_fragments(t.documents)
 
 
+_NOT_NAMES = ", ".join(f"'{w}'" for w in T.NOT_NAMES)
 _NEG = r"regexp_matches(lower({x}), '(^|[^a-z])(not|no|never|none|cannot|without|nicht|kein|pas|jamais|nunca)([^a-z]|$)')"
 _NUM = r"list_transform(regexp_extract_all({x}, '[0-9][0-9,]*(?:[.][0-9]+)?'), lambda n: replace(n, ',', ''))"
 
@@ -135,7 +136,7 @@ def contradictions(t: Tables) -> DataFrame:
 
 
 def _anchors(x: str) -> str:
-    return f"list_filter(list_distinct(list_transform(list_filter(regexp_extract_all({x}, '{extract.WORD}'), lambda w: regexp_matches(w, '{extract.CAPITALISED}')), lambda w: lower(w))), lambda w: w NOT IN ({textual._STOP}))"
+    return f"list_filter(list_distinct(list_transform(list_filter(regexp_extract_all({x}, '{extract.WORD}'), lambda w: regexp_matches(w, '{extract.CAPITALISED}')), lambda w: lower(w))), lambda w: w NOT IN ({_NOT_NAMES}))"
 
 
 

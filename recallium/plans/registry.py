@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import admission, extraction, maintenance, profiles, relational, search, selection, streams, surfaces, textual
+from . import admission, extraction, fulltext, maintenance, profiles, relational, search, selection, streams, surfaces, textual
 
-MODULES = [relational, textual, search, extraction, surfaces, maintenance, profiles, selection, admission, streams]
+MODULES = [relational, textual, search, fulltext, extraction, surfaces, maintenance, profiles, selection, admission, streams]
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: s for m in MODULES for name, s in m.ORACLE.items()}

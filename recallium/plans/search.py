@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import scoring as S
 from ..functions import text as T
 from ..operators import diversity, fts, fusion, graph, vector
+from ..operators.postings import Postings
+from ..sources.shared import shared_dir, state_of
 from ..sources.tables import Tables, sql
 from . import textual
 
@@ -35,8 +37,29 @@ def questions(t: Tables) -> DataFrame:
     return t.raw("benchmark").select(F.col("item_id").alias("query_id"), F.array_join(T.tokens(F.col("text")), " ").alias("query"))
 
 
-def live_index(t: Tables) -> DataFrame:
-    return fts.index(t.documents.where("active and not invalidated"))
+def fields(docs: DataFrame) -> DataFrame:
+    """What the full-text index holds of documents."""
+    return docs.select(F.col("id").alias("doc_id"), F.concat_ws("/", "collection", "path").alias("path"), "title", "body", (F.col("active") & ~F.col("invalidated")).alias("alive"))
+
+
+def live_index(t: Tables, stemmed: bool = False) -> Postings:
+    """The index of the stored documents in the shared folder, written by the first query that needs it
+    and read by all others as long as the tables are the same."""
+    state = state_of(t.spark, *(f"{t.folder}/{name}.parquet" for name in ("documents", "labels")))
+    index = Postings(t.spark, f"{shared_dir(t.spark)}/recallium-postings-{'stems' if stemmed else 'words'}-{state}", stemmed)
+    if not index.segments():
+        index.apply(fields(t.documents), 0)
+    return index
+
+
+def matches(t: Tables) -> DataFrame:
+    """(query_id, n_terms, doc_id, bm25, hit) of the stated queries."""
+    index = live_index(t)
+    return fts.matches(questions(t), index.bodies(), index.body_statistics())
+
+
+def matches_all(t: Tables) -> DataFrame:
+    return matches(t).where("hit = n_terms")
 
 
 _TOK = textual.TOK
@@ -59,7 +82,7 @@ found AS (SELECT query_id, n_terms, doc_id, sum(w)::DOUBLE AS bm25, count(*) AS
 
 @query("bm25_search", "docs", f"WITH {BM25_SQL} SELECT query_id, doc_id, round(bm25, 6) AS bm25, round(bm25 / (1 + bm25), 6) AS score FROM found WHERE hit = n_terms")
 def bm25_search(t: Tables) -> DataFrame:
-    return fts.search(questions(t), live_index(t)).select("query_id", "doc_id", r6(F.col("bm25")).alias("bm25"), r6(fts.bounded_score(F.col("bm25"))).alias("score"))
+    return matches_all(t).select("query_id", "doc_id", r6(F.col("bm25")).alias("bm25"), r6(fts.bounded_score(F.col("bm25"))).alias("score"))
 
 
 @query("bm25_any", "docs", f"WITH {BM25_SQL}, r AS (SELECT query_id, doc_id, bm25, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, doc_id) AS r FROM found) SELECT query_id, doc_id, round(bm25, 6) AS bm25, r AS rank FROM r WHERE r <= 30")
@@ -69,12 +92,12 @@ def bm25_any(t: Tables) -> DataFrame:
 
 def any_ranked(t: Tables, n: int = 30) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("bm25", 9)), "doc_id")
-    return fts.search(questions(t), live_index(t), match_all=False).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    return matches(t).select("query_id", "doc_id", "bm25").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
 @query("term_statistics", "docs", f"WITH {INDEX_SQL} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM idx GROUP BY term")
 def term_statistics(t: Tables) -> DataFrame:
-    return live_index(t).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return live_index(t).bodies().groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 SEARCH_SQL = f"""{textual.SCORED_SQL}, {BM25_SQL},
@@ -89,7 +112,7 @@ def search(t: Tables) -> DataFrame:
 
 
 def searched(t: Tables) -> DataFrame:
-    hits = fts.search(questions(t), live_index(t)).withColumn("search", fts.bounded_score(F.col("bm25")))
+    hits = matches_all(t).select("query_id", "doc_id", "bm25").withColumn("search", fts.bounded_score(F.col("bm25")))
     d = hits.join(textual.scored(t), F.col("doc_id") == F.col("id"))
     s = S.composite(F.col("search"), F.col("recency"), F.col("sure"), "query") * textual.factors()
     return d.withColumn("score", S.pinned(s, F.col("pinned"))).select("query_id", "doc_id", "search", "score")
@@ -114,10 +137,7 @@ fused AS (SELECT query_id, doc_id, sum(CASE list WHEN 'bm25' THEN 2 ELSE 1 END /
 
 def overlap(t: Tables) -> DataFrame:
     """(query_id, doc_id, hit, n_terms): how many of a query's prefixes a document has."""
-    prefixes = fts.query_prefixes(questions(t))
-    index = live_index(t)
-    met = index.join(fts.expand(prefixes, index), "term").select("prefix", "doc_id").distinct()
-    return prefixes.join(met, "prefix").groupBy("query_id", "n_terms", "doc_id").agg(F.count("*").alias("hit"))
+    return matches(t).select("query_id", "n_terms", "doc_id", "hit")
 
 
 def lists(t: Tables) -> DataFrame:

@@ -2,15 +2,31 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 
 from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset, as in tests, a folder of its own."""
+    """``spark.checkpoint.dir`` of the session; where it is unset in local mode, as in tests, a folder
+    of its own. On a cluster a missing setting is an error, as executors would write to disks of their own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="recallium-shared-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
+
+
+def state_of(spark: SparkSession, *paths: str) -> str:
+    """A digest of what stored tables hold by their size, number of files and last change."""
+    found = []
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        system = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        size, status = system.getContentSummary(path), system.getFileStatus(path)
+        newest = max([status.getModificationTime(), *(s.getModificationTime() for s in system.listStatus(path))])
+        found.append(f"{name} {size.getLength()} {size.getFileCount()} {newest}")
+    return hashlib.sha256("\n".join(found).encode()).hexdigest()[:32]

@@ -17,6 +17,7 @@ from .functions import scoring as S
 from .functions import text as T
 from .functions import time as Time
 from .operators import fts, fusion, graph, lifecycle, models, vector
+from .operators.postings import Postings
 from .sources import readers
 
 DOCUMENTS = (
@@ -129,15 +130,15 @@ class Vault:
         which = F.col("id").isin(doc_ids)
         self._update(which, access_count=F.col("access_count") + 1, last_accessed_at=F.lit(self._stamp).cast("timestamp"))
 
-    def sweep(self, days: int, by_type: dict[str, int | None] | None = None, dry_run: bool = True) -> list[int]:
-        """Archive what has gone stale; the ids that are, or would be, archived."""
+    def sweep(self, days: int, by_type: dict[str, int | None] | None = None, dry_run: bool = True) -> DataFrame:
+        """Archive what has gone stale; the documents (id) that are, or would be, archived."""
         due = lifecycle.archive_candidates(self.table("documents"), self._stamp, days, by_type or {}).select("id", F.lit(True).alias("_due"))
         if not dry_run:
             d = self.table("documents").join(due, "id", "left")
             hit = F.col("_due").isNotNull()
             self.commit("documents", d.withColumn("active", F.col("active") & ~hit).withColumn("archived_at", F.when(hit, F.lit(self._stamp).cast("timestamp")).otherwise(F.col("archived_at"))).withColumn("reason", F.when(hit, "archive").otherwise(F.col("reason"))))
-            return sorted(r["id"] for r in self.table("documents").where(F.col("archived_at") == F.lit(self._stamp).cast("timestamp")).select("id").collect())
-        return sorted(r["id"] for r in due.collect())
+            return self.table("documents").where(F.col("archived_at") == F.lit(self._stamp).cast("timestamp")).select("id")
+        return due.select("id")
 
     def restore(self, collection: str | None = None) -> None:
         """Bring archived documents back."""
@@ -199,9 +200,17 @@ class Vault:
         s = S.composite(F.col("search"), S.recency(age, life), sure, "query") * S.quality_factor(F.col("quality_score")) * S.length_factor(F.length("body")) * S.frequency_factor(F.col("revision_count"), F.col("duplicate_count"))
         return d.select("doc_id", "collection", "path", "title", "search", S.pinned(s, F.col("pinned")).alias("score"))
 
+    def postings(self) -> Postings:
+        """The full-text index, brought in line with the documents."""
+        index = Postings(self.spark, f"{self.folder}/_postings")
+        index.sync(self.table("documents").select(F.col("id").alias("doc_id"), F.concat_ws("/", "collection", "path").alias("path"), "title", "body", lifecycle.eligible().alias("alive")))
+        return index
+
     def search(self, text: str, limit: int = 10) -> DataFrame:
         """By words."""
-        hits = fts.search(self._query(text), fts.index(self._live())).select("doc_id", fts.bounded_score(F.col("bm25")).alias("search"))
+        index = self.postings()
+        found = fts.search(self._query(text), index.bodies(), stats=index.body_statistics())
+        hits = found.join(self._live().select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", fts.bounded_score(F.col("bm25")).alias("search"))
         return self._composite(hits).orderBy(F.desc("score"), "doc_id").limit(limit)
 
     def vsearch(self, text: str, limit: int = 10, least: float = 0.3) -> DataFrame:

@@ -48,8 +48,8 @@ def test_a_vault_from_index_to_backup(spark, tmp_path):
 
     vault.touch([ids["handoff.md"]])
     later = Vault(spark, str(tmp_path / "vault"), datetime(2026, 1, 1))
-    assert later.sweep(30) == [ids["handoff.md"]]
-    assert later.sweep(30, dry_run=False) == [ids["handoff.md"]]
+    assert [r["id"] for r in later.sweep(30).collect()] == [ids["handoff.md"]]
+    assert [r["id"] for r in later.sweep(30, dry_run=False).collect()] == [ids["handoff.md"]]
     assert later.search("done").count() == 0
     later.restore()
     assert later.search("done").count() == 1
