@@ -20,6 +20,8 @@ from .segments import Segments
 #: The weight of a hit by field.
 WEIGHTS = {"path": 10.0, "title": 1.0, "body": 1.0}
 FIELDS = list(WEIGHTS)
+#: Grows when what is written changes, so that indexes of before are left alone.
+FORMAT = 2
 
 
 def signature() -> Column:
@@ -48,12 +50,16 @@ class Postings(Segments):
         version = self.next_version(version)
         if version is None:
             return None
-        words = {f: F.when(F.col("alive"), T.tokens(F.coalesce(f, F.lit("")))).otherwise(F.array().cast("array<string>")) for f in FIELDS}
         given = changes.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("alive", F.lit(False)).alias("alive"), *FIELDS)
-        heads = given.select("doc_id", F.lit(version).cast("long").alias("version"), "alive", signature().alias("signature"), *(F.size(words[f]).cast("long").alias(f"{f}_length") for f in FIELDS))
-        whole = sum(F.size(words[f]) for f in FIELDS)
-        each = F.concat(*(_marked(words[f], k) for k, f in enumerate(FIELDS)))
-        hits = given.where("alive").select("doc_id", whole.cast("long").alias("length"), F.size(words["body"]).cast("long").alias("body_length"), F.explode(each).alias("hit"))
+        # Texts are split once: sizes are taken before words are exploded.
+        split = [F.when(F.col("alive"), T.tokens(F.coalesce(f, F.lit("")))).otherwise(F.array().cast("array<string>")).alias(f"{f}_words") for f in FIELDS]
+        words = given.select("doc_id", "alive", signature().alias("signature"), *split)
+        sized = words.withColumns({f"{f}_length": F.size(f"{f}_words").cast("long") for f in FIELDS})
+        heads = sized.select("doc_id", F.lit(version).cast("long").alias("version"), "alive", "signature", *(f"{f}_length" for f in FIELDS))
+        each = F.concat(*(_marked(F.col(f"{f}_words"), k) for k, f in enumerate(FIELDS)))
+        whole = reduce(Column.__add__, (F.col(f"{f}_length") for f in FIELDS))
+        laid = sized.where("alive").select("doc_id", whole.alias("length"), "body_length", each.alias("each"))
+        hits = laid.select("doc_id", "length", "body_length", F.explode("each").alias("hit"))
         counts = [F.count_if(F.col("hit.field") == k).alias(f"{f}_tf") for k, f in enumerate(FIELDS)]
         found = hits.groupBy("doc_id", "length", "body_length", F.col("hit.term").alias("term")).agg(*counts)
         if self.stemmed:

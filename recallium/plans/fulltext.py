@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import fts, postings
-from ..operators.postings import Postings
+from ..operators.postings import FORMAT, Postings
 from ..sources.shared import shared_dir, state_of
 from ..sources.tables import Tables, sql
 from . import textual
@@ -78,7 +78,7 @@ _CHANGED = "CASE WHEN id % 5 = 1 THEN title || ' ' || lang ELSE body END"
 def postings_after_changes(t: Tables) -> DataFrame:
     """Statistics of terms after a fifth of the documents were rewritten and a seventh removed, by increments and a merge."""
     state = state_of(t.spark, *(f"{t.folder}/{name}.parquet" for name in ("documents", "labels")))
-    index = Postings(t.spark, f"{shared_dir(t.spark)}/recallium-postings-changes-{state}")
+    index = Postings(t.spark, f"{shared_dir(t.spark)}/recallium-postings-{FORMAT}-changes-{state}")
     if not index.segments():
         d = fields(t.documents).join(t.documents.select(F.col("id").alias("doc_id"), "lang"), "doc_id")
         index.apply(d, 0)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring as S
 from ..functions import text as T
 from ..operators import diversity, fts, fusion, graph, vector
-from ..operators.postings import Postings
+from ..operators.postings import FORMAT, Postings
 from ..sources.shared import shared_dir, state_of
 from ..sources.tables import Tables, sql
 from . import textual
@@ -46,7 +46,7 @@ def live_index(t: Tables, stemmed: bool = False) -> Postings:
     """The index of the stored documents in the shared folder, written by the first query that needs it
     and read by all others as long as the tables are the same."""
     state = state_of(t.spark, *(f"{t.folder}/{name}.parquet" for name in ("documents", "labels")))
-    index = Postings(t.spark, f"{shared_dir(t.spark)}/recallium-postings-{'stems' if stemmed else 'words'}-{state}", stemmed)
+    index = Postings(t.spark, f"{shared_dir(t.spark)}/recallium-postings-{FORMAT}-{'stems' if stemmed else 'words'}-{state}", stemmed)
     if not index.segments():
         index.apply(fields(t.documents), 0)
     return index
