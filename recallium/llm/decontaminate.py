@@ -75,13 +75,18 @@ def block_masks(k: int) -> list[int]:
     return [sum(1 << b for b in bits) for n in range(most + 1) for bits in combinations(range(size), n)]
 
 
+def _changed(value: Column, masks: list[int]) -> Column:
+    """The value changed by each mask; the masks are one constant array, whose size isn't code."""
+    return F.transform(F.lit(masks), lambda m: value.bitwiseXOR(m))
+
+
 def block_keys(fingerprint: Column, variants: bool = False) -> Column:
     """Block number and value in one integer, for each block; with ``variants`` also for all
     values that :func:`block_masks` allows."""
     parts = []
     for k, (low, high) in enumerate(zip(_EDGES, _EDGES[1:], strict=False)):
         value = F.shiftrightunsigned(fingerprint, low).bitwiseAND(F.lit((1 << (high - low)) - 1)).cast("int").bitwiseOR(F.lit(k << 24))
-        parts.append(F.array(*(value.bitwiseXOR(F.lit(m)) for m in block_masks(k))) if variants else F.array(value))
+        parts.append(_changed(value, block_masks(k)) if variants else F.array(value))
     return F.concat(*parts)
 
 
