@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import if_few, materialize, release
 
 SKIPPABLE = 0x184D2A5D
 ARCHIVE_BYTES = 8 << 20
@@ -176,12 +176,14 @@ def write(pages: DataFrame, *, key: str = "page_id", url: str = "url", payload:
     """The archives of all rows as a written table (archive, content).
 
     Which records revisit which is found by digest: an aggregation that keeps, of payloads that
-    several rows have, the largest id, joined back on the digest (Spark splits skewed ones).
+    several rows have, the largest id, joined back on the digest. These digests are written first: few of
+    them go to every task, so that payloads stay where they are; more are joined by a shuffle.
     """
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload).cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("length", F.octet_length("payload"))
     again = rows.where(F.col("length") >= REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1 and last is not null").select("digest", "last")
-    marked = rows.join(again, "digest", "left").withColumn("refers_to", F.when(~F.col("last").eqNullSafe(F.col("page_id")), F.col("last")))
+    again = materialize(again, "again")
+    marked = rows.join(if_few(again), "digest", "left").withColumn("refers_to", F.when(~F.col("last").eqNullSafe(F.col("page_id")), F.col("last")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -202,7 +204,9 @@ def write(pages: DataFrame, *, key: str = "page_id", url: str = "url", payload:
             yield closed()
 
     made = marked.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(b"")).alias("payload"), F.col("length").cast("long"), "digest", "refers_to")
-    return materialize(made.mapInArrow(run, "archive string, content binary"), "archives")
+    archives = materialize(made.mapInArrow(run, "archive string, content binary"), "archives")
+    release(again)
+    return archives
 
 
 def read(archives: DataFrame) -> DataFrame:
