@@ -9,7 +9,9 @@ A page links to the host of every url in it (by the same rule as for pages' own
 host also ends at white space, quotes and angle brackets) and to the dotted host names that it
 mentions. Hosts in the graph are those with pages and linked ones that a rule fits: a linked host
 without pages is judged as its home page ``/`` would be, so that who links to blocked hosts is
-distrusted though these were never fetched. Edges are counted by pair of hosts before anything else,
+distrusted though these were never fetched. Links to other hosts take their share of what a page hands on
+out of the graph; names without ``://`` before them count only if they are hosts of the graph, as version
+numbers and names of files look alike. Edges are counted by pair of hosts before anything else,
 so a host that holds a third of all pages is aggregated in each task first. Both ranks are carried
 along in one join a round; after ``ROUNDS`` rounds at most ``DAMPING ** ROUNDS`` = 2 % of a rank is
 still on its way. Ranks are scaled to 1 a host on average and rounded there, whatever the number of
@@ -61,11 +63,13 @@ def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
 
 
 def ranks(edges: DataFrame, hosts: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(host, trust, distrust) from edges (src, dst, n) and seeds hosts(host, good, bad); ranks
-    sum up to the number of hosts."""
+    """(host, trust, distrust) from edges (src, dst, n) and seeds hosts(host, good, bad).
+
+    Edges to hosts that aren't among ``hosts`` take their share of what their source hands on, and it is lost."""
     out = edges.groupBy("src").agg(F.sum("n").alias("out"))
-    into = edges.groupBy("dst").agg(F.sum("n").alias("into"))
-    shares = materialize(edges.join(out, "src").join(into, "dst").select("src", "dst", (F.col("n") / F.col("out")).alias("forth"), (F.col("n") / F.col("into")).alias("back")), "edges")
+    known = edges.join(hosts.select(F.col("host").alias("dst")), "dst", "left_semi")
+    into = known.groupBy("dst").agg(F.sum("n").alias("into"))
+    shares = materialize(known.join(out, "src").join(into, "dst").select("src", "dst", (F.col("n") / F.col("out")).alias("forth"), (F.col("n") / F.col("into")).alias("back")), "edges")
     # What flows along an edge goes to its end as trust and to its beginning as distrust.
     none = F.lit(0.0)
     ways = shares.select(F.col("src").alias("host"), F.col("dst").alias("to"), F.col("forth").alias("t"), none.alias("d")).unionByName(shares.select(F.col("dst").alias("host"), F.col("src").alias("to"), none.alias("t"), F.col("back").alias("d")))
@@ -88,13 +92,17 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, threshold
     rule, by_rule = fitting_rule(F.col("host"), F.col("path"), rules)
     split = split.withColumn("rule", rule).withColumn("by_rule", by_rule)
     lower = F.translate("html", _UPPER, _LOWER)
-    linked = F.array_distinct(F.concat(F.regexp_extract_all(lower, F.lit(MENTION), F.lit(0)), F.regexp_extract_all(lower, F.lit(TARGET), F.lit(1))))
-    links = materialize(split.where("host <> ''").select(F.col("host").alias("src"), F.explode(linked).alias("dst")).where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n")), "links")
+    pointed = split.where("host <> ''").select(F.col("host").alias("src"), F.array_distinct(F.regexp_extract_all(lower, F.lit(TARGET), F.lit(1))).alias("targets"), F.array_distinct(F.regexp_extract_all(lower, F.lit(MENTION), F.lit(0))).alias("mentions"))
+    each = F.concat(F.transform("targets", lambda h: F.struct(h.alias("dst"), F.lit(True).alias("direct"))), F.transform(F.array_except("mentions", "targets"), lambda h: F.struct(h.alias("dst"), F.lit(False).alias("direct"))))
+    links = pointed.select("src", F.inline(each)).where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"), F.max("direct").alias("direct"))
+    links = materialize(links, "links")
     fetched = split.where("host <> ''").groupBy("host").agg((F.count_if(F.col("by_rule") == "allow") / F.count("*")).alias("good"), (F.count_if(F.col("by_rule") == "block") / F.count("*")).alias("bad"))
     home = fitting_rule(F.col("host"), F.lit("/"), rules)[1]
     only_linked = links.select(F.col("dst").alias("host")).distinct().join(fetched.select("host"), "host", "left_anti").select("host", home.alias("of_home")).where("of_home is not null")
     hosts = materialize(fetched.unionByName(only_linked.select("host", *((F.col("of_home") == what).cast("double").alias(c) for what, c in (("allow", "good"), ("block", "bad"))))), "hosts")
-    found = ranks(links.join(hosts.select(F.col("host").alias("dst")), "dst", "left_semi"), hosts)
+    # What only looks like a host, as version numbers and names of files do, is a link if there is such a host.
+    meant = links.join(hosts.select(F.col("host").alias("dst"), F.lit(True).alias("known")), "dst", "left").where("direct or known").select("src", "dst", "n")
+    found = ranks(meant, hosts)
     return (
         split.drop("html")
         .join(found, "host", "left")
@@ -121,12 +129,13 @@ def oracle() -> str:
 split0 AS (SELECT page_id, html, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM rest),
 split AS (SELECT *, {case(lambda r: r[1] + r[2], "path")} AS rule, {case(lambda r: r[0], "path")} AS by_rule FROM split0),
 lower AS (SELECT host, translate(html, '{_UPPER}', '{_LOWER}') AS t FROM split WHERE host <> ''),
-links AS (SELECT host AS src, unnest(list_distinct(list_concat(regexp_extract_all(t, '{MENTION}'), regexp_extract_all(t, '{target}', 1)))) AS dst FROM lower),
+pointed AS (SELECT host AS src, list_distinct(regexp_extract_all(t, '{target}', 1)) AS targets, list_distinct(regexp_extract_all(t, '{MENTION}')) AS mentions FROM lower),
+links AS (SELECT src, unnest(targets) AS dst, true AS direct FROM pointed UNION ALL SELECT src, unnest(list_filter(mentions, lambda x: NOT list_contains(targets, x))), false FROM pointed),
 fetched AS (SELECT host, count(*) FILTER (by_rule = 'allow') / count(*) AS good, count(*) FILTER (by_rule = 'block') / count(*) AS bad FROM split WHERE host <> '' GROUP BY host),
 others AS (SELECT host, {case(lambda r: r[0], "'/'")} AS of_home FROM (SELECT DISTINCT dst AS host FROM links WHERE src <> dst AND dst NOT IN (SELECT host FROM fetched))),
 hosts AS (SELECT * FROM fetched UNION ALL SELECT host, (of_home = 'allow')::INT::DOUBLE, (of_home = 'block')::INT::DOUBLE FROM others WHERE of_home IS NOT NULL),
-edges AS (SELECT src, dst, count(*) AS n FROM links WHERE src <> dst AND dst IN (SELECT host FROM hosts) GROUP BY src, dst),
-weighted AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS forth, n / sum(n) OVER (PARTITION BY dst) AS back FROM edges),
+edges AS (SELECT src, dst, count(*) AS n, dst IN (SELECT host FROM hosts) AS known FROM links WHERE src <> dst GROUP BY src, dst HAVING bool_or(direct) OR known),
+weighted AS (SELECT * FROM (SELECT src, dst, known, n / sum(n) OVER (PARTITION BY src) AS forth, n / sum(n) OVER (PARTITION BY dst) AS back FROM edges) WHERE known),
 seeds AS (SELECT host, coalesce(round(good * count(*) OVER () / nullif(sum(good) OVER (), 0), {DIGITS}), 0) AS good, coalesce(round(bad * count(*) OVER () / nullif(sum(bad) OVER (), 0), {DIGITS}), 0) AS bad FROM hosts),
 r0 AS (SELECT host, good AS trust, bad AS distrust FROM seeds)"""
     ]

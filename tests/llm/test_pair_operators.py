@@ -335,6 +335,37 @@ def test_links_to_hosts_that_were_never_fetched(spark):
     assert (found[5]["rule"], found[6]["host"], found[6]["verdict"]) == ("net/", "", "allow")
 
 
+def test_links_to_unknown_hosts_take_their_share(spark):
+    edges = [("a", "b", 1), ("a", "x.unknown", 99), ("b", "a", 1)]
+    hosts = [("a", 1.0, 0.0), ("b", 0.0, 1.0)]
+    found = urlrank.ranks(spark.createDataFrame(edges, "src string, dst string, n long"), spark.createDataFrame(hosts, "host string, good double, bad double"), rounds=1)
+    ranks = {r["host"]: (r["trust"], r["distrust"]) for r in found.collect()}
+    assert set(ranks) == {"a", "b"} and ranks["b"][0] == pytest.approx(0.85 * 2 / 100)
+    page = ["https://good.org/fr/", 'see http://one.test/ http://two.test/ http://bad.net/ version 1.2.3 readme.txt bad.net']
+    rows = [(1, *page), (2, "https://other.test/", "bad.net readme.txt")]
+    judged = {r["page_id"]: r for r in urlrank.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    # good.org hands a third of its trust to bad.net; other.test's only link is bad.net, by mention.
+    assert judged[2]["distrust"] > 0 and judged[2]["verdict"] == "block" and judged[1]["rule"] == "org/fr/"
+
+
+def test_archives_are_closed_by_size_and_read_alike(spark, monkeypatch):
+    pages = [(i, f"http://h.test/{i}", ("<p>%d</p>" % (i % 4)) * 400) for i in range(30)]
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 5000)
+    held = [warc.record(i, u, t.encode(), len(t), hashlib.sha1(t.encode()).hexdigest(), None) for i, u, t in pages]
+    content = warc.archive(held)
+    assert [warc.parse(r)["page_id"] for r in warc.records_of(content)] == list(range(30))
+    found = {r["page_id"]: r for r in warc.read(warc.write(spark.createDataFrame(pages, "page_id long, url string, html string"))).collect()}
+    assert len(found) == 30 and sum(r["record_type"] == "response" for r in found.values()) == 4
+
+
+def test_block_variants_are_data(spark):
+    prints = spark.createDataFrame([(x,) for x in (0, -1, 0x123456789ABCDEF0 - (1 << 62))], "p long")
+    rows = prints.select("p", decontaminate.block_keys(F.col("p"), variants=True).alias("keys"), decontaminate.block_keys(F.col("p")).alias("own")).collect()
+    masks = [decontaminate.block_masks(k) for k in range(decontaminate.BLOCKS)]
+    for r in rows:
+        assert r["keys"] == [own ^ m for own, of_block in zip(r["own"], masks, strict=True) for m in of_block]
+
+
 def test_pipeline_against_its_parts(spark):
     import corpus_pipeline
     from recallium.llm import bpe, langid, toxicity
