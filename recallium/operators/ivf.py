@@ -115,7 +115,7 @@ def search(queries: DataFrame, index: Lists, k: int, *, allowed: DataFrame | Non
             into[r["list"]] = r["count"]
     # So many chunks has each list; a query goes to all chunks of the lists that it probes.
     chunks = np.maximum(-(-counts // vector.CHUNK_ROWS), 1)
-    centroids = index.centroids
+    centroids, raises = index.centroids, 0 if allowed is None else n_lists.bit_length()
 
     def planned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,7 +126,7 @@ def search(queries: DataFrame, index: Lists, k: int, *, allowed: DataFrame | Non
                 has, seen = np.cumsum(counts[order], axis=1), np.cumsum(totals[order], axis=1)
                 need = np.minimum((has < k + 1).sum(axis=1) + 1, n_lists)  # one more, as a query may be a row itself
                 probed = np.full(len(v), probes)
-                for _ in range(n_lists.bit_length() if allowed is not None else 0):
+                for _ in range(raises):
                     probed = np.where(probed < need, np.minimum(3 * probed, n_lists), probed)
                 at = np.arange(len(v))
                 short = probed > most

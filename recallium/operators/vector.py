@@ -84,6 +84,35 @@ def knn(queries: DataFrame, rows: DataFrame, k: int, *, same_block: str | None =
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def nearest_documents(queries: DataFrame, fragments: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, similarity, rank) of the k documents with the fragment most like each query (doc_id, v),
+    itself left out. ``fragments`` has doc_id, seq and v.
+
+    Of the fragments of a document in a chunk only the best leaves it, so a document of many fragments doesn't
+    push others out.
+    """
+    held = _chunks(fragments.select("doc_id", "v"), None)
+    q = _chunks(queries, None).select("block", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("chunk").alias("q_chunk"))
+    met = q.repartition("block", "q_chunk").join(held, "block").select("q_ids", "q_data", "ids", "data")
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                own, ids = np.frombuffer(r["q_ids"], dtype=np.int64), np.frombuffer(r["ids"], dtype=np.int64)
+                near = np.round(np.frombuffer(r["q_data"]).reshape(len(own), -1) @ np.frombuffer(r["data"]).reshape(len(ids), -1).T, 9)
+                near[own[:, None] == ids[None, :]] = -np.inf
+                starts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))  # ids ascend
+                near, docs = np.maximum.reduceat(near, starts, axis=1), ids[starts]
+                at = np.argsort(-near, axis=1, kind="stable")[:, :k]
+                score = np.take_along_axis(near, at, axis=1).ravel()
+                keep = score > -np.inf
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, at.shape[1])[keep]), pa.array(docs[at].ravel()[keep]), pa.array(score[keep])], names=["query_id", "doc_id", "similarity"])
+
+    found = met.mapInArrow(best, "query_id long, doc_id long, similarity double").groupBy("query_id", "doc_id").agg(F.max("similarity").alias("similarity"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "doc_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def semantic_edges(rows: DataFrame, threshold: float, top: int) -> DataFrame:
     """Edges from each document to its most similar ones above a similarity."""
     return knn(rows, rows, top).where(F.col("similarity") > threshold).select(F.col("query_id").alias("source_id"), F.col("doc_id").alias("target_id"), F.col("similarity").alias("weight"))
