@@ -30,18 +30,19 @@ def build(names: list[str]) -> ahocorasick.Automaton | None:
     return found
 
 
-def names_in(text: str, automaton: ahocorasick.Automaton) -> list[str]:
-    """The names that stand in a lower-cased text with no ASCII letter or digit right before or after them."""
+def names_in(text: str, automaton: ahocorasick.Automaton, boundaries: bool = True) -> list[str]:
+    """The names that stand in a lower-cased text; with ``boundaries``, with no ASCII letter or digit right before
+    or after them."""
     hits, n = set(), len(text)
     for end, name in automaton.iter(text):
         start = end - len(name)
-        if (start < 0 or text[start] not in _ALNUM) and (end + 1 == n or text[end + 1] not in _ALNUM):
+        if not boundaries or (start < 0 or text[start] not in _ALNUM) and (end + 1 == n or text[end + 1] not in _ALNUM):
             hits.add(name)
     return sorted(hits)
 
 
-def scan(texts: DataFrame, names: DataFrame, keys: list[str], text: str = "text", part: int = PART) -> DataFrame:
-    """(*keys, name) for each lower-cased name (column ``name``) that stands in a text at word boundaries.
+def scan(texts: DataFrame, names: DataFrame, keys: list[str], text: str = "text", part: int = PART, boundaries: bool = True) -> DataFrame:
+    """(*keys, name) for each lower-cased name (column ``name``) that stands in a text, at word boundaries or anywhere.
 
     Null and empty names and texts hold nothing; a text that holds a name often has it once.
     """
@@ -54,7 +55,7 @@ def scan(texts: DataFrame, names: DataFrame, keys: list[str], text: str = "text"
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = build(own)
             for batch in batches:
-                found = [names_in(t, automaton) if t and automaton else [] for t in batch.column("_text").to_pylist()]
+                found = [names_in(t, automaton, boundaries) if t and automaton else [] for t in batch.column("_text").to_pylist()]
                 rows = pa.array([i for i, f in enumerate(found) for _ in f], type=pa.int32())
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).take(rows) for k in keys), pa.array([n for f in found for n in f], type=pa.string())], names=[*keys, "name"])
 

@@ -2,19 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_dir
-
-
-def _written(df: DataFrame) -> DataFrame:
-    """A table in the shared folder: lineage ends there."""
-    path = f"{shared_dir(df.sparkSession)}/recallium-chain-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..sources.shared import written
 
 
 def apply_contradictions(held: DataFrame, found: DataFrame, stamp) -> DataFrame:
@@ -46,13 +37,13 @@ def last_members(links: DataFrame) -> DataFrame:
     ends = once.select(F.col("next").alias("id")).distinct().join(once.select("id"), "id", "left_anti")
     # at: where the pointer points; open: whether that member has a next of its own.
     state = once.join(ends.select(F.col("id").alias("next"), F.lit(True).alias("end")), "next", "left")
-    state = _written(state.select("id", F.col("next").alias("at"), F.lit(1).cast("long").alias("steps"), F.col("end").isNull().alias("open")))
+    state = written(state.select("id", F.col("next").alias("at"), F.lit(1).cast("long").alias("steps"), F.col("end").isNull().alias("open")))
     left, most = state.where("open").count(), state.count()
     reach = 1
     while left and reach <= most:
         ahead = state.select(F.col("id").alias("at"), F.col("at").alias("further"), F.col("steps").alias("more"), F.col("open").alias("still"))
         moved = state.where("open").join(ahead, "at").select("id", F.col("further").alias("at"), (F.col("steps") + F.col("more")).alias("steps"), F.col("still").alias("open"))
-        state = _written(state.where("not open").unionByName(moved))
+        state = written(state.where("not open").unionByName(moved))
         left, reach = state.where("open").count(), 2 * reach
     done = state.select("id", F.when(~F.col("open"), F.col("at")).alias("last"), F.when(~F.col("open"), F.col("steps")).alias("steps"), F.col("open").alias("cyclic"))
     return done.unionByName(ends.select("id", F.col("id").alias("last"), F.lit(0).cast("long").alias("steps"), F.lit(False).alias("cyclic")))

@@ -5,11 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHUNK_CHARS, CHUNK_OVERLAP = 3200, 480
+CHUNK_TOKENS, SHARED_TOKENS = 800, 120
 LARGE, LARGE_OVERLAP = 2000, 200
 MOST_FRAGMENTS = 500
 
@@ -54,6 +56,45 @@ def chunk(text: str, size: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP) -> l
     return out
 
 
+_TOKEN = re.compile(r"\s*[^\W_]{1,8}|\s*[^\w\s]|\s*_|\s+")
+
+
+def token_ends(text: str) -> np.ndarray:
+    """Where tokens end: pieces of words of up to eight letters or digits, and marks, each with the white
+    space before it. A model's tokenizer that gives such offsets may take its place."""
+    return np.fromiter((m.end() for m in _TOKEN.finditer(text)), dtype=np.int64)
+
+
+def chunk_by_tokens(text: str, ends: np.ndarray, size: int = CHUNK_TOKENS, overlap: int = SHARED_TOKENS) -> list[tuple[int, int, str]]:
+    """(start, tokens, chunk): chunks of at most ``size`` tokens that end softly in their last 30 % and share
+    ``overlap`` tokens with the next; together they cover the text. ``ends`` are the ends of its tokens, the
+    last one the text's own."""
+    if len(ends) <= size:
+        return [(0, len(ends), text)]
+    out, first = [], 0
+    while True:
+        start, last = (int(ends[first - 1]) if first else 0), first + size
+        if last >= len(ends):
+            out.append((start, len(ends) - first, text[start:]))
+            return out
+        high = int(ends[last - 1])
+        end = break_before(text, start + (high - start) * 7 // 10, high)
+        whole = int(np.searchsorted(ends, end, side="right"))  # tokens that end there or before
+        touched = int(np.searchsorted(ends, end, side="left")) + 1
+        out.append((start, touched - first, text[start:end]))
+        first = max(whole - overlap, first + 1)
+
+
+def explode_token_chunks(docs: DataFrame, key: str = "id", text: str = "body", size: int = CHUNK_TOKENS, overlap: int = SHARED_TOKENS) -> DataFrame:
+    """(doc_id, seq, start, tokens, chunk) of every document; a null text is an empty one."""
+
+    @F.pandas_udf("array<struct<start: long, tokens: long, chunk: string>>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"start": s, "tokens": n, "chunk": c} for s, n, c in chunk_by_tokens(t or "", token_ends(t or ""), size, overlap)])
+
+    return docs.select(F.col(key).alias("doc_id"), F.posexplode(cut(F.col(text))).alias("seq", "c")).select("doc_id", "seq", "c.start", "c.tokens", "c.chunk")
+
+
 def fragments(text: str) -> list[tuple[str, str | None, str]]:
     """(type, label, text): the whole, then sections under headings, lists, code blocks and header
     lines; large ones cut; ``MOST_FRAGMENTS`` at most, the format's limit."""

@@ -119,6 +119,12 @@ def chunks(t: Tables) -> DataFrame:
     return chunk.explode_chunks(t.documents)
 
 
+@query("token_chunks")
+def token_chunks(t: Tables) -> DataFrame:
+    """Chunks of at most 800 tokens that share 120."""
+    return chunk.explode_token_chunks(t.documents)
+
+
 @query("fragments")
 def fragments(t: Tables) -> DataFrame:
     return chunk.explode_fragments(t.documents)

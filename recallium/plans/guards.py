@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import intent
 from ..functions import text as T
-from ..operators import automaton, chains, setjoin
+from ..operators import automaton, cascade, chains, fts, setjoin, vector
+from ..sources.shared import written
 from ..sources.tables import Tables, sql
-from . import search
+from . import search, textual
 
 QUERIES, ORACLE = {}, {}
 
@@ -154,3 +155,57 @@ def link_targets(t: Tables) -> DataFrame:
     links = d.select("id", "collection", first.alias("key"))
     owners = names.where("key <> ''").groupBy("collection", "key").agg(F.count_distinct("doc_id").alias("n"))
     return chains.link_targets(links, names).join(owners, ["collection", "key"], "left").select("id", "target", F.coalesce("n", F.lit(0)).alias("owners"))
+
+
+_TOK = textual.TOK
+_MEANT_SQL = f"""live AS (SELECT id AS doc_id, collection || '/' || path AS place, title, modified_at FROM docs WHERE active AND NOT invalidated),
+q AS (SELECT id AS query_id, CASE id // 25 % 4 WHEN 0 THEN path WHEN 1 THEN array_to_string({_TOK.format(x='body')}[5:8], ' ') WHEN 2 THEN array_to_string({_TOK.format(x='title')}[1:4], ' ') || ' zzqx zzqy' ELSE 'zzqw' || id END AS query FROM docs WHERE id % 25 = 0),
+pathed AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM q JOIN live ON contains(lower(place), lower(regexp_replace(query, '^/', ''))) WHERE contains(query, '/') OR suffix(query, '.md')),
+left1 AS (SELECT * FROM q WHERE query_id NOT IN (SELECT query_id FROM pathed)),
+{search.BM25_SQL.replace(search.BM25_SQL[: search.BM25_SQL.index("qd AS")], "questions AS (SELECT query_id, query FROM left1)," + chr(10))},
+f AS (SELECT query_id, doc_id, bm25 / (1 + bm25) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25 / (1 + bm25), 9) DESC, doc_id) AS rank FROM found WHERE hit = n_terms),
+left2 AS (SELECT * FROM left1 WHERE query_id NOT IN (SELECT query_id FROM f)),
+tw AS (SELECT query_id, list_filter(list_transform(list_filter(string_split_regex(lower(query), '[\t-\r ]+'), lambda w: length(w) >= 2 AND w NOT IN ({", ".join(f"'{w}'" for w in cascade.STOPWORDS)})), lambda w: regexp_replace(w, '[^a-z0-9]', '', 'g')), lambda w: length(w) >= 2) AS w FROM left2),
+tm AS (SELECT query_id, doc_id, modified_at, len(w) AS n, len(list_filter(w, lambda x: contains(lower(title), x))) AS hit FROM tw, live WHERE len(w) > 0),
+h AS (SELECT query_id, doc_id, hit / n AS score, row_number() OVER (PARTITION BY query_id ORDER BY hit DESC, modified_at DESC, doc_id) AS rank FROM tm WHERE hit >= greatest(2, ceil(n / 2))),
+left3 AS (SELECT * FROM left2 WHERE query_id NOT IN (SELECT query_id FROM h)),
+v AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT l.query_id, b.doc_id, {search._SIM} AS score FROM left3 l JOIN vectors a ON a.doc_id = l.query_id JOIN vectors b ON b.doc_id <> a.doc_id WHERE b.doc_id IN (SELECT doc_id FROM live))),
+meant AS (SELECT query_id, doc_id, 1.0 - (rank - 1) * 0.05 AS score, 'path' AS source, rank FROM pathed WHERE rank <= 5 UNION ALL SELECT query_id, doc_id, score, 'fts', rank FROM f WHERE rank <= 5 UNION ALL SELECT query_id, doc_id, score, 'title', rank FROM h WHERE rank <= 5 UNION ALL SELECT query_id, doc_id, score, 'vec', rank FROM v WHERE rank <= 5)"""
+
+
+def asked(t: Tables) -> DataFrame:
+    """What users might say to mean a document: its path, words of its text, of its title among others, or none of its words."""
+    d = t.documents.where("id % 25 = 0")
+    kind, words, title = F.floor(F.col("id") / 25) % 4, T.tokens(F.col("body")), T.tokens(F.col("title"))
+    said = F.when(kind == 0, F.col("path")).when(kind == 1, F.array_join(F.slice(words, 5, 4), " ")).when(kind == 2, F.concat(F.array_join(F.slice(title, 1, 4), " "), F.lit(" zzqx zzqy"))).otherwise(F.concat(F.lit("zzqw"), F.col("id").cast("string")))
+    return d.select(F.col("id").alias("query_id"), said.alias("query"))
+
+
+def meant(t: Tables) -> DataFrame:
+    live = t.documents.where("active and not invalidated").select(F.col("id").alias("doc_id"), F.concat_ws("/", "collection", "path").alias("place"), "title", "modified_at")
+    index = search.live_index(t)
+
+    def by_words(queries: DataFrame) -> DataFrame:
+        return fts.search(queries, index.bodies(), stats=index.body_statistics()).select("query_id", "doc_id", fts.bounded_score(F.col("bm25")).alias("score"))
+
+    def by_vector(queries: DataFrame) -> DataFrame:
+        own = t.vectors.join(queries.select(F.col("query_id").alias("doc_id")), "doc_id", "left_semi")
+        return vector.knn(own, t.vectors.join(live, "doc_id", "left_semi"), cascade.LIMIT).select("query_id", "doc_id", F.col("similarity").alias("score"))
+
+    return cascade.candidates(asked(t), live, by_words, by_vector, written)
+
+
+@query("lifecycle_candidates", "docs vectors", f"WITH {_MEANT_SQL} SELECT query_id, doc_id, round(score, 6)::DOUBLE AS score, source, rank::INTEGER AS rank FROM meant")
+def lifecycle_candidates(t: Tables) -> DataFrame:
+    """What users mean to change, by the first way that finds anything."""
+    return meant(t).withColumn("score", F.round("score", 6))
+
+
+@query(
+    "lifecycle_targets", "docs vectors",
+    f"""WITH {_MEANT_SQL}, b AS (SELECT q.query_id, a.doc_id, coalesce(a.score >= 0.7 OR round(a.score - s.score, 9) >= 0.2, false) AS confident FROM q LEFT JOIN meant a ON a.query_id = q.query_id AND a.rank = 1 LEFT JOIN meant s ON s.query_id = q.query_id AND s.rank = 2)
+    SELECT query_id, doc_id, confident, CASE WHEN doc_id IS NULL THEN 'not found' ELSE 'target' END AS outcome, CASE WHEN doc_id IS NULL THEN 'not found' WHEN confident THEN 'target' ELSE 'ambiguous' END AS outcome_if_destructive FROM b""",
+)
+def lifecycle_targets(t: Tables) -> DataFrame:
+    """Which document is meant, and whether it is certain enough to be forgotten."""
+    return cascade.targets(asked(t), meant(t))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,3 +31,10 @@ def state_of(spark: SparkSession, *paths: str) -> str:
         newest = max([status.getModificationTime(), *(s.getModificationTime() for s in system.listStatus(path))])
         found.append(f"{name} {size.getLength()} {size.getFileCount()} {newest}")
     return hashlib.sha256("\n".join(found).encode()).hexdigest()[:32]
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The same rows as a table in the shared folder: lineage ends there."""
+    path = f"{shared_dir(df.sparkSession)}/recallium-step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
