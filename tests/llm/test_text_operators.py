@@ -239,6 +239,47 @@ def test_token_counts_against_plain_dynamic_programming(spark):
         assert found[i]["n_tokens"] == sum(plain(tokencount.MARK + w) for w in (t or "").split())
 
 
+def segmentations(word, pieces):
+    if not word:
+        yield []
+    if word:
+        yield from (["?", *rest] for rest in segmentations(word[1:], pieces))  # an unknown character
+    for n in range(1, len(word) + 1):
+        if word[:n] in pieces:
+            yield from ([word[:n], *rest] for rest in segmentations(word[n:], pieces))
+
+
+def test_expected_counts_against_all_segmentations():
+    model = tokencount.Unigrams({p: -k / 3 for k, p in enumerate(["a", "b", "ab", "ba", "aba", "bb", "abab"], 1)})
+    words = sorted({"": 2, "a": 3, "ab": 1, "abab": 5, "ababab": 2, "abcab": 4, "bbbab": 1, "c": 1}.items())
+    counted, likelihood = tokencount.expected(model, words)
+    want, total = {}, 0.0
+    for word, times in words:
+        ways = [(s, np.exp(sum(model.scores.get(p, model.unknown) for p in s))) for s in segmentations(word, model.scores)]
+        whole = sum(w for _, w in ways)
+        total += times * np.log(whole)
+        for s, w in ways:
+            for p in s:
+                if p in model.scores:
+                    want[p] = want.get(p, 0) + times * w / whole
+    assert counted == pytest.approx(want) and likelihood == pytest.approx(total)
+
+
+def test_rounds_of_the_fit_raise_the_likelihood(spark):
+    path = public_tokenizers.path(queries.PIECES)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    held = sorted({(w[:100], 1) for r in docs.where("doc_id % 5 = 0").collect() for w in tokencount.pre_tokens(r["text"] or "")})
+    size = sum(len(w.encode()) for w, _ in held)
+    bits = [-tokencount.expected(tokencount.Unigrams(tokencount.fit(docs.where("doc_id % 5 <> 0"), path, rows=80, rounds=n)), held)[1] / np.log(2) / size for n in (0, 1, 3)]
+    assert bits[2] < bits[1] < bits[0]
+    scores = tokencount.fit(docs, path, rows=80, rounds=1)
+    assert sum(map(np.exp, scores.values())) == pytest.approx(1)
+    nothing = list(tokencount.fit(docs.limit(0), path).values())
+    assert nothing == pytest.approx([-np.log(len(scores))] * len(scores))
+    found = tokencount.counts(docs, path, scores).collect()
+    assert len(found) == docs.count() and all(r["n_tokens"] >= r["n_pre_tokens"] for r in found)
+
+
 def test_token_counts_of_long_pre_tokens(spark):
     path = public_tokenizers.path(queries.PIECES)
     model = tokencount.unigrams(path)
