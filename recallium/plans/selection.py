@@ -155,10 +155,10 @@ def orphaned_prefixes(t: Tables) -> DataFrame:
     return seen.join(F.broadcast(covered), "prefix", "left_anti").select("collection", "prefix")
 
 
-@query("uncovered_collections", "docs", "SELECT collection AS name, count(*) FILTER (active) AS doc_count FROM docs WHERE collection NOT IN (SELECT collection FROM docs WHERE pinned) GROUP BY collection")
+@query("uncovered_collections", "docs", "SELECT collection AS name, count(*) FILTER (active) AS doc_count FROM docs WHERE collection NOT IN (SELECT collection FROM docs WHERE pinned AND content_type = 'hub') GROUP BY collection")
 def uncovered_collections(t: Tables) -> DataFrame:
-    """Collections without a context of their own (a pinned document), with the number of their documents."""
-    has = t.documents.where("pinned").select("collection").distinct()
+    """Collections without a context of their own (a pinned hub), with the number of their documents."""
+    has = t.documents.where("pinned and content_type = 'hub'").select("collection").distinct()
     return t.documents.join(has, "collection", "left_anti").groupBy(F.col("collection").alias("name")).agg(F.count_if("active").alias("doc_count"))
 
 

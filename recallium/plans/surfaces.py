@@ -60,20 +60,20 @@ def snippets(t: Tables) -> DataFrame:
 
 @query("similar_documents")
 def similar_documents(t: Tables) -> DataFrame:
-    """Documents like those of the stated queries, by vectors of their titles and beginnings."""
-    d = t.documents.where("active").select(F.col("id").alias("doc_id"), F.concat_ws("\n", "title", F.substring("body", 1, 1000)).alias("text"))
+    """Documents like those of the stated queries, by vectors of their titles and whole texts."""
+    d = t.documents.where("active").select(F.col("id").alias("doc_id"), F.concat_ws("\n", "title", "body").alias("text"))
     v = models.embed(d, "text", models.HashedWords()).drop("text")
     return vector.knn(v.where("doc_id % 100 = 0"), v, 10)
 
 
 @query("fragment_search")
 def fragment_search(t: Tables) -> DataFrame:
-    """Vector search over chunks, each document with its nearest chunk."""
-    pieces = chunk.explode_chunks(t.documents.where("active")).select((F.col("doc_id") * 10_000 + F.col("seq")).alias("doc_id"), "chunk")
+    """Vector search over chunks: the ten documents with the chunk most like each question."""
+    pieces = chunk.explode_chunks(t.documents.where("active")).select("doc_id", "seq", "chunk")
     v = models.embed(pieces, "chunk", models.HashedWords()).drop("chunk")
+    # Questions get negative ids, so that none is taken for a document.
     asked = models.embed(searching.questions(t).select((-1 - F.col("query_id")).alias("doc_id"), "query"), "query", models.HashedWords()).drop("query")
-    near = vector.knn(asked, v, 30).select((-1 - F.col("query_id")).alias("query_id"), F.floor(F.col("doc_id") / 10_000).alias("doc_id"), (1 - F.col("similarity")).alias("distance"))
-    return vector.per_document(near)
+    return vector.nearest_documents(asked, v, 10).select((-1 - F.col("query_id")).alias("query_id"), "doc_id", F.col("similarity").alias("score"), "rank")
 
 
 @query("expanded_queries", "", f"WITH {searching.QUESTIONS_SQL} SELECT q.query_id, unnest(['lex', 'vec', 'hyde']) AS type, unnest([array_to_string(list_sort(terms), ' '), query, 'Information about ' || query]) AS text FROM questions q JOIN qt USING (query_id)")

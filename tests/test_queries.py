@@ -41,5 +41,5 @@ def test_query_equals_its_sql(spark, duck, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE)))
-def test_query_without_sql_runs(spark, name):
-    assert registry.QUERIES[name](spark, SF).count() >= 0
+def test_query_without_sql_has_rows(spark, name):
+    assert registry.QUERIES[name](spark, SF).count() > 0
