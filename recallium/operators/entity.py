@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .graph import pairs_within
 
 #: The bucket in which names of a type are resolved against each other.
 BUCKETS = {"person": "person", "organization": "org", "team": "org", "project": "project", "service": "project", "location": "location", "tool": "tool"}
@@ -53,9 +54,9 @@ def entity_edges(mentions: DataFrame, least_idf: float = 3.0) -> DataFrame:
 
     Entities of an idf below ``least_idf`` make no pairs of their own but count among the shared.
     """
-    rare = mentions.join(idf(mentions).where(F.col("idf") >= least_idf), "entity")
-    a, b = rare.select("entity", "idf", F.col("doc_id").alias("a")), rare.select("entity", F.col("doc_id").alias("b"))
-    pairs = a.join(b, "entity").where("a < b").groupBy("a", "b").agg(F.max("idf").alias("idf"))
+    weights = idf(mentions).where(F.col("idf") >= least_idf)
+    rare = mentions.join(weights.select("entity"), "entity", "left_semi")
+    pairs = pairs_within(rare, "entity", "doc_id").join(weights, "entity").groupBy("a", "b").agg(F.max("idf").alias("idf"))
     own = mentions.groupBy("doc_id").agg(F.collect_set("entity").alias("own"))
     pairs = pairs.join(own.select(F.col("doc_id").alias("a"), F.col("own").alias("x")), "a").join(own.select(F.col("doc_id").alias("b"), F.col("own").alias("y")), "b")
     shared = pairs.withColumn("shared", F.size(F.array_intersect("x", "y")).cast("long"))

@@ -32,10 +32,27 @@ def temporal_edges(docs: DataFrame, by: str | None = None) -> DataFrame:
     return inner.unionByName(across)
 
 
+#: Groups of more members are paired chunk by chunk, in tasks of their own.
+SPLIT = 64
+
+
+def pairs_within(rows: DataFrame, group: str, item: str, split: int = SPLIT) -> DataFrame:
+    """(group, a, b): the pairs of items of each group, a < b.
+
+    A group of more than ``split`` members is dealt into chunks by a hash of the item, and each two chunks meet
+    under a key of their own, so a long group is spread over tasks. The result holds every pair all the same.
+    """
+    long = rows.groupBy(group).agg(F.ceil(F.count("*") / split).cast("int").alias("_m")).where("_m > 1")
+    dealt = rows.select(group, item).join(long, group, "left").withColumn("_m", F.coalesce("_m", F.lit(1))).withColumn("_c", F.pmod(F.xxhash64(item), F.col("_m")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_m") - 1))
+    left = dealt.select(group, F.col(item).alias("a"), F.col("_c").alias("_x"), every.alias("_y"))
+    right = dealt.select(group, F.col(item).alias("b"), F.col("_c").alias("_y"), every.alias("_x"))
+    return left.join(right, [group, "_x", "_y"]).where("a < b").select(group, "a", "b")
+
+
 def pair_counts(baskets: DataFrame, basket: str = "basket", item: str = "item") -> DataFrame:
-    """(a, b, n): in how many baskets two items occur together, a < b. Baskets are short lists."""
-    left, right = baskets.select(basket, F.col(item).alias("a")), baskets.select(basket, F.col(item).alias("b"))
-    return left.join(right, basket).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    """(a, b, n): in how many baskets two items occur together, a < b."""
+    return pairs_within(baskets, basket, item).groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
 def merged(edges: DataFrame, how: str) -> DataFrame:

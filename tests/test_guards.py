@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from recallium.operators import automaton, chains, setjoin
+from recallium.operators import automaton, chains, graph, setjoin
 
 
 def test_names_at_boundaries(spark):
@@ -84,3 +84,11 @@ def test_ambiguous_links_lead_nowhere(spark):
     links = spark.createDataFrame([("c", k) for k in ("one", "two", "both", "", None, "none")] + [("d", "one")], "collection string, key string")
     got = {(r["collection"], r["key"]): r["target"] for r in chains.link_targets(links, names).collect()}
     assert got == {("c", "one"): 1, ("c", "two"): 2, ("c", "both"): None, ("c", ""): None, ("c", None): None, ("c", "none"): None, ("d", "one"): 5}
+
+
+@pytest.mark.parametrize("split", [1, 7, 64])
+def test_pairs_of_long_groups(spark, split):
+    rows = [(1, i) for i in range(40)] + [(2, i) for i in range(3)] + [(3, 9), (None, 1), (None, 2)]
+    want = sorted((g, a, b) for g in (1, 2, 3) for x, a in rows for y, b in rows if x == y == g and a < b)
+    got = graph.pairs_within(spark.createDataFrame(rows, "g long, i long"), "g", "i", split)
+    assert sorted(map(tuple, got.collect())) == want
