@@ -54,27 +54,27 @@ _LONG = r"list_filter(list_distinct(string_split_regex(lower({x}), '[\t-\r ]+'))
 
 
 @query(
-    "similar_observations", "",
-    f"""WITH o AS (SELECT conv_id * 100 + turn AS id, role AS block, turn, {_LONG.format(x="coalesce(text, '')")} AS w FROM conversations),
-    p AS (SELECT a.id AS new_id, b.id AS held_id, b.w AS hw, len(list_intersect(a.w, b.w)) AS both_, len(a.w) AS m, len(b.w) AS n FROM o a JOIN o b ON a.block = b.block AND a.id <> b.id AND a.turn > 1 AND b.turn <= 1 AND len(a.w) > 0 AND len(b.w) > 0)
+    "similar_observations", "docs",
+    f"""WITH o AS (SELECT id, lang AS block, {_LONG.format(x='body')} AS w FROM docs WHERE active),
+    p AS (SELECT a.id AS new_id, b.id AS held_id, b.w AS hw, len(list_intersect(a.w, b.w)) AS both_, len(a.w) AS m, len(b.w) AS n FROM o a JOIN o b ON a.block = b.block AND a.id % 2 = 1 AND b.id % 2 = 0 AND len(a.w) > 0 AND len(b.w) > 0 AND 2 * len(a.w) > len(b.w) AND 2 * len(b.w) > len(a.w))
     SELECT new_id, held_id, round(jaccard, 6) AS jaccard FROM (SELECT new_id, min(held_id) AS held_id, both_ / (m + n - both_) AS jaccard FROM p WHERE 2 * both_ > m + n - both_ GROUP BY new_id, list_sort(hw), both_, m, n)""",
 )
 def similar_observations(t: Tables) -> DataFrame:
-    """Later turns and the first turns of their role of which they hold more than half; of equal ones the first."""
-    o = t.conversations.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("role").alias("block"), "turn", setjoin.long_words(F.coalesce("text", F.lit(""))).alias("words"))
-    found = setjoin.similar(o.where("turn > 1"), o.where("turn <= 1"), 0.5)
+    """Every other document as a new observation, and those of its language that share more than half of their words; of equal ones the first."""
+    o = t.documents.where("active").select("id", F.col("lang").alias("block"), setjoin.long_words(F.col("body")).alias("words"))
+    found = setjoin.similar(o.where("id % 2 = 1"), o.where("id % 2 = 0"), 0.5)
     return found.withColumn("jaccard", F.round("jaccard", 6))
 
 
 @query(
     "low_confidence_duplicates", "docs",
-    f"""WITH o AS (SELECT id, collection AS block, confidence, {_LONG.format(x='body')} AS w FROM docs WHERE active AND NOT invalidated),
+    f"""WITH o AS (SELECT id, lang AS block, confidence, {_LONG.format(x='body')} AS w FROM docs WHERE active AND NOT invalidated),
     p AS (SELECT a.id, b.id AS kept, len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) AS jaccard FROM o a JOIN o b ON a.block = b.block AND a.id <> b.id AND a.confidence < 0.4 AND b.confidence >= 0.4 AND len(a.w) > 0 AND len(b.w) > 0)
     SELECT id, kept, round(jaccard, 6) AS jaccard FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(jaccard, 9) DESC, kept) AS r FROM p WHERE jaccard >= 0.4 - 1e-9) WHERE r = 1""",
 )
 def low_confidence_duplicates(t: Tables) -> DataFrame:
-    """Documents of little confidence with the one of their collection that says most of the same and is to be kept."""
-    o = t.documents.where("active and not invalidated").select("id", F.col("collection").alias("block"), "confidence", setjoin.long_words(F.col("body")).alias("words"))
+    """Documents of little confidence with the one of their language that says most of the same and is to be kept."""
+    o = t.documents.where("active and not invalidated").select("id", F.col("lang").alias("block"), "confidence", setjoin.long_words(F.col("body")).alias("words"))
     found = setjoin.similar(o.where("confidence < 0.4"), o.where("confidence >= 0.4"), 0.4 - 1e-9)
     best = found.groupBy(F.col("new_id").alias("id")).agg(F.max(F.struct(F.round("jaccard", 9).alias("j"), (-F.col("held_id")).alias("kept"))).alias("b"))
     return best.select("id", (-F.col("b.kept")).alias("kept"), F.round("b.j", 6).alias("jaccard"))
