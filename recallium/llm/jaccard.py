@@ -285,7 +285,6 @@ def _near(pairs: DataFrame, sizes: DataFrame, percent: int = PERCENT) -> DataFra
             mask = pa.array([_may_link(a, b, i + j, percent) for a, b, i, j in zip(x, y, n, m, strict=True)], type=pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
         give_back()
-        give_back()
 
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y", "n", "m").mapInArrow(run, "a long, b long").distinct()
 
@@ -443,8 +442,10 @@ def join(df: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int
     docs = _narrow(df, key, text)
     sizes = materialize(_sizes(docs), "sizes")
     counts = np.zeros(BUCKETS, dtype=np.int64)
-    for bucket, n in sizes.where("bucket is not null").groupBy("bucket").agg(F.sum("n")).collect():
-        counts[bucket] = n
+    # At most BUCKETS rows, as columns: as rows they would take the driver a hundred times as much.
+    filled = sizes.where("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts[filled.column("bucket").to_numpy()] = filled.column("n").to_numpy()
+    del filled
     groups = materialize(_groups(_sent_blocks(docs, counts).repartition("key", "salt").sortWithinPartitions("key", "salt", "id")), "groups")
     known = sizes.where("bucket is null and id is not null and n > 0").drop("bucket")
     short = known.drop("sketch")
