@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import time as Time
 from ..operators import fusion, graph, lifecycle, proximity
+from ..sources.shared import few
 from ..sources.tables import NOW, Tables, sql
 from . import search as searching
 from . import textual
@@ -173,10 +174,10 @@ def meta_path_fusion(t: Tables) -> DataFrame:
 def traversal_merge(t: Tables) -> DataFrame:
     """Results of a traversal, relative to their best, put into a list: raised where they are in
     it already, at 0.8 where they are new."""
-    o = searching.overlap(t).withColumn("s", F.col("hit") / F.col("n_terms"))
-    n = o.select("query_id", "doc_id", (F.col("s") / F.max("s").over(Window.partitionBy("query_id"))).alias("n"))
-    both = searching.searched(t).select("query_id", "doc_id", "score").join(n, ["query_id", "doc_id"], "full")
-    return both.select("query_id", "doc_id", r6(F.when(F.col("score").isNull(), 0.8 * F.col("n")).when(F.col("n").isNull(), F.col("score")).otherwise(F.greatest("score", 1.1 * F.col("n")))).alias("score"))
+    o = searching.overlapping(t).withColumn("s", F.col("hit") / F.col("n_terms"))
+    best = few(o.groupBy("query_id").agg(F.max("s").alias("best")))
+    n = o.join(best, "query_id").withColumn("n", F.col("s") / F.col("best"))
+    return n.select("query_id", "doc_id", r6(F.when(F.col("score").isNull(), 0.8 * F.col("n")).otherwise(F.greatest("score", 1.1 * F.col("n")))).alias("score"))
 
 
 @query("co_activation_boost", "docs baskets", f"WITH {textual.SCORED_SQL}, r AS (SELECT id, collection, sure, row_number() OVER (PARTITION BY collection ORDER BY modified_at DESC, id) AS r, count(*) OVER (PARTITION BY collection) AS n FROM sure WHERE active), h AS (SELECT * FROM r WHERE r <= greatest(1, floor(n / 4))), p AS (SELECT a.item AS a, b.item AS b, count(*) AS c FROM baskets a JOIN baskets b ON a.basket = b.basket AND a.item <> b.item GROUP BY ALL), m AS (SELECT x.id, max(c) AS c FROM r x JOIN p ON p.b = x.id JOIN h ON h.id = p.a AND h.collection = x.collection WHERE x.r > greatest(1, floor(x.n / 4)) GROUP BY x.id) SELECT r.id, round(sure * (1 + least(coalesce(m.c, 0) / 10, 0.15)), 6) AS score FROM r LEFT JOIN m ON m.id = r.id")
@@ -237,7 +238,7 @@ def proximity_order(t: Tables) -> DataFrame:
     """The thirty best of each query, those first in which its words stand together."""
     bodies = t.documents.select(F.col("id").alias("doc_id"), "body")
     terms = searching.questions(t).select("query_id", T.query_terms(F.col("query")).alias("terms"))
-    top = searching.any_ranked(t).select("query_id", "doc_id", "rank").join(bodies, "doc_id").join(terms, "query_id")
+    top = bodies.join(few(searching.any_ranked(t).select("query_id", "doc_id", "rank").join(terms, "query_id")), "doc_id")
     return proximity.rerank(top.withColumn("words", T.tokens(F.col("body"))))
 
 
