@@ -341,3 +341,35 @@ def test_facts_links_and_witnesses(spark):
     lane = spark.createDataFrame([(1,), (2,), (2,), (None,)], "id long")
     seen = spark.createDataFrame([(2, 3)], "source_id long, target_id long")
     assert [(r.source_id, r.target_id) for r in admission.census(edges, lane, seen).collect()] == [(1, 2)]
+
+
+def test_neighbours_of_many_chunks_are_not_shuffled_by_pairs(spark, monkeypatch):
+    """Small chunks, ties and rows without partners: brute force agrees, and less than a row a pair of chunks moves."""
+    import numpy as np
+
+    from recallium.operators import vector
+
+    monkeypatch.setattr(vector, "CHUNK_ROWS", 8)
+    rng = np.random.default_rng(3)
+    v = rng.integers(-2, 3, (300, 3)).astype(float)
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(900, [1.0, 2.0]), (901, [2.0, 1.0]), (902, None), (903, [float("nan"), 1.0, 1.0])]
+    d = spark.createDataFrame(rows, "doc_id long, v array<double>")
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def moved():
+        found = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(found.apply(i).shuffleWriteBytes() for i in range(found.size()))
+
+    before = moved()
+    got = {}
+    for r in vector.knn(d, d, 7).collect():
+        got.setdefault(r["query_id"], []).append((-r["similarity"], r["doc_id"]))
+    pairs = len([1 for _ in range(300 // 8)]) ** 2
+    assert moved() - before < pairs * 8 * 3 * 8
+    n = np.linalg.norm(v, axis=1, keepdims=True)
+    u = np.divide(v, n, out=np.zeros_like(v), where=n > 0)
+    s = np.round(u @ u.T, 9)
+    for i in range(300):
+        want = sorted((-s[i, j], j) for j in range(300) if j != i)[:7]
+        assert [j for _, j in sorted(got[i])] == [j for _, j in want]
+    assert [j for _, j in got[900]] == [901]
