@@ -6,7 +6,7 @@ of tokens) are computed once a node, so words with a common beginning share that
 node stores its word's count; a document's count is the sum over its pre-tokens.
 
 Pieces come from a public vocabulary file. Their scores are log probabilities that :func:`fit` finds for them by
-expectation maximisation on a bounded sample, ``SAMPLE_ROWS`` texts that are first by a hash of them: forward and backward sums
+expectation maximisation on all texts: forward and backward sums
 run over the same kind of trie, each node and piece once for all words below it, and each round's expected
 counts, smoothed by ``SMOOTHING``, are the next round's probabilities. (The file's own scores, which hold without a fit, are ranks of merges and
 no probabilities.) For the fit, pre-tokens are cut into runs of ``FITTED`` characters. A segmentation's score is
@@ -41,7 +41,7 @@ LONGEST = 1000
 #: Counts kept between batches.
 CACHE_ENTRIES = 300_000
 #: Of the fit: texts sampled, rounds, what is added to each expected count, and the longest run of characters.
-SAMPLE_ROWS, FIT_ROUNDS, SMOOTHING, FITTED = 512, 4, 0.01, 100
+FIT_ROUNDS, SMOOTHING, FITTED = 4, 0.01, 100
 
 
 class Unigrams:
@@ -177,11 +177,11 @@ def maximised(model: Unigrams, counted: dict[str, float]) -> dict[str, float]:
     return {p: math.log((counted.get(p, 0.0) + SMOOTHING) / total) for p in model.scores}
 
 
-def fit(df: DataFrame, vocabulary_path: str, *, text: str = "text", rows: int = SAMPLE_ROWS, rounds: int = FIT_ROUNDS) -> dict[str, float]:
-    """Log probabilities of the file's pieces, fitted on a sample of ``rows`` texts."""
-    texts = df.select(F.col(text).alias("text"), F.xxhash64(text).alias("h")).where("text is not null")
-    share = 1.5 * (rows + 100) / max(texts.count(), 1)  # a hash below a limit keeps a few more than are wanted
-    likely = texts if share >= 1 else texts.where(F.col("h") < int((2 * share - 1) * (1 << 63)))
+def fit(df: DataFrame, vocabulary_path: str, *, text: str = "text", rows: int | None = None, rounds: int = FIT_ROUNDS) -> dict[str, float]:
+    """Log probabilities of the file's pieces, fitted on all texts, or on those ``rows`` that are first by a hash of them."""
+    texts = df.select(F.col(text).alias("text")).where("text is not null")
+    if rows is not None:
+        texts = texts.orderBy(F.xxhash64("text"), "text").limit(rows)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,8 +193,8 @@ def fit(df: DataFrame, vocabulary_path: str, *, text: str = "text", rows: int =
                 yield pa.RecordBatch.from_arrays([pa.array(words.keys(), type=pa.string()), pa.array(words.values(), type=pa.int64())], names=["word", "n"])
         give_back()
 
-    counted = likely.orderBy("h", "text").limit(rows).select("text").repartition(8).mapInArrow(split, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    words = materialize(counted.repartitionByRange(8, "word").sortWithinPartitions("word"), "words")
+    counted = texts.mapInArrow(split, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = materialize(counted.repartitionByRange(max(8, df.sparkSession.sparkContext.defaultParallelism), "word").sortWithinPartitions("word"), "words")
     pieces = unigrams(vocabulary_path).scores
     scores = dict.fromkeys(pieces, -math.log(max(len(pieces), 1)))
     for _ in range(rounds):

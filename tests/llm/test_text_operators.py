@@ -302,3 +302,17 @@ def test_token_counts_of_long_pre_tokens(spark):
 def test_empty_tables(spark, op):
     assert op(rows(spark, [])).collect() == []
     assert op(rows(spark, TEXTS).withColumn("doc_id", F.lit(None).cast("long"))).count() == len(TEXTS)
+
+
+def test_pieces_are_fitted_on_every_text(spark):
+    """A word that stands in one text of many counts, whatever the text's hash."""
+    from pyspark.sql import functions as F
+
+    from recallium.llm import queries
+
+    path = public_tokenizers.path(queries.PIECES)
+    common = spark.range(600).select(F.concat(F.lit("common words here "), F.col("id").cast("string")).alias("text"))
+    some = tokencount.fit(common, path, rounds=1)
+    every = tokencount.fit(common.union(common.limit(1).select(F.lit("garden " * 50).alias("text"))), path, rounds=1)
+    piece = tokencount.MARK + "garden"
+    assert every[piece] > some[piece] + 1
