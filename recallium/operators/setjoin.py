@@ -1,16 +1,33 @@
-"""Pairs of similar sets of words by prefixes.
+"""Pairs of similar sets of words, counted chunk by chunk.
 
-Words are ordered from the rarest on. Two sets with a Jaccard index above t must share a word among the first
-n - floor(t * n) of each, and their sizes lie within a factor t, so only rows that share such a prefix word and a
-near size meet; a common word is a prefix word of short sets only. Equal sets are one row until the end, so
-copies don't meet each other.
+Sets with a Jaccard index above t have sizes within a factor t, so sets are dealt to chunks by size and only chunks of near
+sizes meet. A chunk holds which of its sets have a word, by the word's 64-bit hash; for two chunks that gives the number of
+shared words of all their pairs at once (two words of one hash would count as one, two sets of one hash too): frequent words by a matrix product, others pair by pair. Chunks are read where they
+meet, and only similar pairs leave a task, so what is shuffled grows with the rows and not with their pairs. Equal sets are one
+row until the end, so copies don't meet each other.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
+#: Words and sets that a chunk holds at most (one larger set is a chunk of its own), and how much sizes differ in it.
+CHUNK_WORDS, CHUNK_SETS, STEP = 1 << 19, 2048, 1.2
+#: Chunks in a file: those of one file of each side meet in a task.
+FILE_CHUNKS = 8
+#: A word that at least this many pairs of sets share is counted by the matrix product.
+FREQUENT = 20_000
+_PAIRS = 1 << 21
+
 
 def long_words(text: Column) -> Column:
     """The distinct white-space words of more than three characters, lower-cased."""
@@ -23,35 +40,112 @@ def similar(new: DataFrame, held: DataFrame, above: float) -> DataFrame:
     Of held rows with equal words in a block the smallest id stands for all; a new row meets no held row of its own id.
     Rows without words meet none.
     """
-    both = [d.where(F.size("words") > 0).select("id", "block", F.array_sort("words").alias("words")) for d in (new, held)]
-    counts = both[0].unionByName(both[1]).select("block", F.explode("words").alias("word")).groupBy("block", "word").agg(F.count("*").alias("n"))
-
-    def prefixes(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        """Distinct sets (block, key, words), and (block, key, size, word) for the words of their prefixes."""
-        sets = rows.select("block", F.xxhash64("words").alias("key"), "words").groupBy("block", "key", "words").agg(F.lit(1).alias("_")).drop("_")
-        order = sets.select("block", "key", F.size("words").alias("size"), F.explode("words").alias("word")).join(counts, ["block", "word"])
-        ranked = order.groupBy("block", "key", "size").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("ordered"))
-        kept = F.slice("ordered", F.lit(1), F.col("size") - F.floor(F.lit(above) * F.col("size")).cast("int"))
-        out = ranked.select("block", F.col("key").alias(f"{name}_key"), F.col("size").alias(f"{name}_size"), F.explode(kept).alias("w"))
-        return sets.select("block", F.col("key").alias(f"{name}_key"), F.col("words").alias(f"{name}_words")), out.select("block", f"{name}_key", f"{name}_size", F.col("w.word").alias("word"))
-
-    (new_sets, a), (held_sets, b) = prefixes(both[0], "new"), prefixes(both[1], "held")
-    near = (F.col("new_size") * above < F.col("held_size")) & (F.col("held_size") * above < F.col("new_size"))
-    met = a.join(b, ["block", "word"]).where(near).select("block", "new_key", "held_key").distinct()
-    full = met.join(new_sets, ["block", "new_key"]).join(held_sets, ["block", "held_key"])
-    shared = F.size(F.array_intersect("new_words", "held_words"))
-    scored = full.withColumn("jaccard", shared / (F.size("new_words") + F.size("held_words") - shared)).where(F.col("jaccard") > above)
+    each = [written(d.where((F.size("words") > 0) & F.col("block").isNotNull()).select("id", F.col("block").cast("string").alias("block"), F.xxhash64(F.array_sort("words")).alias("set"), F.transform("words", lambda w: F.xxhash64(w)).alias("words"))) for d in (new, held)]
+    a, b = (_chunks(written(d.select("block", "set", "words").dropDuplicates(["block", "set"]))) for d in each)
+    near = written(_crossed(a, b, above).mapInArrow(_counted(above), "block string, new_set long, held_set long, jaccard double"))
     # Two held rows at most stand for equal sets: the smallest id, and the next one for a new row that is itself the smallest.
-    names = _least_two(both[1])
-    named = scored.join(names, (names["h_block"] == scored["block"]) & (names["h_words"] == scored["held_words"])).select("block", "new_words", "first", "second", "jaccard")
-    rows = both[0].select(F.col("id").alias("new_id"), F.col("block").alias("n_block"), F.col("words").alias("n_words"))
-    out = rows.join(named, (F.col("n_block") == F.col("block")) & (F.col("n_words") == F.col("new_words")))
-    held_id = F.when(F.col("first") == F.col("new_id"), F.col("second")).otherwise(F.col("first"))
-    return out.select("new_id", held_id.alias("held_id"), "jaccard").where("held_id is not null")
+    out = each[0].select("id", "block", F.col("set").alias("new_set")).join(near.join(_least_two(each[1]), ["block", "held_set"]), ["block", "new_set"])
+    held_id = F.when(F.col("first") == F.col("id"), F.col("second")).otherwise(F.col("first"))
+    return out.select(F.col("id").alias("new_id"), held_id.alias("held_id"), "jaccard").where("held_id is not null")
 
 
 def _least_two(rows: DataFrame) -> DataFrame:
-    """(h_block, h_words, first, second): the two smallest ids of equal sets, without gathering them."""
-    first = rows.groupBy("block", "words").agg(F.min("id").alias("first"))
-    rest = rows.join(first, ["block", "words"]).where("id > first").groupBy("block", "words").agg(F.min("id").alias("second"))
-    return first.join(rest, ["block", "words"], "left").select(F.col("block").alias("h_block"), F.col("words").alias("h_words"), "first", "second")
+    """(block, held_set, first, second): the two smallest ids of equal sets, without gathering them."""
+    rows = rows.select("block", F.col("set").alias("held_set"), "id")
+    first = rows.groupBy("block", "held_set").agg(F.min("id").alias("first"))
+    rest = rows.join(first, ["block", "held_set"]).where("id > first").groupBy("block", "held_set").agg(F.min("id").alias("second"))
+    return first.join(rest, ["block", "held_set"], "left")
+
+
+def _chunks(sets: DataFrame) -> DataFrame:
+    """A table of chunks: (block, low, high, sets, sizes, words, starts, rows), the last five as bytes. ``words`` ascend;
+    the sets with the i-th of them are ``rows[starts[i]:starts[i + 1]]``."""
+    sets = sets.withColumn("size", F.size("words")).withColumn("step", F.floor(F.log("size") / math.log(STEP)).cast("int"))
+    most = F.greatest(F.ceil(F.sum("size") / CHUNK_WORDS), F.ceil(F.count("*") / CHUNK_SETS))
+    counted = sets.groupBy("block", "step").agg(most.cast("int").alias("parts"))
+    n = counted.agg(F.coalesce(F.sum("parts"), F.lit(0))).first()[0]
+    files = max(sets.sparkSession.sparkContext.defaultParallelism, -(-n // FILE_CHUNKS))
+    dealt = sets.join(counted, ["block", "step"]).withColumn("part", F.pmod(F.xxhash64("set"), F.col("parts")))
+
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        sizes = pdf["size"].to_numpy(dtype=np.int32)
+        flat = np.concatenate(pdf["words"].to_list()).astype(np.int64)
+        rows = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        order = np.argsort(flat, kind="stable")
+        words, starts = np.unique(flat[order], return_index=True)
+        data = [pdf["set"].to_numpy(dtype=np.int64), sizes, words, np.append(starts, len(flat)).astype(np.int32), rows[order]]
+        return pd.DataFrame([[key[0], int(sizes.min()), int(sizes.max()), *(d.tobytes() for d in data)]], columns=["block", "low", "high", *_PARTS])
+
+    packed = dealt.repartition(files, "block", "step", "part").groupBy("block", "step", "part")
+    return written(packed.applyInPandas(pack, "block string, low int, high int, " + ", ".join(f"{p} binary" for p in _PARTS)))
+
+
+_PARTS = ["sets", "sizes", "words", "starts", "rows"]
+_KINDS = [np.int64, np.int32, np.int64, np.int32, np.int32]
+
+
+def _crossed(a: DataFrame, b: DataFrame, above: float) -> DataFrame:
+    """Chunks of new and held sets of one block and near sizes. As in :mod:`vector`, no condition is an equality, so chunks are
+    read where they meet."""
+    a, b = (d.select(*(F.col(c).alias(f"{side}_{c}") for c in d.columns)) for d, side in ((a, "a"), (b, "b")))
+    same = (F.col("a_block") <= F.col("b_block")) & (F.col("a_block") >= F.col("b_block"))
+    return a.join(b, same & (F.col("a_low") * above < F.col("b_high")) & (F.col("b_low") * above < F.col("a_high")))
+
+
+def _counted(above: float):
+    """The similar pairs of chunks that meet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                a, b = ([np.frombuffer(batch.column(f"{side}_{p}")[r].as_buffer(), dtype=k) for p, k in zip(_PARTS, _KINDS, strict=True)] for side in "ab")
+                row, col, jaccard = _similar(a, b, above)
+                block = pa.array([batch.column("a_block")[r].as_py()] * len(row), type=pa.string())
+                yield pa.RecordBatch.from_arrays([block, pa.array(a[0][row]), pa.array(b[0][col]), pa.array(jaccard)], names=["block", "new_set", "held_set", "jaccard"])
+
+    return run
+
+
+def _similar(a: list[np.ndarray], b: list[np.ndarray], above: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in two chunks of the pairs above a bound, and their Jaccard index."""
+    shared = _shared(a, b)
+    both = a[1][:, None] + b[1][None, :]
+    row, col = np.nonzero(shared * np.float32(1 + above) > both * np.float32(above) - 1)
+    n = shared[row, col].astype(np.int64)
+    jaccard = n / (both[row, col] - n)
+    keep = jaccard > above
+    return row[keep], col[keep], jaccard[keep]
+
+
+def _shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many words each set of one chunk shares with each of another."""
+    (_, a_sizes, a_words, a_starts, a_rows), (_, b_sizes, b_words, b_starts, b_rows) = a, b
+    at = np.minimum(np.searchsorted(b_words, a_words), len(b_words) - 1)
+    i = np.flatnonzero(b_words[at] == a_words)
+    j = at[i]
+    a_n, b_n = a_starts[i + 1] - a_starts[i], b_starts[j + 1] - b_starts[j]
+    pairs = a_n.astype(np.int64) * b_n
+    often = pairs >= FREQUENT
+    x, y = _having(a_starts, a_rows, i[often], len(a_sizes)), _having(b_starts, b_rows, j[often], len(b_sizes))
+    out = (x @ y.T).ravel()  # whole numbers below 2^24
+    i, j, b_n, pairs = i[~often], j[~often], b_n[~often].astype(np.int64), pairs[~often]
+    ends = np.cumsum(pairs)
+    start = 0
+    while start < len(i):
+        done = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + _PAIRS)))
+        word = np.repeat(np.arange(start, stop), pairs[start:stop])
+        within = np.arange(len(word)) - (ends - pairs - done)[word]
+        high, low = np.divmod(within, b_n[word])
+        place = a_rows[a_starts[i[word]] + high].astype(np.int64) * len(b_sizes) + b_rows[b_starts[j[word]] + low]
+        out += np.bincount(place, minlength=len(out)).astype(np.float32)
+        start = stop
+    return out.reshape(len(a_sizes), len(b_sizes))
+
+
+def _having(starts: np.ndarray, rows: np.ndarray, words: np.ndarray, n: int) -> np.ndarray:
+    """A matrix of which of n sets have which of some words."""
+    m = np.zeros((n, len(words)), dtype=np.float32)
+    for c, w in enumerate(words.tolist()):
+        m[rows[starts[w] : starts[w + 1]], c] = 1
+    return m

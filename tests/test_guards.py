@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +93,35 @@ def test_pairs_of_long_groups(spark, split):
     want = sorted((g, a, b) for g in (1, 2, 3) for x, a in rows for y, b in rows if x == y == g and a < b)
     got = graph.pairs_within(spark.createDataFrame(rows, "g long, i long"), "g", "i", split)
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_similar_sets_meet_by_chunks(spark, monkeypatch):
+    """Many sets around few common words: pairs are counted chunk by chunk, whatever the chunks hold, and only short rows are joined."""
+    rng = random.Random(7)
+    words = [f"word{i}" for i in range(60)]
+    rows = [(i, rng.choice("xy"), rng.sample(words, rng.randint(1, 40))) for i in range(300)]
+    rows += [(300 + i, *rows[i][1:]) for i in range(20)]
+    d = spark.createDataFrame(rows, "id long, block string, words array<string>")
+    new, held = d.where("id % 2 = 1"), d.where("id % 2 = 0")
+    want = {}
+    for i, b, x in rows:
+        for j, c, y in rows:
+            n = len(set(x) & set(y))
+            if i % 2 == 1 and j % 2 == 0 and b == c and n / (len(x) + len(y) - n) > 0.5:
+                key = (i, tuple(sorted(y)))
+                want[key] = min(want.get(key, (j, 1)), (j, n / (len(x) + len(y) - n)))
+    for chunk_sets, frequent, pairs in ((16, 30, 100), (50, 1 << 30, 7)):
+        monkeypatch.setattr(setjoin, "CHUNK_SETS", chunk_sets)
+        monkeypatch.setattr(setjoin, "FREQUENT", frequent)
+        monkeypatch.setattr(setjoin, "_PAIRS", pairs)
+        chunks = [setjoin._chunks(s.select("block", F.xxhash64(F.array_sort("words")).alias("set"), F.transform("words", lambda w: F.xxhash64(w)).alias("words")).dropDuplicates(["block", "set"])) for s in (new, held)]
+        met = setjoin._crossed(*chunks, 0.5).select("a_sets", "a_sizes", "a_words", "a_starts", "a_rows", "b_sets", "b_sizes", "b_words", "b_starts", "b_rows").collect()
+        pairs_found = 0
+        for r in met:
+            a, b = ([np.frombuffer(r[f"{side}_{p}"], dtype=k) for p, k in zip(setjoin._PARTS, setjoin._KINDS, strict=True)] for side in "ab")
+            pairs_found += len(setjoin._similar(a, b, 0.5)[0])
+        assert pairs_found == len({(b, tuple(sorted(x)), y) for i, b, x in rows for j, y in want if j == i})
+    got = setjoin.similar(new, held, 0.5)
+    assert sorted((r["new_id"], r["held_id"], round(r["jaccard"], 9)) for r in got.collect()) == sorted((i, j, round(s, 9)) for (i, _), (j, s) in want.items())
+    plan = got._jdf.queryExecution().toString()
+    assert "words" not in plan.split("== Physical Plan ==")[1]  # before, sets were joined word by word and carried with their pairs
