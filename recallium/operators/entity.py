@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .graph import pairs_within
+from ..sources.shared import written
 
 #: The bucket in which names of a type are resolved against each other.
 BUCKETS = {"person": "person", "organization": "org", "team": "org", "project": "project", "service": "project", "location": "location", "tool": "tool"}
@@ -52,14 +52,17 @@ def idf(mentions: DataFrame) -> DataFrame:
 def entity_edges(mentions: DataFrame, least_idf: float = 3.0) -> DataFrame:
     """Edges between documents that share entities, unless all of those are common.
 
-    Entities of an idf below ``least_idf`` make no pairs of their own but count among the shared.
+    Entities of an idf below ``least_idf`` make no pairs of their own but count among the shared. Pairs are made once
+    and never shuffled; their number is quadratic in how often an entity is mentioned.
     """
-    weights = idf(mentions).where(F.col("idf") >= least_idf)
-    rare = mentions.join(weights.select("entity"), "entity", "left_semi")
-    pairs = pairs_within(rare, "entity", "doc_id").join(weights, "entity").groupBy("a", "b").agg(F.max("idf").alias("idf"))
-    own = mentions.groupBy("doc_id").agg(F.collect_set("entity").alias("own"))
-    pairs = pairs.join(own.select(F.col("doc_id").alias("a"), F.col("own").alias("x")), "a").join(own.select(F.col("doc_id").alias("b"), F.col("own").alias("y")), "b")
-    shared = pairs.withColumn("shared", F.size(F.array_intersect("x", "y")).cast("long"))
+    known = mentions.join(idf(mentions), "entity")
+    # A document's entities, the rarest first: two documents meet under the first that both have and nowhere else.
+    own = known.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("df", "entity", "idf"))).alias("all"))
+    own = own.select("doc_id", F.transform("all", lambda e: e["entity"]).alias("own"), F.filter("all", lambda e: e["idf"] >= least_idf).alias("rare"))
+    rare = written(own.select("doc_id", "own", F.explode("rare").alias("e")).select("doc_id", "own", F.col("e.entity").alias("entity"), F.col("e.idf").alias("idf")))
+    a, b = rare.select("entity", "idf", F.col("doc_id").alias("a"), F.col("own").alias("x")), rare.select("entity", F.col("doc_id").alias("b"), F.col("own").alias("y"))
+    met = a.hint("merge").join(b, "entity").where("a < b").withColumn("both", F.array_intersect("x", "y")).where(F.col("both")[0] == F.col("entity"))
+    shared = met.select("a", "b", "idf", F.size("both").cast("long").alias("shared"))
     return shared.select("a", "b", "shared", F.least(F.lit(1.0), 0.3 + 0.12 * F.col("idf") + F.least(F.lit(0.15), 0.05 * (F.col("shared") - 1))).alias("weight"))
 
 

@@ -1,6 +1,7 @@
 """Operators that SQL can't express, readers and functions on small fixtures."""
 
 import json
+import math
 import random
 
 import pytest
@@ -373,3 +374,23 @@ def test_neighbours_of_many_chunks_are_not_shuffled_by_pairs(spark, monkeypatch)
         want = sorted((-s[i, j], j) for j in range(300) if j != i)[:7]
         assert [j for _, j in sorted(got[i])] == [j for _, j in want]
     assert [j for _, j in got[900]] == [901]
+
+
+def test_entity_edges_are_made_once_and_not_shuffled(spark):
+    from recallium.operators import entity
+
+    rng = random.Random(3)
+    rows = sorted({(d, f"e{min(rng.randint(0, 60), rng.randint(0, 60))}") for d in range(150) for _ in range(5)})
+    own, df = {}, {}
+    for d, e in rows:
+        own.setdefault(d, set()).add(e)
+        df[e] = df.get(e, 0) + 1
+    idf = {e: math.log((len(own) + 1) / (n + 1)) for e, n in df.items()}
+    want = {(a, b): len(own[a] & own[b]) for a in own for b in own if a < b and any(idf[e] >= 3 for e in own[a] & own[b])}
+    weight = {(a, b): min(1.0, 0.3 + 0.12 * max(idf[e] for e in own[a] & own[b]) + min(0.15, 0.05 * (n - 1))) for (a, b), n in want.items()}
+    found = entity.entity_edges(spark.createDataFrame(rows, "doc_id long, entity string"))
+    got = found.collect()
+    assert len(got) == len(want) and {(r["a"], r["b"]): r["shared"] for r in got} == want
+    assert all(abs(r["weight"] - weight[r["a"], r["b"]]) < 1e-12 for r in got)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Aggregate" not in plan, plan  # pairs go nowhere
