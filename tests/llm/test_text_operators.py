@@ -316,3 +316,24 @@ def test_pieces_are_fitted_on_every_text(spark):
     every = tokencount.fit(common.union(common.limit(1).select(F.lit("garden " * 50).alias("text"))), path, rounds=1)
     piece = tokencount.MARK + "garden"
     assert every[piece] > some[piece] + 1
+
+
+def test_tries_level_by_level_equal_those_walked_word_by_word(monkeypatch):
+    rng = random.Random(11)
+    alphabet = "ab\u2581\u00e9\u6f22\U0001f600"
+    words = sorted({"".join(rng.choices(alphabet, k=rng.choice([1, 2, 3, 5, 9, 80, 130]))) for _ in range(400)})
+    model = tokencount.Unigrams({p: -1.0 - k % 3 for k, p in enumerate(["a", "b", "ab", "ba", "aab", "abab", "\u2581a", "\u2581", "\u00e9a", "b\u6f22"])})
+
+    def plain(word):
+        best, count = [0.0], [0]
+        model._extend(word, best, count)
+        return count[-1]
+
+    monkeypatch.setattr(tokencount, "TRIE_WORDS", 150)
+    assert model.count_sorted(words) == [plain(w) for w in words]
+    # Paths of pieces are met once a node: what stands under a common prefix isn't scored again.
+    trie = tokencount.Trie(words, tokencount._pieces(tuple(model.scores)), model.longest)
+    assert len(trie.char) == 1 + len({w[:i] for w in words for i in range(1, len(w) + 1)})
+    pieces = list(model.scores)
+    held = sum(p == w[i - len(p) : i] for w, i in {(w[:i], i) for w in words for i in range(1, len(w) + 1)} for p in pieces if len(p) <= i)
+    assert sum(len(end) for _, end, _ in trie.edges) == held
