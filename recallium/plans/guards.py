@@ -186,7 +186,7 @@ def meant(t: Tables) -> DataFrame:
     index = search.live_index(t)
 
     def by_words(queries: DataFrame) -> DataFrame:
-        return fts.search(queries, index.bodies(), stats=index.body_statistics()).select("query_id", "doc_id", fts.bounded_score(F.col("bm25")).alias("score"))
+        return fts.search(queries, index.by_document(), stats=index.body_statistics(), best={"score": cascade.LIMIT}).select("query_id", "doc_id", fts.bounded_score(F.col("bm25")).alias("score"))
 
     def by_vector(queries: DataFrame) -> DataFrame:
         own = t.vectors.join(queries.select(F.col("query_id").alias("doc_id")), "doc_id", "left_semi")

@@ -27,7 +27,7 @@ def query(name: str, uses: str = "", body: str | None = None):
 
 def scored(t: Tables, most: int) -> DataFrame:
     """(query_id, doc_id, score, rerank, rank): the best by words, with the share of terms as the reranker's score."""
-    found = search.matches(t).select("query_id", "doc_id", fts.bounded_score(F.col("bm25")).alias("score"), (F.col("hit") / F.col("n_terms")).alias("rerank"))
+    found = search.matches(t, best={"score": most}).select("query_id", "doc_id", fts.bounded_score(F.col("bm25")).alias("score"), (F.col("hit") / F.col("n_terms")).alias("rerank"))
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 

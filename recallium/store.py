@@ -209,7 +209,7 @@ class Vault:
     def search(self, text: str, limit: int = 10) -> DataFrame:
         """By words."""
         index = self.postings()
-        found = fts.search(self._query(text), index.bodies(), stats=index.body_statistics())
+        found = fts.search(self._query(text), index.by_document(), stats=index.body_statistics())
         hits = found.join(self._live().select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", fts.bounded_score(F.col("bm25")).alias("search"))
         return self._composite(hits).orderBy(F.desc("score"), "doc_id").limit(limit)
 
