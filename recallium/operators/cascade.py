@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import automaton
+from ..sources.shared import written
+from . import automaton, meeting
 
 # Words of a query that titles need not hold.
 STOPWORDS = "a an the is are was were be been being in on at to for of with by from as and or not no but if then so do did has have had it its this that my our".split()
@@ -40,11 +41,14 @@ def title_tokens(query: Column) -> Column:
 
 def by_title(queries: DataFrame, docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Documents whose title holds half of a query's words, two at least, as parts of it."""
-    asked = queries.select("query_id", title_tokens(F.col("query")).alias("words")).where(F.size("words") > 0)
-    each = asked.select("query_id", F.size("words").alias("n"), F.explode("words").alias("name"))
-    hits = automaton.scan(docs, each.select("name"), ["doc_id"], "title", boundaries=False)
-    met = each.join(hits, "name").groupBy("query_id", "n", "doc_id").agg(F.count("*").alias("hit"))
-    enough = met.where(F.col("hit") >= F.greatest(F.lit(2), F.ceil(F.col("n") / 2))).join(docs.select("doc_id", "modified_at"), "doc_id")
+    words = queries.select("query_id", title_tokens(F.col("query")).alias("words")).where(F.size("words") > 0)
+    each = words.select("query_id", F.size("words").alias("n"), F.explode("words").alias("prefix"))
+    asked = written(each.groupBy("query_id", "prefix", F.col("n").alias("n_terms")).agg(F.count("*").alias("times")).withColumn("part", F.lit(0)))
+    hits = automaton.scan(docs, asked.select(F.col("prefix").alias("name")), ["doc_id"], "title", boundaries=False)
+    # A document's names meet queries as its terms would: one that begins another stands where that stands.
+    laid = hits.groupBy("doc_id").agg(F.collect_list("name").alias("terms")).select("doc_id", F.lit(1).cast("long").alias("dl"), "terms", F.transform("terms", lambda _: F.lit(1.0)).alias("tfs"))
+    met = meeting.meet(laid, asked, 1, 1.0, weighed=False, least=(2, 0.5)).select("query_id", F.col("n_terms").alias("n"), "doc_id", F.col("bm25").cast("long").alias("hit"))
+    enough = met.join(docs.select("doc_id", "modified_at"), "doc_id")
     return _first(enough.withColumn("score", F.col("hit") / F.col("n")), [F.desc("hit"), F.desc("modified_at"), "doc_id"], "title", limit)
 
 

@@ -61,3 +61,22 @@ def test_parts_and_blocks_change_nothing(spark, library, match_all):
     want = told(meeting.meet(index.by_document(), prefixes, n_docs, avgdl, every_group=match_all))
     assert want
     assert told(meeting.meet(index.by_document(), prefixes, n_docs, avgdl, every_group=match_all, part=20, cells=300)) == want
+
+
+def test_titles_are_counted_where_they_are_read(spark):
+    """Queries with a common word, and titles that hold it: what moves are names of titles, not titles by queries."""
+    from recallium.operators import cascade
+
+    docs = spark.createDataFrame([(i, f"common w{i} abc", i) for i in range(300)], "doc_id long, title string, modified_at long")
+    asked = [(q, f"common w{q} {'ab ab' if q % 2 else 'zzqx'}") for q in range(200)]
+    found, shuffled = moved(spark, lambda: cascade.by_title(spark.createDataFrame(asked, "query_id long, query string"), docs).collect())
+    assert shuffled < 200 * 300 / 4  # before, each query with each title that holds a word of it
+    want = {}
+    for q, text in asked:
+        words = text.split()
+        hits = [(-sum(w in f"common w{i} abc" for w in words), -i, i) for i in range(300)]
+        want[q] = [(i, -h / len(words)) for h, _, i in sorted(hits) if -h >= max(2, -(-len(words) // 2))][:5]
+    got = {q: [] for q, _ in asked}
+    for r in sorted(found, key=lambda r: r["rank"]):
+        got[r["query_id"]].append((r["doc_id"], r["score"]))
+    assert got == want
