@@ -44,7 +44,8 @@ def _chunks(rows: DataFrame, block: str | None) -> DataFrame:
     fine = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & (F.size("v") > 0)
     own = rows.where("v is not null").where(fine).select("doc_id", "v", F.concat_ws(":", F.size("v").cast("string"), F.col(block).cast("string") if block else F.lit("")).alias("block"))
     n = own.groupBy("block").agg(F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias("chunks"))
-    dealt = own.join(n, "block").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")))
+    # Without a block there is a row for each length of vectors; joined by a shuffle, all vectors of a length would go to one task.
+    dealt = own.join(n if block else F.broadcast(n), "block").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")))
 
     def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_id")
@@ -77,8 +78,9 @@ _FOUND = "query_id long, doc_id long, similarity double"
 
 def _crossed(q: DataFrame, held: DataFrame) -> DataFrame:
     """Every chunk of queries with every chunk of rows whose vectors are as long. The chunks are read where they meet and
-    none is shuffled: said as an equality, the condition would send all of them to one task."""
-    q = q.select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+    none is shuffled: said as an equality, the condition would send all of them to one task. By the hint a chunk of queries stays
+    while those of rows go by, also where the queries are few enough to be broadcast."""
+    q = q.hint("shuffle_replicate_nl").select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
     same = (F.col("q_block") <= F.col("block")) & (F.col("q_block") >= F.col("block"))
     return q.join(held.select("block", "ids", "data"), same).select("q_ids", "q_data", "ids", "data")
 
