@@ -1,9 +1,10 @@
 """Pairs of similar sets of words, counted chunk by chunk.
 
 Sets with a Jaccard index above t have sizes within a factor t, so sets are dealt to chunks by size and only chunks of near
-sizes meet. A chunk holds which of its sets have a word, by the word's 64-bit hash; for two chunks that gives the number of
-shared words of all their pairs at once (two words of one hash would count as one, two sets of one hash too): frequent words by a matrix product, others pair by pair. Chunks are read where they
-meet, and only similar pairs leave a task, so what is shuffled grows with the rows and not with their pairs. Equal sets are one
+sizes meet. A chunk holds which of its sets have a word, by the word's 64-bit hash (two words of one hash would count as one, two sets of one hash too).
+For two chunks one matrix product gives in how many of a few hundred bits the sketches of all their pairs differ. A word changes one bit, so sets that differ in more bits than similar
+ones may in words are left out, and none that is similar; words are counted in the pairs that stay. Where many stay (groups of near copies), shared words are counted for all pairs of the chunks
+at once: frequent words by a matrix product, others pair by pair. Chunks are read where they meet, and only similar pairs leave a task, so what is shuffled grows with the rows and not with their pairs. Equal sets are one
 row until the end, so copies don't meet each other.
 """
 
@@ -18,15 +19,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import written
+from ..sources.shared import few, written
 
 #: Words and sets that a chunk holds at most (one larger set is a chunk of its own), and how much sizes differ in it.
-CHUNK_WORDS, CHUNK_SETS, STEP = 1 << 19, 2048, 1.2
+CHUNK_WORDS, CHUNK_SETS, STEP = 1 << 20, 4096, 1.2
 #: Chunks in a file: those of one file of each side meet in a task.
 FILE_CHUNKS = 8
 #: A word that at least this many pairs of sets share is counted by the matrix product.
 FREQUENT = 20_000
 _PAIRS = 1 << 21
+#: Bits of a sketch: at least so many, and so many for each word in which similar sets may differ.
+LEAST_BITS, BITS = 128, 3
+#: Words are counted pair by pair if no more than one pair in so many may be similar.
+SCARCE = 200
 
 
 def long_words(text: Column) -> Column:
@@ -40,7 +45,7 @@ def similar(new: DataFrame, held: DataFrame, above: float) -> DataFrame:
     Of held rows with equal words in a block the smallest id stands for all; a new row meets no held row of its own id.
     Rows without words meet none.
     """
-    each = [written(d.where((F.size("words") > 0) & F.col("block").isNotNull()).select("id", F.col("block").cast("string").alias("block"), F.xxhash64(F.array_sort("words")).alias("set"), F.transform("words", lambda w: F.xxhash64(w)).alias("words"))) for d in (new, held)]
+    each = [_hashed(d) for d in (new, held)]
     a, b = (_chunks(written(d.select("block", "set", "words").dropDuplicates(["block", "set"]))) for d in each)
     near = written(_crossed(a, b, above).mapInArrow(_counted(above), "block string, new_set long, held_set long, jaccard double"))
     # Two held rows at most stand for equal sets: the smallest id, and the next one for a new row that is itself the smallest.
@@ -49,6 +54,12 @@ def similar(new: DataFrame, held: DataFrame, above: float) -> DataFrame:
     return out.select(F.col("id").alias("new_id"), held_id.alias("held_id"), "jaccard").where("held_id is not null")
 
 
+def _hashed(rows: DataFrame) -> DataFrame:
+    """A table (id, block, set, words) of rows with words, which are told apart when it is read: filtered before, texts would be split twice."""
+    words = rows.where("block is not null").select("id", F.col("block").cast("string").alias("block"), F.sort_array(F.transform("words", lambda w: F.xxhash64(w))).alias("words"))
+    return written(words.select("id", "block", F.when(F.size("words") > 0, F.xxhash64("words")).alias("set"), "words")).where("set is not null")
+
+
 def _least_two(rows: DataFrame) -> DataFrame:
     """(block, held_set, first, second): the two smallest ids of equal sets, without gathering them."""
     rows = rows.select("block", F.col("set").alias("held_set"), "id")
@@ -62,10 +73,10 @@ def _chunks(sets: DataFrame) -> DataFrame:
     the sets with the i-th of them are ``rows[starts[i]:starts[i + 1]]``."""
     sets = sets.withColumn("size", F.size("words")).withColumn("step", F.floor(F.log("size") / math.log(STEP)).cast("int"))
     most = F.greatest(F.ceil(F.sum("size") / CHUNK_WORDS), F.ceil(F.count("*") / CHUNK_SETS))
-    counted = sets.groupBy("block", "step").agg(most.cast("int").alias("parts"))
+    counted = written(sets.groupBy("block", "step").agg(most.cast("int").alias("parts")))
     n = counted.agg(F.coalesce(F.sum("parts"), F.lit(0))).first()[0]
     files = max(sets.sparkSession.sparkContext.defaultParallelism, -(-n // FILE_CHUNKS))
-    dealt = sets.join(counted, ["block", "step"]).withColumn("part", F.pmod(F.xxhash64("set"), F.col("parts")))
+    dealt = sets.join(few(counted), ["block", "step"]).withColumn("part", F.pmod(F.xxhash64("set"), F.col("parts")))
 
     def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         sizes = pdf["size"].to_numpy(dtype=np.int32)
@@ -108,6 +119,12 @@ def _counted(above: float):
 
 def _similar(a: list[np.ndarray], b: list[np.ndarray], above: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places in two chunks of the pairs above a bound, and their Jaccard index."""
+    row, col = _maybe(a, b, above)
+    if len(row) * SCARCE <= len(a[1]) * len(b[1]):
+        n, both = _shared_by(a, b, row, col), a[1][row].astype(np.int64) + b[1][col]
+        jaccard = n / (both - n)
+        keep = jaccard > above
+        return row[keep], col[keep], jaccard[keep]
     shared = _shared(a, b)
     both = a[1][:, None] + b[1][None, :]
     row, col = np.nonzero(shared * np.float32(1 + above) > both * np.float32(above) - 1)
@@ -117,6 +134,51 @@ def _similar(a: list[np.ndarray], b: list[np.ndarray], above: float) -> tuple[np
     return row[keep], col[keep], jaccard[keep]
 
 
+def _maybe(a: list[np.ndarray], b: list[np.ndarray], above: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs that may be above a bound: of m words in both sets together, similar ones differ in less than
+    m * (1 - above) / (1 + above), and sketches in no more bits than sets in words."""
+    apart = (1 - above) / (1 + above)
+    d = LEAST_BITS + int(BITS * apart * (int(a[1].max()) + int(b[1].max())))
+    (x, u), (y, v) = (_sketches(s, d, apart) for s in (a, b))
+    # x @ y + u + v is half of the room that a pair has left; rounding stays well below the quarter.
+    room = x @ y.T
+    room += v
+    return np.divmod(np.flatnonzero((room > -u[:, None] - np.float32(0.25)).ravel()), len(v))
+
+
+def _sketches(chunk: list[np.ndarray], d: int, apart: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of each set, which of d bits an odd number of its words has, and half of what the set adds to the room less its odd bits."""
+    _, sizes, words, starts, rows = chunk
+    at = np.repeat((words.view(np.uint64) % np.uint64(d)).astype(np.int64), np.diff(starts))
+    odd = (np.bincount(rows * np.int64(d) + at, minlength=len(sizes) * d).reshape(len(sizes), d) & 1).astype(np.float32)
+    return odd, ((apart * sizes - odd.sum(axis=1, dtype=np.float64)) / 2).astype(np.float32)
+
+
+def _shared_by(a: list[np.ndarray], b: list[np.ndarray], row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """How many words the sets of each pair share; the rows ascend."""
+    out = np.zeros(len(row), dtype=np.int64)
+    if not len(row):
+        return out
+    (a_words, a_ends), (b_words, b_ends) = _by_set(a), _by_set(b)
+    firsts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+    for first, last in zip(firsts.tolist(), [*firsts[1:].tolist(), len(row)], strict=True):
+        i = row[first]
+        own = a_words[a_ends[i] - a[1][i] : a_ends[i]]
+        for k in range(first, last):
+            other = b_words[b_ends[col[k]] - b[1][col[k]] : b_ends[col[k]]]
+            at = np.searchsorted(own, other)
+            at[at == len(own)] = 0
+            out[k] = np.count_nonzero(own[at] == other)
+    return out
+
+
+def _by_set(chunk: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The words of the sets one after the other, each set's ascending, and where sets end."""
+    _, sizes, words, starts, rows = chunk
+    order = np.argsort(rows.astype(np.uint16) if len(sizes) <= 1 << 16 else rows, kind="stable")
+    return np.repeat(words, np.diff(starts))[order], np.cumsum(sizes)
+
+
 def _shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """How many words each set of one chunk shares with each of another."""
     (_, a_sizes, a_words, a_starts, a_rows), (_, b_sizes, b_words, b_starts, b_rows) = a, b

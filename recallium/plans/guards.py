@@ -61,7 +61,7 @@ _LONG = r"list_filter(list_distinct(string_split_regex(lower({x}), '[\t-\r ]+'))
 )
 def similar_observations(t: Tables) -> DataFrame:
     """Every other document as a new observation, and those of its language that share more than half of their words; of equal ones the first."""
-    o = t.documents.where("active").select("id", F.col("lang").alias("block"), setjoin.long_words(F.col("body")).alias("words"))
+    o = t.texts.where("active").select("id", F.col("lang").alias("block"), setjoin.long_words(F.col("body")).alias("words"))
     found = setjoin.similar(o.where("id % 2 = 1"), o.where("id % 2 = 0"), 0.5)
     return found.withColumn("jaccard", F.round("jaccard", 6))
 

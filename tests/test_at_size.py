@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from recallium.operators import models, vector
+from recallium.operators import models, setjoin, vector
 from recallium.plans import registry
 from recallium.sources.tables import Tables
 
@@ -32,3 +32,34 @@ def test_similar_documents_embed_each_text_once_and_share_out_chunks(spark, monk
     rows = spark.range(5000).select(F.col("id").alias("doc_id"), F.array(F.col("id") * 1.0, F.lit(1.0)).alias("v"))
     plan = vector._chunks(rows, None)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(block" in plan and "SortMergeJoin" not in plan
+
+
+def test_sketches_leave_no_similar_sets_out_and_most_others(spark):
+    rng = np.random.default_rng(5)
+    pool = rng.integers(-(2**63), 2**63, 30_000)
+    common = pool[:40]
+
+    def like(words, p):
+        return np.unique(np.where(rng.random(len(words)) < p, rng.choice(pool, len(words)), words))
+
+    sets = [np.unique(np.concatenate((common[rng.random(40) < 0.5], rng.choice(pool, n)))) for n in rng.integers(1, 400, 300)]
+    other = [like(s, p) for s, p in zip(sets, rng.choice([0.0, 0.2, 0.3, 0.35, 0.5, 1.0], 300), strict=True)]
+
+    def chunk(sets):
+        sizes = np.array([len(s) for s in sets], dtype=np.int32)
+        flat, rows = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
+        order = np.argsort(flat, kind="stable")
+        words, starts = np.unique(flat[order], return_index=True)
+        return [np.arange(len(sets)), sizes, words, np.append(starts, len(flat)).astype(np.int32), rows[order]]
+
+    a, b = chunk(sets), chunk(other)
+    both = np.array([[len(np.intersect1d(x, y, assume_unique=True)) for y in other] for x in sets])
+    jaccard = both / (a[1][:, None] + b[1][None, :] - both)
+    for above in (0.3, 0.5, 0.8):
+        want = set(zip(*(x.tolist() for x in np.nonzero(jaccard > above)), strict=True))
+        maybe = set(zip(*(x.tolist() for x in setjoin._maybe(a, b, above)), strict=True))
+        assert want <= maybe
+        row, col, j = setjoin._similar(a, b, above)
+        assert set(zip(row.tolist(), col.tolist(), strict=True)) == want and np.allclose(j, jaccard[row, col])
+        if above >= 0.5:  # before, the words of all pairs were counted
+            assert len(maybe) < len(want) + 0.01 * jaccard.size
