@@ -214,8 +214,11 @@ def entity_edges(t: Tables) -> DataFrame:
     """Orders that share a rare part, brand or type; common ones count too."""
     from ..operators import entity
 
-    parts = t.raw("lineitem").select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("entity")).distinct()
-    return entity.entity_edges(t.mentions.unionByName(parts)).withColumn("weight", r6(F.col("weight")))
+    # An order's lines come together once, with what names their parts; from there on nothing moves until entities are counted.
+    part = t.raw("part").select(F.col("p_partkey").alias("l_partkey"), F.array(F.concat(F.lit("brand:"), "p_brand"), F.concat(F.lit("type:"), "p_type")).alias("named"))
+    lines = t.raw("lineitem").select(F.col("l_orderkey").alias("doc_id"), "l_partkey").join(part, "l_partkey", "left").repartition("doc_id")
+    names = F.concat(F.array(F.concat(F.lit("part:"), F.col("l_partkey").cast("string"))), F.coalesce("named", F.array().cast("array<string>")))
+    return entity.entity_edges(lines.select("doc_id", F.explode(names).alias("entity")).distinct()).withColumn("weight", r6(F.col("weight")))
 
 
 @query("query_rate_gate", "recall", "SELECT id, count(*) OVER (PARTITION BY doc_id ORDER BY epoch(surfaced_at) RANGE BETWEEN 600 PRECEDING AND CURRENT ROW) AS recent FROM recall")

@@ -1,9 +1,13 @@
 """What has to hold for queries to get through larger tables."""
 
+import math
+import random
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from recallium.operators import models, setjoin, vector
+from recallium.operators import entity, models, setjoin, vector
 from recallium.plans import registry
 from recallium.sources.tables import Tables
 
@@ -63,3 +67,24 @@ def test_sketches_leave_no_similar_sets_out_and_most_others(spark):
         assert set(zip(row.tolist(), col.tolist(), strict=True)) == want and np.allclose(j, jaccard[row, col])
         if above >= 0.5:  # before, the words of all pairs were counted
             assert len(maybe) < len(want) + 0.01 * jaccard.size
+
+
+@pytest.mark.parametrize("bits", [1024, 70, 3, 0])
+def test_entity_edges_carry_no_names_and_shuffle_documents_once(spark, monkeypatch, bits):
+    monkeypatch.setattr(entity, "BITS", bits)
+    rng = random.Random(8)
+    rows = sorted({(d, f"e{min(rng.randint(0, 90), rng.randint(0, 200))}") for d in range(120) for _ in range(9)} | {(d, f"c{k}") for d in range(0, 120, 2) for k in range(80) if (d + k) % 3})
+    own, df = {}, {}
+    for d, e in rows:
+        own.setdefault(d, set()).add(e)
+        df[e] = df.get(e, 0) + 1
+    idf = {e: math.log((len(own) + 1) / (n + 1)) for e, n in df.items()}
+    want = {(a, b): (len(own[a] & own[b]), max(idf[e] for e in own[a] & own[b])) for a in own for b in own if a < b and any(idf[e] >= 3 for e in own[a] & own[b])}
+    found = entity.entity_edges(spark.createDataFrame([*rows, (7, None), (None, "e1")][:-1], "doc_id long, entity string"))
+    got = found.collect()
+    assert len(want) > 20 and len(got) == len(want) and {(r["a"], r["b"]): r["shared"] for r in got} == {k: n for k, (n, _) in want.items()}
+    assert all(abs(r["weight"] - min(1.0, 0.3 + 0.12 * want[r["a"], r["b"]][1] + min(0.15, 0.05 * (r["shared"] - 1)))) < 1e-12 for r in got)
+    plan = found._jdf.queryExecution()
+    assert plan.executedPlan().toString().count("ReusedExchange") == 1  # before, each side was shuffled
+    scan = [line for line in plan.optimizedPlan().toString().splitlines() if "Relation" in line]
+    assert scan and "entity" not in "".join(scan) and "all#" not in "".join(scan)
